@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date, datetime
 from itertools import combinations_with_replacement
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -177,7 +178,7 @@ def _forecast_group(
 def _custom_group(rules: dict, columns: Sequence[str], min_train: int):
     """Forecasts of one series by one rule of the user's own, refitted at every origin."""
 
-    def forecast(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def forecast(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         series, name = key
         model = rules[name]
         rows = rows.sort_values("_origin", kind="stable")

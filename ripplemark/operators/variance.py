@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplemark.checks import non_negative_int, positive_int, require_columns
 from ripplemark.functions.numeric import is_positive, parzen_weight
@@ -93,7 +94,7 @@ def subsampled_realized_variance(step: int, name: str = "subsampled_rv") -> Meas
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _kernel_of_array(log_prices: pd.Series, bandwidth: pd.Series) -> pd.Series:
     def one(path: np.ndarray, lags: int) -> float:
         r = np.diff(np.asarray(path, dtype="float64"))
