@@ -699,9 +699,9 @@ sql(
 )
 sql(
     "other_losses", EVALUATION,
-    f"""SELECT model, {d('origin_date')}, {d('target_date')}, series, {f('actual / 1e6', 'actual', 9)}, {f('predicted / 1e6', 'predicted', 9)},
-       {f('power(actual / 1e6 - predicted / 1e6, 2)', 'squared', 9)}, {f('abs(actual / 1e6 - predicted / 1e6)', 'absolute', 9)},
-       {f('loss', 'qlike', 9)} FROM losses""",
+    f"""SELECT model, {d('origin_date')}, {d('target_date')}, series, {f('actual / 1e6', 'actual', 8)}, {f('predicted / 1e6', 'predicted')},
+       {f('power(actual / 1e6 - predicted / 1e6, 2)', 'squared')}, {f('abs(actual / 1e6 - predicted / 1e6)', 'absolute')},
+       {f('loss', 'qlike')} FROM losses""",
 )
 MODEL_NAMES = ("HAR", "historical_mean", "naive", "EWMA", "AR1")
 sql(

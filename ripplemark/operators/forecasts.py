@@ -102,6 +102,9 @@ def _pair_names(width: int) -> list[tuple[int, int]]:
     return list(combinations_with_replacement(range(width), 2))
 
 
+_GROUP_COLUMNS = ["model", "series", "_origin", "_target", "actual", "predicted", "n_train"]
+
+
 def _forecast_group(
     models: Sequence[ForecastModel], columns: Sequence[str], min_train: int
 ) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -116,6 +119,8 @@ def _forecast_group(
         y_all = timeline["y"].to_numpy("float64")
         past_x, past_y = x_all[is_event], y_all[is_event]
         asked = ~is_event & (timeline["_n"].to_numpy() >= min_train) & timeline["_selected"].to_numpy(bool)
+        if not asked.any():
+            return pd.DataFrame(columns=_GROUP_COLUMNS)
         queries = timeline[asked]
         x_now, n = x_all[asked], queries["_n"].to_numpy("int64")
         outputs = []
@@ -125,7 +130,9 @@ def _forecast_group(
                 for k, observed in enumerate(past_y):
                     level = observed if k == 0 else model.rule.decay * level + (1.0 - model.rule.decay) * observed
                     states[k] = level
-                predicted = states[n - 1] if len(n) else np.empty(0)
+                predicted = states[n - 1]
+            elif not model.regressors:
+                predicted = (np.cumsum(past_y) / np.arange(1, len(past_y) + 1))[n - 1]
             else:
                 predicted = np.empty(len(n))
                 chosen = [position[name] for name in model.regressors]
@@ -291,10 +298,12 @@ def walk_forward_models(
         window = running([SERIES], "_origin")
         event = F.col("_kind") == EVENT
         known = line.withColumn("_n", F.sum(F.when(event, 1).otherwise(0)).over(window))
-        if closed:
-            parts.append(_closed_forecasts(known, closed, window, min_train_size))
+        # Where some models are solved, the others ride along: the timeline is walked once.
         if solved:
-            parts.append(_solved_forecasts(known, solved, columns, window, min_train_size))
+            together = [m for m in models if m in closed or m in solved]
+            parts.append(_solved_forecasts(known, together, columns, window, min_train_size))
+        else:
+            parts.append(_closed_forecasts(known, closed, window, min_train_size))
     if custom:
         spread = rows.select("*", F.explode(F.array(*[F.lit(m.name) for m in custom])).alias("model"))
         run = _custom_group({m.name: m for m in custom}, columns, min_train_size)

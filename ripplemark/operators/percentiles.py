@@ -55,36 +55,31 @@ def exact_percentiles(
     )
     wanted = F.array(*[F.lit(float(level)) for level in levels])
     position = F.col("level") * (F.col("_n") - 1)
+    ranks = F.array_distinct(F.array(F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")))
     targets = (
         bounds.withColumn("level", F.explode(wanted))
         .withColumn("_share", position - F.floor(position))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))))
-        .select(*keys, "level", "_share", F.col("_rank").cast("bigint").alias("_rank"),
-                F.lit(0).cast("bigint").alias("_below"), "_low", "_high")
+        .withColumn("_rank", F.explode(ranks))
     )
     by_rank = [*keys, "_rank", "_low", "_high", "_below"]
+    search = targets.withColumn("_below", F.lit(0).cast("bigint")).select(*by_rank).distinct()
     for _ in range(passes):
-        search = targets.select(*by_rank).distinct()
-        inside = data.join(small(search), keys).where(
-            (F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))
-        )
+        inside = data.join(small(search), keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
         counted = (
             inside.groupBy(*by_rank, _bucket(F.col("_v"), F.col("_low"), F.col("_high")).alias("_b"))
             .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bl"), F.max("_v").alias("_bh"))
         )
         along = Window.partitionBy(*by_rank).orderBy("_b")
-        found = (
+        search = (
             counted.withColumn("_upto", F.col("_below") + F.sum("_c").over(along))
             .withColumn("_from", F.col("_upto") - F.col("_c"))
             .where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto")))
             .select(*keys, "_rank", F.col("_bl").alias("_low"), F.col("_bh").alias("_high"),
                     F.col("_from").alias("_below"))
         )
-        targets = targets.select(*keys, "level", "_share", "_rank").join(found, [*keys, "_rank"])
-    search = targets.select(*by_rank).distinct()
     rest = (
         data.join(small(search), keys)
-        .where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+        .where(F.col("_v").between(F.col("_low"), F.col("_high")))
         .groupBy(*by_rank, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
@@ -96,7 +91,7 @@ def exact_percentiles(
     )
     return (
         targets.select(*keys, "level", "_share", "_rank")
-        .join(answers, [*keys, "_rank"])
+        .join(small(answers), [*keys, "_rank"])
         .groupBy(*keys, "level")
         .agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.first("_share").alias("_s"))
         .select(*keys, "level", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_s")).alias("value"))

@@ -18,6 +18,9 @@ PREFERRED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Recording the source line of every column expression makes plans slow to build.
+QUIET_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Put the required settings on ``spark``; fill in the preferred ones that are unset."""
@@ -27,6 +30,9 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in PREFERRED_CONF.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
+    for key, value in QUIET_CONF.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     return spark
 
 
@@ -41,6 +47,8 @@ def local_session(cores: str | int = "*", *, shuffle_partitions: int = 8, app: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.files.maxPartitionBytes", "32m")
     )
+    for key, value in QUIET_CONF.items():
+        builder = builder.config(key, value)
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
