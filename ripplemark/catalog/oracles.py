@@ -521,12 +521,12 @@ sql(
     SALES + """,
 days AS (SELECT DISTINCT date FROM sales),
 bought AS (
-  SELECT o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS price, max(o_orderkey) AS top
+  SELECT o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS price, max(o_orderkey) AS top, count(*) AS n
   FROM orders GROUP BY 1, 2
 ),
 grid AS (SELECT date, unnest(['F', 'O', 'P']) AS status FROM days),
 totals AS (
-  SELECT g.date, g.status, count(b.day) AS n_known, coalesce(sum(b.price), 0) AS price, arg_max(b.top, b.day) AS top
+  SELECT g.date, g.status, coalesce(sum(b.n), 0) AS n_known, coalesce(sum(b.price), 0) AS price, arg_max(b.top, b.day) AS top
   FROM grid g LEFT JOIN bought b ON b.status = g.status AND b.day < g.date GROUP BY 1, 2
 )""",
     f"SELECT {d('date')}, status, {ints('n_known', 'top')}, round(price, 2) AS price FROM totals",

@@ -329,16 +329,20 @@ def _walk(spark, sf_dir, *models, wide=False):
 
 @query
 def known_totals(spark, sf_dir):
-    """Orders known at each sales date, the date's own left out."""
+    """Orders known at each sales date, the date's own left out.
+
+    A status holds up to half of all orders, so its running sums are cut at the months.
+    """
     orders = I.table(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("day"), "o_totalprice", "o_orderkey"
-    ).groupBy("status", "day").agg(F.sum("o_totalprice").alias("price"), F.max("o_orderkey").alias("top"))
+    )
     days = I.sales(spark, sf_dir).select("date").distinct().withColumn(
         "status", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P")))
     )
     return accumulate_known(
-        orders, days, keys=["status"], event_at="day", query_at="date",
-        totals={"price": F.col("price")}, latest={"top": F.col("top")}, inclusive=False,
+        orders, days, keys=["status"], event_at="day", query_at="date", tie=["o_orderkey"], inclusive=False,
+        totals={"price": F.col("o_totalprice")}, latest={"top": F.col("o_orderkey")},
+        block=lambda at: F.trunc(at, "month"),
     ).withColumn("price", F.round(F.col("price"), 2))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.checks import require_columns
@@ -43,41 +44,45 @@ def last_tick_sample(
 
     Bins are closed on the left and anchored at the UTC midnight before the path's first
     tick. Where the step divides 24 hours that is the epoch grid, known without looking at
-    the data. Otherwise the anchor is found first, by one aggregation per key.
+    the data. Otherwise every possible bin edge lies on the grid of the greatest common
+    divisor of the step and 24 hours: ticks are merged on that grid first, and the anchor is
+    found from the few merged rows.
 
     Ticks are merged per bin before they are shuffled, so a liquid asset costs at most one
     row per bin and input partition.
     """
     step = step_micros(frequency)
     require_columns(ticks, [*keys, ts, price, *ordinal], "ticks")
-    if DAY_MICROS % step == 0:
-        binned = ticks.withColumn("bin", floor_to_step(F.col(ts), step))
-    else:
-        starts = ticks.groupBy(*keys).agg(
-            F.unix_micros(F.date_trunc("day", F.min(ts))).alias("_anchor")
+    grid = math.gcd(step, DAY_MICROS)
+    merged = (
+        ticks.withColumn("bin", floor_to_step(F.col(ts), grid))
+        .groupBy(*keys, "bin")
+        .agg(
+            _last_price(ts, price, ordinal).alias(price),
+            F.min(ts).alias("first_ts"),
+            F.max(ts).alias("last_ts"),
         )
-        since = F.unix_micros(F.col(ts)) - F.col("_anchor")
-        binned = ticks.join(starts, list(keys)).withColumn(
-            "bin", F.timestamp_micros(F.col("_anchor") + since - F.pmod(since, F.lit(step)))
-        )
-    return binned.groupBy(*keys, "bin").agg(
-        _last_price(ts, price, ordinal).alias(price),
-        F.min(ts).alias("first_ts"),
-        F.max(ts).alias("last_ts"),
     )
+    return merged if grid == step else coarsen(merged, F.lit(step), keys=keys, price=price)
 
 
 def coarsen(sample: DataFrame, step: Column, *, keys: Sequence[str], price: str = "mid") -> DataFrame:
-    """Bins of a finer epoch grid merged into bins of ``step`` microseconds.
+    """A sample merged into bins of ``step`` microseconds, anchored at each path's midnight.
 
     The last price of a coarse bin is the price of its last fine bin, so ticks are read and
-    merged once for any number of coarser grids. ``step`` may be a column: it must be a
-    multiple of the fine step and divide 24 hours.
+    merged once for any number of coarser grids. ``step`` may be a column, and must be a
+    multiple of the sample's own step.
     """
-    us = F.unix_micros("bin")
+    path = Window.partitionBy(*keys)
+    since = F.unix_micros("bin") - F.col("_anchor")
     return (
-        sample.withColumn("_coarse", F.timestamp_micros(us - F.pmod(us, step)))
+        sample.withColumn("_anchor", F.unix_micros(F.date_trunc("day", F.min("first_ts").over(path))))
+        .withColumn("_coarse", F.timestamp_micros(F.col("_anchor") + since - F.pmod(since, step)))
         .groupBy(*keys, "_coarse")
-        .agg(F.max_by(price, "bin").alias(price))
+        .agg(
+            F.max_by(price, "bin").alias(price),
+            F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
+        )
         .withColumnRenamed("_coarse", "bin")
     )

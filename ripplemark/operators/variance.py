@@ -195,38 +195,26 @@ def realized_variance_by_frequency(
 ) -> DataFrame:
     """Realized variance of every path at each sampling step: keys, frequency, rv.
 
-    Ticks are merged once, on the grid of the greatest common divisor of the steps; every
-    coarser grid is built from those bins. Steps that do not divide 24 hours are anchored
-    per path and are sampled from the ticks on their own.
+    Ticks are merged once, on the grid of the greatest common divisor of all steps (and of
+    24 hours, where a step does not divide it); every grid is built from those bins.
     """
     if not frequencies:
         raise ValueError("frequencies must not be empty")
     if len(set(frequencies)) != len(frequencies):
         raise ValueError("frequencies must be unique")
-    steps = {frequency: step_micros(frequency) for frequency in frequencies}
-    regular = {f: s for f, s in steps.items() if DAY_MICROS % s == 0}
+    steps = [step_micros(frequency) for frequency in frequencies]
+    finest = math.gcd(*steps, DAY_MICROS)
+    fine = last_tick_sample(ticks, f"{finest}us", keys=keys, ts=ts, price=price, ordinal=ordinal)
+    grid = F.array(
+        *[
+            F.struct(F.lit(name).alias("frequency"), F.lit(step).cast("bigint").alias("step"))
+            for name, step in zip(frequencies, steps, strict=True)
+        ]
+    )
     columns = [*keys, "frequency"]
-    parts = []
-    if regular:
-        finest = math.gcd(*regular.values())
-        fine = last_tick_sample(
-            ticks, f"{finest}us", keys=keys, ts=ts, price=price, ordinal=ordinal
-        )
-        grid = F.array(*[F.struct(F.lit(f).alias("frequency"), F.lit(s).alias("step")) for f, s in regular.items()])
-        spread = fine.select(*keys, "bin", price, F.inline(grid))
-        coarse = coarsen(spread, F.col("step"), keys=columns, price=price)
-        parts.append(summarize_paths(coarse, [realized_variance()], keys=columns, price=price))
-    for frequency in steps.keys() - regular.keys():
-        own = last_tick_sample(ticks, frequency, keys=keys, ts=ts, price=price, ordinal=ordinal)
-        own = own.withColumn("frequency", F.lit(frequency))
-        parts.append(
-            summarize_paths(own, [realized_variance()], keys=keys, price=price,
-                            extra=[F.first("frequency").alias("frequency")])
-        )
-    result = parts[0].select(*columns, "rv")
-    for part in parts[1:]:
-        result = result.unionByName(part.select(*columns, "rv"))
-    return result
+    spread = fine.select("*", F.inline(grid))
+    coarse = coarsen(spread, F.col("step"), keys=columns, price=price)
+    return summarize_paths(coarse, [realized_variance()], keys=columns, price=price).select(*columns, "rv")
 
 
 def signature(by_frequency: DataFrame, *, keys: Sequence[str] = ("asset",)) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ripplemark.checks import DataError, require_columns, violations
+from ripplemark.checks import DataError, require_columns
 from ripplemark.functions.numeric import is_positive, spread_bps
 from ripplemark.operators.percentiles import exact_percentiles
 
@@ -53,9 +53,10 @@ def read_ticks(
 
 def tick_violations(ticks: DataFrame, keys: Sequence[str] = ("asset",)) -> DataFrame:
     """Rows, and rows without a time or a finite positive mid price, per asset."""
-    counted = violations(ticks, {"invalid": F.col("ts").isNull() | ~is_positive("mid")}, keys)
-    totals = ticks.groupBy(*keys).agg(F.count(F.lit(1)).alias("ticks"))
-    return totals.join(counted, list(keys))
+    return ticks.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("ticks"),
+        F.count_if(F.col("ts").isNull() | ~is_positive("mid")).alias("invalid"),
+    )
 
 
 def enforce_ticks(ticks: DataFrame) -> None:

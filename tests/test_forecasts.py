@@ -303,3 +303,19 @@ def test_known_totals_with_ties(spark):
 
     assert run(True) == [("A", 0, 0, 0.0), ("A", 1, 1, 1.0), ("A", 3, 3, 7.0), ("A", 9, 3, 7.0), ("C", 5, 0, 0.0)]
     assert run(False) == [("A", 0, 0, 0.0), ("A", 1, 0, 0.0), ("A", 3, 1, 1.0), ("A", 9, 3, 7.0), ("C", 5, 0, 0.0)]
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_blocks_change_no_total(spark, inclusive):
+    rng = np.random.default_rng(12)
+    rows = [(k, int(t), float(v), n) for n, (k, t, v) in enumerate(zip(rng.choice(["A", "B"], 300, p=[0.9, 0.1]), rng.integers(0, 60, 300), rng.normal(size=300)))]
+    events = spark.createDataFrame([(str(k), t, v, n) for k, t, v, n in rows], "k string, at bigint, v double, n bigint")
+    queries = spark.createDataFrame([(k, t) for k in "ABC" for t in range(-5, 70, 3)], "k string, t bigint")
+    options = dict(keys=["k"], event_at="at", query_at="t", totals={"s": F.col("v")}, latest={"last": F.col("v")}, tie=["n"], inclusive=inclusive)
+    for size in (None, 1, 7, 100):
+        block = None if size is None else lambda at, size=size: F.floor(at / size)
+        for r in accumulate_known(events, queries, block=block, **options).collect():
+            known = sorted((t, n, v) for k, t, v, n in rows if k == r.k and (t <= r.t if inclusive else t < r.t))
+            assert r.n_known == len(known)
+            assert r.s == pytest.approx(sum(v for _, _, v in known), abs=1e-9)
+            assert r["last"] == (known[-1][2] if known else None)
