@@ -461,12 +461,7 @@ def ridge_hindsight(spark, sf_dir):
 
 @query
 def ridge_verdict(spark, sf_dir):
-    data = I.forecast_data(spark, sf_dir)
-    chosen = K.chosen_forecasts(data, I.FEATURES, I.DESIGN)
-    har = I.DESIGN.forecast(data, [I.HAR])
-    results = I.DESIGN.evaluate(har.unionByName(chosen)).results_table()
-    choice = K.best_penalty(K.calibration(data, I.FEATURES, I.DESIGN))
-    return K.ridge_verdict(choice, results)
+    return K.ridge_verdict(K.tuned_losses(I.forecast_data(spark, sf_dir), I.FEATURES, I.DESIGN), "HAR")
 
 
 # --- comparison -------------------------------------------------------------------------------------------

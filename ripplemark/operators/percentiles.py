@@ -55,43 +55,44 @@ def exact_percentiles(
     )
     wanted = F.array(*[F.lit(float(level)) for level in levels])
     position = F.col("level") * (F.col("_n") - 1)
-    ranks = F.array_distinct(F.array(F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")))
+    around = F.array_distinct(F.array(F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")))
     targets = (
         bounds.withColumn("level", F.explode(wanted))
         .withColumn("_share", position - F.floor(position))
-        .withColumn("_rank", F.explode(ranks))
+        .withColumn("_rank", F.explode(around))
+        .select(*keys, "level", "_share", "_rank")
     )
-    by_rank = [*keys, "_rank", "_low", "_high", "_below"]
-    search = targets.withColumn("_below", F.lit(0).cast("bigint")).select(*by_rank).distinct()
-    for _ in range(passes):
-        inside = data.join(small(search), keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
-        counted = (
-            inside.groupBy(*by_rank, _bucket(F.col("_v"), F.col("_low"), F.col("_high")).alias("_b"))
-            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bl"), F.max("_v").alias("_bh"))
+    ranks = targets.select(*keys, "_rank").distinct()
+    span = [*keys, "_low", "_high", "_below"]
+    ranges = bounds.withColumn("_below", F.lit(0).cast("bigint")).select(*span)
+
+    def cumulative(groups: DataFrame, order: str) -> DataFrame:
+        """Where each group of a range begins and ends among the key's sorted values."""
+        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*span).orderBy(order))
+        return groups.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
+
+    def within(ranges: DataFrame) -> DataFrame:
+        inside = data.join(small(ranges), keys)
+        return inside.where(F.col("_v").between(F.col("_low"), F.col("_high")))
+
+    def holding(groups: DataFrame) -> DataFrame:
+        """The groups that hold a wanted rank."""
+        return groups.join(small(ranks), keys).where(
+            (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto"))
         )
-        along = Window.partitionBy(*by_rank).orderBy("_b")
-        search = (
-            counted.withColumn("_upto", F.col("_below") + F.sum("_c").over(along))
-            .withColumn("_from", F.col("_upto") - F.col("_c"))
-            .where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto")))
-            .select(*keys, "_rank", F.col("_bl").alias("_low"), F.col("_bh").alias("_high"),
-                    F.col("_from").alias("_below"))
+
+    for _ in range(passes):
+        counted = within(ranges).groupBy(*span, _bucket(F.col("_v"), F.col("_low"), F.col("_high")).alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bl"), F.max("_v").alias("_bh")
         )
-    rest = (
-        data.join(small(search), keys)
-        .where(F.col("_v").between(F.col("_low"), F.col("_high")))
-        .groupBy(*by_rank, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    along = Window.partitionBy(*by_rank).orderBy("_v")
-    answers = (
-        rest.withColumn("_upto", F.col("_below") + F.sum("_c").over(along))
-        .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
-        .select(*keys, "_rank", "_v")
-    )
+        found = holding(cumulative(counted, "_b"))
+        ranges = found.select(
+            *keys, F.col("_bl").alias("_low"), F.col("_bh").alias("_high"), F.col("_from").alias("_below")
+        ).distinct()
+    values = within(ranges).groupBy(*span, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    answers = holding(cumulative(values, "_v")).select(*keys, "_rank", "_v")
     return (
-        targets.select(*keys, "level", "_share", "_rank")
-        .join(small(answers), [*keys, "_rank"])
+        targets.join(small(answers), [*keys, "_rank"])
         .groupBy(*keys, "level")
         .agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.first("_share").alias("_s"))
         .select(*keys, "level", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_s")).alias("value"))

@@ -56,12 +56,13 @@ def last_tick_sample(
     grid = math.gcd(step, DAY_MICROS)
     merged = (
         ticks.withColumn("bin", floor_to_step(F.col(ts), grid))
-        .groupBy(*keys, "bin")
+        .groupBy("bin", *keys)  # the time first: where Spark sorts, it sorts by a number
         .agg(
             _last_price(ts, price, ordinal).alias(price),
             F.min(ts).alias("first_ts"),
             F.max(ts).alias("last_ts"),
         )
+        .select(*keys, "bin", price, "first_ts", "last_ts")
     )
     return merged if grid == step else coarsen(merged, F.lit(step), keys=keys, price=price)
 
@@ -69,20 +70,19 @@ def last_tick_sample(
 def coarsen(sample: DataFrame, step: Column, *, keys: Sequence[str], price: str = "mid") -> DataFrame:
     """A sample merged into bins of ``step`` microseconds, anchored at each path's midnight.
 
-    The last price of a coarse bin is the price of its last fine bin, so ticks are read and
-    merged once for any number of coarser grids. ``step`` may be a column, and must be a
+    The last price of a coarse bin is the price of its last fine bin. ``step`` must be a
     multiple of the sample's own step.
     """
-    path = Window.partitionBy(*keys)
+    midnight = F.unix_micros(F.date_trunc("day", F.min("first_ts").over(Window.partitionBy(*keys))))
     since = F.unix_micros("bin") - F.col("_anchor")
     return (
-        sample.withColumn("_anchor", F.unix_micros(F.date_trunc("day", F.min("first_ts").over(path))))
+        sample.withColumn("_anchor", midnight)
         .withColumn("_coarse", F.timestamp_micros(F.col("_anchor") + since - F.pmod(since, step)))
-        .groupBy(*keys, "_coarse")
+        .groupBy("_coarse", *keys)
         .agg(
             F.max_by(price, "bin").alias(price),
             F.min("first_ts").alias("first_ts"),
             F.max("last_ts").alias("last_ts"),
         )
-        .withColumnRenamed("_coarse", "bin")
+        .select(*keys, F.col("_coarse").alias("bin"), price, "first_ts", "last_ts")
     )

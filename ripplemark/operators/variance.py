@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ripplemark.checks import non_negative_int, positive_int, require_columns
 from ripplemark.functions.numeric import is_positive, parzen_weight
 from ripplemark.functions.sessions import DAY_MICROS, step_micros
-from ripplemark.operators.sampling import SESSION_KEYS, coarsen, last_tick_sample
+from ripplemark.operators.sampling import SESSION_KEYS, last_tick_sample
 
 #: Up to this many kernel lags become window columns; more go through arrays.
 MAX_LAG_COLUMNS = 40
@@ -196,7 +196,9 @@ def realized_variance_by_frequency(
     """Realized variance of every path at each sampling step: keys, frequency, rv.
 
     Ticks are merged once, on the grid of the greatest common divisor of all steps (and of
-    24 hours, where a step does not divide it); every grid is built from those bins.
+    24 hours, where a step does not divide it). A coarser grid keeps the fine bins that are
+    the last of their coarse bin, so one sorted pass along each path serves every step: no
+    row is copied per step and nothing is shuffled again.
     """
     if not frequencies:
         raise ValueError("frequencies must not be empty")
@@ -205,16 +207,39 @@ def realized_variance_by_frequency(
     steps = [step_micros(frequency) for frequency in frequencies]
     finest = math.gcd(*steps, DAY_MICROS)
     fine = last_tick_sample(ticks, f"{finest}us", keys=keys, ts=ts, price=price, ordinal=ordinal)
-    grid = F.array(
-        *[
-            F.struct(F.lit(name).alias("frequency"), F.lit(step).cast("bigint").alias("step"))
-            for name, step in zip(frequencies, steps, strict=True)
-        ]
+    path = Window.partitionBy(*keys)
+    along = path.orderBy("bin")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    anchor = F.lit(0)
+    if any(DAY_MICROS % step for step in steps):
+        anchor = F.unix_micros(F.date_trunc("day", F.min("first_ts").over(path)))
+    us = F.unix_micros("bin")
+    placed = fine.select(
+        *keys, "bin",
+        F.when(is_positive(price), F.ln(F.col(price).cast("double"))).alias("_lp"),
+        (us - anchor).alias("_since"),
+        (F.lead(us).over(along) - anchor).alias("_next"),
     )
-    columns = [*keys, "frequency"]
-    spread = fine.select("*", F.inline(grid))
-    coarse = coarsen(spread, F.col("step"), keys=columns, price=price)
-    return summarize_paths(coarse, [realized_variance()], keys=columns, price=price).select(*columns, "rv")
+    ends = {
+        f"_end{k}": F.col("_next").isNull() | (F.floor(F.col("_next") / step) != F.floor(F.col("_since") / step))
+        for k, step in enumerate(steps)
+    }
+    moves = {
+        f"_r{k}": F.when(
+            F.col(f"_end{k}"), F.col("_lp") - F.last(F.when(F.col(f"_end{k}"), F.col("_lp")), ignorenulls=True).over(before)
+        )
+        for k in range(len(steps))
+    }
+    sums = [
+        F.when(
+            F.count_if(F.col(f"_end{k}") & F.col("_lp").isNull()) == 0, F.sum(F.col(f"_r{k}") * F.col(f"_r{k}"))
+        ).alias(f"_rv{k}")
+        for k in range(len(steps))
+    ]
+    rows = F.array(
+        *[F.struct(F.lit(name).alias("frequency"), F.col(f"_rv{k}").alias("rv")) for k, name in enumerate(frequencies)]
+    )
+    return placed.withColumns(ends).withColumns(moves).groupBy(*keys).agg(*sums).select(*keys, F.inline(rows))
 
 
 def signature(by_frequency: DataFrame, *, keys: Sequence[str] = ("asset",)) -> DataFrame:

@@ -9,25 +9,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.checks import finite_number
-from ripplemark.operators.comparison import forecast_losses
+from ripplemark.operators.comparison import forecast_losses, scoreboard
 from ripplemark.operators.features import TrailingMeanFeatures
 from ripplemark.operators.forecasts import walk_forward_models
+from ripplemark.operators.models import ForecastModel, LinearRegression
 from ripplemark.operators.smearing import smeared_forecasts
 from ripplemark.plans.study import RIDGE_GRID, StudyDesign, ridge_model
 
 _NAME = "ridge@"
 
 
+def _penalty_models(features: TrailingMeanFeatures, penalties: Sequence[float]) -> list[ForecastModel]:
+    if not penalties or len(set(penalties)) != len(penalties):
+        raise ValueError("penalties must be non-empty and unique")
+    for penalty in penalties:
+        finite_number(penalty, "penalty", minimum=0.0)
+    return [ridge_model(features, penalty, f"{_NAME}{penalty!r}") for penalty in penalties]
+
+
 def penalty_forecasts(
     data: DataFrame, features: TrailingMeanFeatures, penalties: Sequence[float], *,
     min_train_size: int, start: date | None, end: date | None,
 ) -> DataFrame:
     """Walk-forward forecasts at every penalty, from one pass of running sums."""
-    if not penalties or len(set(penalties)) != len(penalties):
-        raise ValueError("penalties must be non-empty and unique")
-    for penalty in penalties:
-        finite_number(penalty, "penalty", minimum=0.0)
-    models = [ridge_model(features, penalty, f"{_NAME}{penalty!r}") for penalty in penalties]
+    models = _penalty_models(features, penalties)
     return walk_forward_models(data, models, min_train_size=min_train_size, start=start, end=end)
 
 
@@ -89,34 +94,47 @@ def uses_no_evaluation_data(
     return both.where(~F.coalesce(same, F.lit(False)))
 
 
-def chosen_forecasts(
+def tuned_losses(
     data: DataFrame, features: TrailingMeanFeatures, design: StudyDesign,
     penalties: Sequence[float] = RIDGE_GRID, *, name: str = "HAR-ridge",
 ) -> DataFrame:
-    """Log forecasts at each series' own chosen penalty, as one model.
+    """Evaluation losses of the candidate and of the ridge model at each series' own penalty.
 
-    All penalties are forecast in the one pass; a series keeps the rows of its choice. The
-    choice only reads losses of targets before the evaluation starts.
+    The candidate and every penalty are forecast in one pass and smeared, each by its own past
+    errors, before the choice is made; the choice reads only losses of targets before the
+    evaluation starts. Adds ``penalty``, ``calibration_loss`` and ``at_grid_edge``.
     """
-    log_forecasts = penalty_forecasts(
-        data, features, penalties, min_train_size=design.min_train_size,
-        start=design.forecast_start, end=design.forecast_end,
+    grid = _penalty_models(features, penalties)
+    candidate = ForecastModel(design.candidate, LinearRegression(), features.columns)
+    losses = forecast_losses(smeared_forecasts(design.forecast(data, [candidate, *grid])), design.loss)
+    early = F.when(F.col("target_date") < F.lit(design.evaluation_start), F.col("loss"))
+    tried = F.when(F.col("model") != design.candidate, F.substring_index("model", "@", -1).cast("double"))
+    scored = losses.withColumns(
+        {"_tried": tried, "_score": F.avg(early).over(Window.partitionBy("series", "model"))}
+    )
+    best = F.min(F.when(F.col("_tried").isNotNull(), F.struct("_score", "_tried")))
+    chosen = scored.withColumn("_best", best.over(Window.partitionBy("series"))).where(
+        (F.col("_tried").isNull() | (F.col("_tried") == F.col("_best._tried")))
+        & (F.col("target_date") >= F.lit(design.evaluation_start))
     )
-    early = F.col("target_date") < F.lit(design.evaluation_start)
-    scored = forecast_losses(smeared_forecasts(log_forecasts).where(early), design.loss)
-    scores = scored.groupBy("series", "model").agg(
-        F.avg("loss").alias("_score"),
-    ).withColumn("_penalty", F.substring_index("model", "@", -1).cast("double"))
-    order = Window.partitionBy("series").orderBy("_score", "_penalty")
-    chosen = scores.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("series", "model")
-    return log_forecasts.join(chosen, ["series", "model"], "left_semi").withColumn("model", F.lit(name)).select(
-        *log_forecasts.columns
+    penalty = F.col("_best._tried")
+    return chosen.select(
+        F.when(F.col("_tried").isNull(), F.lit(design.candidate)).otherwise(F.lit(name)).alias("model"),
+        *[c for c in losses.columns if c != "model"],
+        penalty.alias("penalty"),
+        F.col("_best._score").alias("calibration_loss"),
+        penalty.isin(min(penalties), max(penalties)).alias("at_grid_edge"),
     )
 
 
-def ridge_verdict(choice: DataFrame, results: DataFrame, *, name: str = "HAR-ridge") -> DataFrame:
+def ridge_verdict(tuned: DataFrame, candidate: str, *, name: str = "HAR-ridge") -> DataFrame:
     """Per series: chosen penalty, whether it lies at the grid's edge, and how it fared."""
-    row = results.where(F.col("model") == name).select("series", "lower_by", "p_value")
+    choice = tuned.groupBy("series").agg(
+        F.max("penalty").alias("penalty"), F.bool_or("at_grid_edge").alias("at_grid_edge")
+    )
+    row = scoreboard(tuned, candidate).where(F.col("model") == name).select(
+        "series", (F.lit(1.0) - F.try_divide("candidate_mean", "mean_loss")).alias("lower_by"), "p_value"
+    )
     return choice.join(row, "series").select(
         "series", "penalty", "at_grid_edge",
         F.when(F.col("lower_by") > 0, "loses to").otherwise("beats").alias("outcome"),

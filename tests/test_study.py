@@ -258,19 +258,22 @@ def test_penalties_in_one_pass_equal_single_runs(data):
 def test_the_choice_uses_no_evaluation_data(data):
     assert K.uses_no_evaluation_data(data, FEATURES, PLAN).count() == 0
     choice = {r.series: r for r in K.best_penalty(K.calibration(data, FEATURES, PLAN)).collect()}
-    chosen = K.chosen_forecasts(data, FEATURES, PLAN)
-    assert chosen.select("model").distinct().collect() == [("HAR-ridge",)]
+    tuned = K.tuned_losses(data, FEATURES, PLAN).persist()
+    assert {r.model for r in tuned.select("model").distinct().collect()} == {"HAR", "HAR-ridge"}
+    verdict = {r.series: r for r in K.ridge_verdict(tuned, "HAR").collect()}
     for series, row in choice.items():
-        direct = PLAN.forecast(data.where(F.col("series") == series), [ridge_model(FEATURES, row.penalty)])
-        mine = chosen.where(F.col("series") == series)
-        assert mine.count() == direct.count() > 0
-        gap = mine.join(direct.withColumnRenamed("predicted", "p"), ["series", "target_date"]).agg(F.max(F.abs(F.col("predicted") - F.col("p"))))
-        assert gap.first()[0] < 1e-12
-        assert row.at_grid_edge == (row.penalty in (0.1, 100.0))
-    har = PLAN.forecast(data, MODELS[:1])
-    results = PLAN.evaluate(har.unionByName(chosen)).results_table()
-    for r in K.ridge_verdict(K.best_penalty(K.calibration(data, FEATURES, PLAN)), results).collect():
-        assert r.outcome in ("beats", "loses to") and r.penalty == choice[r.series].penalty
+        one = data.where(F.col("series") == series)
+        direct = PLAN.run(one, [MODELS[0], ridge_model(FEATURES, row.penalty)]).evaluation
+        mine = tuned.where(F.col("series") == series)
+        gap = mine.join(direct.losses.withColumnRenamed("loss", "l"), ["series", "model", "target_date"]).agg(
+            F.count("*").alias("n"), F.max(F.abs(F.col("loss") - F.col("l"))).alias("gap")
+        ).first()
+        assert gap.n == direct.losses.count() == mine.count() > 0 and gap.gap < 1e-10
+        assert row.at_grid_edge == verdict[series].at_grid_edge == (row.penalty in (0.1, 100.0))
+        assert verdict[series].penalty == row.penalty
+        board = {r.model: r for r in direct.results_table().collect()}["HAR-ridge"]
+        assert verdict[series].outcome == ("loses to" if board.lower_by > 0 else "beats")
+        assert verdict[series].p_value == pytest.approx(board.p_value, rel=1e-6)
 
 
 def test_hindsight_scores_the_evaluation_period(data):
