@@ -244,6 +244,22 @@ FROM grid ANTI JOIN present USING (asset, hour) WHERE dayofweek(hour) <> 6""",
 )
 sql("assembled_ticks", QUOTES, f"SELECT {i('event_id')}, asset, {f('0.5e0 * (bid + ask)', 'mid', 9)} FROM quotes")
 
+SYMBOL = """CASE asset WHEN 'click' THEN 'EURUSD' WHEN 'signup' THEN 'EURUSD' WHEN 'error' THEN 'USDJPY'
+  WHEN 'purchase' THEN 'XAUUSD' WHEN 'view' THEN 'USA500IDXUSD' END"""
+sql(
+    "decoded_hours",
+    ALL_TICKS + f""",
+points AS (
+  SELECT *, {SYMBOL} AS symbol, CAST(round(mid * 100) AS BIGINT) * 10 AS bid_points,
+         CAST(round(mid * 100) AS BIGINT) * 10 + event_id % 7 AS ask_points,
+         CASE WHEN {SYMBOL} = 'EURUSD' THEN 1e5 ELSE 1e3 END AS divider FROM all_ticks
+)""",
+    f"""SELECT symbol AS asset, {t("date_trunc('millisecond', ts)", 'ts')}, {f('bid_points / divider', 'bid', 9)},
+       {f('ask_points / divider', 'ask', 9)}, {f('event_id % 8 / 2', 'bid_vol', 9)}, {f('event_id % 16 / 4', 'ask_vol', 9)},
+       {f('(bid_points + ask_points) / divider / 2', 'mid', 9)} FROM points""",
+)
+sql("daily_table", DAILY, DAILY_SELECT + "daily")
+
 # --- variance measures --------------------------------------------------------------------------------------
 
 PATHS = ",".join([TICKS, bins(30), returns()])
@@ -691,6 +707,45 @@ sql(
     f"SELECT series, {floats('penalty', 'evaluation_loss')} FROM scores",
 )
 
+sql(
+    "walk_forward_violations",
+    DATA + """,
+broken AS (
+  SELECT series, origin_date, day(origin_date) AS dom,
+         CASE day(origin_date) WHEN 7 THEN origin_date WHEN 9 THEN origin_date + 5 WHEN 11 THEN NULL ELSE target_date END AS target_date
+  FROM data
+  UNION ALL SELECT series, origin_date, 20 AS dom, target_date FROM data WHERE day(origin_date) = 20
+),
+placed AS (
+  SELECT *, lag(target_date) OVER (PARTITION BY series ORDER BY origin_date) AS before,
+         row_number() OVER (PARTITION BY series, origin_date ORDER BY target_date) AS copy FROM broken
+)""",
+    f"""SELECT series, {i('count(*) FILTER (target_date IS NULL)', 'missing')},
+       {i('count(*) FILTER (coalesce(origin_date >= target_date, true))', 'not_before')},
+       {i('count(*) FILTER (before > target_date)', 'goes_back')}, {i('count(*) FILTER (dom = 3)', 'not_finite')},
+       {i('count(*) FILTER (copy > 1)', 'repeated')} FROM placed GROUP BY series""",
+)
+sql(
+    "forecast_violations",
+    FIVE + """,
+broken AS (
+  SELECT model, CASE WHEN day(target_date) = 12 THEN '  ' ELSE series END AS series, target_date, day(target_date) AS dom,
+         CASE day(target_date) WHEN 7 THEN target_date WHEN 9 THEN NULL ELSE origin_date END AS origin_date FROM log_forecasts
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY series, model, target_date ORDER BY origin_date) AS copy FROM broken
+)""",
+    f"""SELECT model, {i('count(*) FILTER (origin_date IS NULL)', 'missing')}, {i("count(*) FILTER (trim(series) = '')", 'blank')},
+       {i('count(*) FILTER (dom = 3)', 'not_finite')},
+       {i('count(*) FILTER (coalesce(origin_date >= target_date, true))', 'not_after')},
+       {i('count(*) FILTER (copy > 1)', 'repeated')} FROM placed GROUP BY model""",
+)
+sql(
+    "uneven_cases", FIVE,
+    f"""SELECT series, {d('origin_date')}, {d('target_date')}, {i('4', 'models')}, {i('5', 'all_models')}
+FROM log_forecasts WHERE model = 'EWMA' AND day(target_date) = 5""",
+)
+
 # --- comparison -----------------------------------------------------------------------------------------------
 
 sql(

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import lzma
 import os
 import tempfile
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ripplemark.catalog import inputs as I
 from ripplemark.checks import violations
@@ -18,10 +21,10 @@ from ripplemark.functions.sessions import pair_name, session_close, session_open
 from ripplemark.operators import comparison as C
 from ripplemark.operators import features as X
 from ripplemark.operators import forecasts as W
+from ripplemark.operators import smearing as SM
 from ripplemark.operators import variance as V
 from ripplemark.operators.models import ForecastModel, LinearRegression
 from ripplemark.operators.sampling import last_tick_sample
-from ripplemark.operators.smearing import smeared_forecasts
 from ripplemark.operators.timeline import accumulate_known
 from ripplemark.plans import calibration as K
 from ripplemark.plans import daily as D
@@ -30,6 +33,7 @@ from ripplemark.plans import diagnostics as G
 from ripplemark.plans.study import RIDGE_GRID, ridge_model
 from ripplemark.session import configure
 from ripplemark.sources import raw_hours, ticks as T
+from ripplemark.sources.daily_table import Layout, refresh_daily
 from ripplemark.streaming.daily import stream_daily
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +172,63 @@ def assembled_ticks(spark, sf_dir):
     return raw_hours.assemble_ticks(I.quotes(spark, sf_dir).drop("mid")).select("event_id", "asset", "mid")
 
 
+SYMBOLS = {"click": "EURUSD", "signup": "EURUSD", "error": "USDJPY", "purchase": "XAUUSD", "view": "USA500IDXUSD"}
+
+
+def _bodies(spark, sf_dir):
+    """The events as raw hourly bodies, one per symbol and hour, the way they would land."""
+    symbol = F.lit(None).cast("string")
+    for name, value in SYMBOLS.items():
+        symbol = F.when(F.col("asset") == name, value).otherwise(symbol)
+    us = F.unix_micros("ts")
+    points = F.round(F.col("mid") * 100).cast("bigint")
+    records = I.all_ticks(spark, sf_dir).select(
+        symbol.alias("asset"), (us - F.pmod(us, F.lit(3_600_000_000))).alias("hour_us"),
+        F.floor(F.pmod(us, F.lit(3_600_000_000)) / 1000).alias("ms"),
+        (points * 10 + F.col("event_id") % 7).alias("ask"), (points * 10).alias("bid"),
+        (F.col("event_id") % 16 / 4).alias("ask_vol"), (F.col("event_id") % 8 / 2).alias("bid_vol"),
+    )
+
+    hour = F.array_sort(F.collect_list(F.struct(*raw_hours.RECORD.names)))
+    hours = records.groupBy("asset", "hour_us").agg(hour.alias("r"))
+    fields = [F.col("r").getField(name) for name in raw_hours.RECORD.names]
+    return hours.select("asset", "hour_us", F.concat_ws("/", "asset", "hour_us").alias("path"), _pack(*fields).alias("content"))
+
+
+@F.pandas_udf(BinaryType())
+def _pack(ms: pd.Series, ask: pd.Series, bid: pd.Series, ask_vol: pd.Series, bid_vol: pd.Series) -> pd.Series:
+    """Compressed bodies of the given records, one per row."""
+    bodies = []
+    for values in zip(ms, ask, bid, ask_vol, bid_vol, strict=True):
+        packed = np.zeros(len(values[0]), dtype=raw_hours.RECORD)
+        for name, column in zip(raw_hours.RECORD.names, values, strict=True):
+            packed[name] = column
+        bodies.append(lzma.compress(packed.tobytes(), format=lzma.FORMAT_ALONE, preset=0))
+    return pd.Series(bodies)
+
+
+@query(digits=9)
+def decoded_hours(spark, sf_dir):
+    landed = _bodies(spark, sf_dir).withColumn("hour", F.timestamp_micros("hour_us"))
+    return raw_hours.decode_hours(landed)
+
+
+def _scratch(spark, name):
+    """A new folder: below the cluster's shared checkpoint folder, or a temporary one where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix=f"{name}-")
+    return f"{shared}/{name}-{os.urandom(8).hex()}"
+
+
+@query
+def daily_table(spark, sf_dir):
+    """Ticks written by asset and date, the daily table refreshed from them, and read back."""
+    layout = Layout(_scratch(spark, "daily-table"))
+    T.write_ticks(I.ticks(spark, sf_dir).drop("event_id"), layout.ticks)
+    return refresh_daily(spark, layout, frequency=I.BAR)
+
+
 # --- variance measures ------------------------------------------------------------------------------
 
 
@@ -430,7 +491,7 @@ def quarterly_slopes(spark, sf_dir):
 
 @query(digits={"actual": 2, "predicted": 2})
 def smeared(spark, sf_dir):
-    return smeared_forecasts(I.study(spark, sf_dir).forecasts)
+    return SM.smeared_forecasts(I.study(spark, sf_dir).forecasts)
 
 
 @query
@@ -464,6 +525,45 @@ def ridge_verdict(spark, sf_dir):
     return K.ridge_verdict(K.tuned_losses(I.forecast_data(spark, sf_dir), I.FEATURES, I.DESIGN), "HAR")
 
 
+@query
+def walk_forward_violations(spark, sf_dir):
+    """A forecasting table with broken rows: what is wrong, and how often."""
+    data = I.forecast_data(spark, sf_dir)
+    day = F.dayofmonth("origin_date")
+    broken = data.withColumns(
+        {
+            "target": F.when(day == 3, float("nan")).otherwise(F.col("target")),
+            "target_date": F.when(day == 7, F.col("origin_date")).when(day == 9, F.date_add("origin_date", 5))
+            .when(day == 11, F.lit(None)).otherwise(F.col("target_date")),
+        }
+    )
+    found = W.walk_forward_violations(broken.unionByName(data.where(day == 20)), I.HAR.regressors)
+    return found.toDF("series", "missing", "not_before", "goes_back", "not_finite", "repeated")
+
+
+@query
+def forecast_violations(spark, sf_dir):
+    """Forecast records with broken rows: what is wrong, and how often, per model."""
+    runs = I.study(spark, sf_dir).forecasts
+    day = F.dayofmonth("target_date")
+    broken = runs.withColumns(
+        {
+            "predicted": F.when(day == 3, float("inf")).otherwise(F.col("predicted")),
+            "origin_date": F.when(day == 7, F.col("target_date")).when(day == 9, F.lit(None)).otherwise(F.col("origin_date")),
+            "series": F.when(day == 12, F.lit("  ")).otherwise(F.col("series")),
+        }
+    )
+    return SM.forecast_violations(broken).toDF("model", "missing", "blank", "not_finite", "not_after", "repeated")
+
+
+@query
+def uneven_cases(spark, sf_dir):
+    """Cases that not every model has, after some are taken from one model."""
+    runs = I.study(spark, sf_dir).forecasts
+    short = runs.where(~((F.col("model") == "EWMA") & (F.dayofmonth("target_date") == 5)))
+    return C.uneven_cases(short).drop("actual")
+
+
 # --- comparison -------------------------------------------------------------------------------------------
 
 
@@ -634,8 +734,7 @@ def volatility_history(spark, sf_dir):
 def stream_daily_rv(spark, sf_dir):
     """The event file as a stream: sessions the watermark has closed, written as files."""
     schema = I.table(spark, sf_dir, "events").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = tempfile.mkdtemp(prefix="stream-daily-") if shared is None else f"{shared}/stream-daily-{os.urandom(8).hex()}"
+    base = _scratch(spark, "stream-daily")
     arriving = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")

@@ -57,14 +57,18 @@ def forecast_losses(forecasts: DataFrame, loss: Loss, *, check: bool = False) ->
     return result
 
 
-def enforce_aligned(forecasts: DataFrame) -> None:
-    """Within a series, all models have the same origins, targets and actual values."""
+def uneven_cases(forecasts: DataFrame) -> DataFrame:
+    """Cases (origin, target date, actual value) that not every model of the series has."""
     cases = forecasts.groupBy("series", "origin_date", "target_date", "actual").agg(
         F.countDistinct("model").alias("models")
     )
     models = forecasts.groupBy("series").agg(F.countDistinct("model").alias("all_models"))
-    uneven = cases.join(models, "series").where("models <> all_models").limit(1)
-    if not uneven.isEmpty():
+    return cases.join(models, "series").where(F.col("models") != F.col("all_models"))
+
+
+def enforce_aligned(forecasts: DataFrame) -> None:
+    """Within a series, all models have the same origins, targets and actual values."""
+    if not uneven_cases(forecasts).limit(1).isEmpty():
         raise DataError("all models of a series must have identical dates and actual values")
 
 

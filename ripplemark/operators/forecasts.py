@@ -29,6 +29,7 @@ from ripplemark.checks import (
     enforce_unique,
     positive_int,
     require_columns,
+    violations,
 )
 from ripplemark.functions.numeric import is_finite
 from ripplemark.operators.features import ORIGIN, SERIES
@@ -218,19 +219,35 @@ _FORECAST_SCHEMA = (
 )
 
 
-def enforce_walk_forward_inputs(data: DataFrame, columns: Sequence[str]) -> None:
-    """Run the data rules of :func:`walk_forward` now."""
-    before = F.lag("target_date").over(Window.partitionBy(SERIES).orderBy(ORIGIN))
-    rules = {
+def walk_forward_rules(columns: Sequence[str]) -> dict[str, Column]:
+    """What makes a row of a forecasting table unusable (``_before`` is the previous target date)."""
+    not_finite = ~is_finite("target")
+    for column in columns:
+        not_finite = not_finite | ~is_finite(column)
+    return {
         "missing series, origin or target date": F.col(SERIES).isNull()
         | F.col(ORIGIN).isNull() | F.col("target_date").isNull(),
         "origin is not before its target date": F.col(ORIGIN) >= F.col("target_date"),
         "target dates go back": F.coalesce(F.col("_before") > F.col("target_date"), F.lit(False)),
-        "a feature or target is not finite": ~is_finite("target"),
+        "a feature or target is not finite": not_finite,
     }
-    for column in columns:
-        rules["a feature or target is not finite"] |= ~is_finite(column)
-    enforce(data.withColumn("_before", before), rules, "forecasting table")
+
+
+def _with_previous_target(data: DataFrame) -> DataFrame:
+    before = F.lag("target_date").over(Window.partitionBy(SERIES).orderBy(ORIGIN))
+    return data.withColumn("_before", before)
+
+
+def walk_forward_violations(data: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per series, how many rows break each rule, and how many repeat an origin."""
+    place = F.row_number().over(Window.partitionBy(SERIES, ORIGIN).orderBy("target_date"))
+    rules = {**walk_forward_rules(columns), "repeated origin": F.col("_copy") > 1}
+    return violations(_with_previous_target(data).withColumn("_copy", place), rules, [SERIES])
+
+
+def enforce_walk_forward_inputs(data: DataFrame, columns: Sequence[str]) -> None:
+    """Run the data rules of :func:`walk_forward` now."""
+    enforce(_with_previous_target(data), walk_forward_rules(columns), "forecasting table")
     enforce_unique(data, [SERIES, ORIGIN], "forecasting table")
 
 
@@ -305,7 +322,12 @@ def walk_forward_models(
         else:
             parts.append(_closed_forecasts(known, closed, window, min_train_size))
     if custom:
-        spread = rows.select("*", F.explode(F.array(*[F.lit(m.name) for m in custom])).alias("model"))
+        # Refits cost time, not bytes: a fixed number of partitions keeps adaptive execution
+        # from merging the small groups into a few tasks.
+        tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = rows.select("*", F.explode(F.array(*[F.lit(m.name) for m in custom])).alias("model")).repartition(
+            tasks, SERIES, "model"
+        )
         run = _custom_group({m.name: m for m in custom}, columns, min_train_size)
         parts.append(spread.groupBy(SERIES, "model").applyInPandas(run, _FORECAST_SCHEMA))
     stacked = parts[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.checks import (
@@ -11,6 +11,7 @@ from ripplemark.checks import (
     enforce_unique,
     positive_int,
     require_columns,
+    violations,
 )
 from ripplemark.functions.numeric import is_finite
 from ripplemark.operators.timeline import EVENT, QUERY_AFTER, running, self_timeline
@@ -22,17 +23,28 @@ CASE_COLUMNS = ("model", "origin_date", "target_date", "series")
 MIN_ERRORS = 20
 
 
-def enforce_forecasts(forecasts: DataFrame) -> None:
-    """Run the data rules of a forecast table now."""
-    require_columns(forecasts, [*CASE_COLUMNS, "actual", "predicted"], "forecast")
-    enforce_not_empty(forecasts, "forecasts")
-    rules = {
+def forecast_rules() -> dict[str, Column]:
+    """What makes a forecast record unusable."""
+    return {
         "origin or target date missing": F.col("origin_date").isNull() | F.col("target_date").isNull(),
         "blank model or series": (F.trim("model") == "") | (F.trim("series") == ""),
         "forecast value not finite": ~is_finite("actual") | ~is_finite("predicted"),
         "target date not after its origin": F.col("origin_date") >= F.col("target_date"),
     }
-    enforce(forecasts, rules, "forecasts")
+
+
+def forecast_violations(forecasts: DataFrame) -> DataFrame:
+    """How many records of each model break each rule, and how many repeat a target date."""
+    copies = Window.partitionBy("series", "model", "target_date").orderBy("origin_date")
+    numbered = forecasts.withColumn("_copy", F.row_number().over(copies))
+    return violations(numbered, {**forecast_rules(), "repeated target date": F.col("_copy") > 1}, ["model"])
+
+
+def enforce_forecasts(forecasts: DataFrame) -> None:
+    """Run the data rules of a forecast table now."""
+    require_columns(forecasts, [*CASE_COLUMNS, "actual", "predicted"], "forecast")
+    enforce_not_empty(forecasts, "forecasts")
+    enforce(forecasts, forecast_rules(), "forecasts")
     enforce_unique(forecasts, ["series", "model", "target_date"], "forecasts")
 
 

@@ -37,6 +37,9 @@ PUBLICATION_DELAY_DAYS = 1
 # Fixed value: SYMBOL/year/month/day/HHh_ticks.bi5
 PATH_PATTERN = r"([^/]+)/(\d{4})/(\d{2})/(\d{2})/(\d{2})h_ticks\.bi5$"
 
+#: Decoded ticks handed back to Spark at a time.
+TICKS_PER_BATCH = 500_000
+
 TICK_SCHEMA = "asset string, ts timestamp, bid double, ask double, bid_vol double, ask_vol double"
 
 
@@ -64,23 +67,38 @@ def decode_body(raw: bytes | None, label: str = "body") -> np.ndarray:
     return np.frombuffer(body, dtype=RECORD)
 
 
+def _ticks_of(files: list[tuple[str, int, float, np.ndarray]]) -> pd.DataFrame:
+    """Typed ticks of several decoded bodies, as one table."""
+    counts = [len(records) for *_, records in files]
+    records = np.concatenate([records for *_, records in files])
+    start = np.repeat([hour_us for _, hour_us, _, _ in files], counts)
+    divider = np.repeat([divider for _, _, divider, _ in files], counts)
+    ts = (start + records["ms"].astype("int64") * 1000).astype("datetime64[us]")
+    return pd.DataFrame(
+        {
+            "asset": np.repeat([asset for asset, *_ in files], counts),
+            "ts": pd.Series(ts).dt.tz_localize("UTC"),
+            "bid": records["bid"] / divider,
+            "ask": records["ask"] / divider,
+            "bid_vol": records["bid_vol"].astype("float64"),
+            "ask_vol": records["ask_vol"].astype("float64"),
+        }
+    )
+
+
 def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        waiting, size = [], 0
         for file in batch.itertuples(index=False):
             records = decode_body(file.content, file.path)
-            if not len(records):
-                continue
-            start = np.datetime64(int(file.hour_us), "us")
-            yield pd.DataFrame(
-                {
-                    "asset": file.asset,
-                    "ts": pd.Series(start + records["ms"].astype("int64") * np.timedelta64(1000, "us")).dt.tz_localize("UTC"),
-                    "bid": records["bid"].astype("float64") / file.divider,
-                    "ask": records["ask"].astype("float64") / file.divider,
-                    "bid_vol": records["bid_vol"].astype("float64"),
-                    "ask_vol": records["ask_vol"].astype("float64"),
-                }
-            )
+            if len(records):
+                waiting.append((file.asset, file.hour_us, file.divider, records))
+                size += len(records)
+            if size >= TICKS_PER_BATCH:
+                yield _ticks_of(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield _ticks_of(waiting)
 
 
 def landed_hours(spark: SparkSession, root: str, *, month_base: int = 1) -> DataFrame:
