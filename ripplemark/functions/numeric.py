@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemark.checks import finite_number
@@ -97,13 +97,15 @@ def _polynomial(coefficients: tuple[str, ...], x: str) -> str:
     return text
 
 
-def normal_sf_sql(z: str) -> str:
+def normal_sf_sql(z: str, scaled: str | None = None, square: str | None = None, inverse: str | None = None) -> str:
     """SQL text of the standard normal survival function 1 - Phi(z) of the column ``z``.
 
-    Plain arithmetic, so it stays inside code generation and runs in any SQL engine.
+    Plain arithmetic, so it stays inside code generation and runs in any SQL engine. The other
+    arguments name columns that already hold |z| / sqrt(2), its square and 1 / square.
     """
-    y = f"(abs({z}) * 7.0710678118654752e-1)"
-    square = f"({y} * {y})"
+    y = scaled or f"(abs({z}) * 7.0710678118654752e-1)"
+    square = square or f"({y} * {y})"
+    inverse = inverse or f"(1e0 / {square})"
     small = (
         f"5e-1 - 5e-1 * {z} * 7.0710678118654752e-1 * {_polynomial(_ERF_SMALL_TOP, square)}"
         f" / {_polynomial(_ERF_SMALL_BOTTOM, square)}"
@@ -112,7 +114,6 @@ def normal_sf_sql(z: str) -> str:
         f"5e-1 * exp(-{square}) * {_polynomial(_ERFC_MIDDLE_TOP, y)}"
         f" / {_polynomial(_ERFC_MIDDLE_BOTTOM, y)}"
     )
-    inverse = f"(1e0 / {square})"
     tail = (
         f"5e-1 * exp(-{square}) / {y} * (5.6418958354775628695e-1 - {inverse}"
         f" * {_polynomial(_ERFC_TAIL_TOP, inverse)} / {_polynomial(_ERFC_TAIL_BOTTOM, inverse)})"
@@ -126,6 +127,15 @@ def normal_sf_sql(z: str) -> str:
     )
 
 
-def normal_sf(z: str) -> Column:
-    """1 - Phi of the column named ``z``."""
-    return F.expr(normal_sf_sql(f"`{z}`"))
+def with_normal_sf(frame: DataFrame, z: str, name: str) -> DataFrame:
+    """Add 1 - Phi of the column named ``z``; what the formula repeats is computed once."""
+    y = F.abs(z) * F.lit(math.sqrt(0.5))
+    square = F.col("_y") * F.col("_y")
+    inverse = F.lit(1.0) / F.nullif(F.col("_y2"), F.lit(0.0))
+    return (
+        frame.withColumn("_y", y)
+        .withColumn("_y2", square)
+        .withColumn("_y3", inverse)
+        .withColumn(name, F.expr(normal_sf_sql(f"`{z}`", "_y", "_y2", "_y3")))
+        .drop("_y", "_y2", "_y3")
+    )

@@ -21,7 +21,7 @@ from ripplemark.checks import (
     require_columns,
 )
 from ripplemark.functions.losses import Loss
-from ripplemark.functions.numeric import is_finite, normal_sf
+from ripplemark.functions.numeric import is_finite, with_normal_sf
 from ripplemark.operators.smearing import CASE_COLUMNS, enforce_forecasts, with_series
 
 # Fixed value: spacing of double precision numbers at 1.
@@ -77,16 +77,20 @@ def loss_matrix(losses: DataFrame, models: Sequence[str]) -> DataFrame:
     return losses.groupBy("series", "target_date").pivot("model", list(models)).agg(F.first("loss"))
 
 
-def paired_losses(losses: DataFrame, candidate: str, *, keep_candidate: bool = False) -> DataFrame:
+def paired_losses(
+    losses: DataFrame, candidate: str, *, keep_candidate: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
     """Every baseline's loss beside the candidate's of the same series and date.
 
+    ``carry`` names further columns to keep.
+
     Columns ``series, target_date, baseline_model, baseline_loss, candidate_loss, gain``,
     where gain is the baseline's loss less the candidate's.
     """
     require_columns(losses, ["series", "model", "target_date", "loss"], "losses")
     date = Window.partitionBy("series", "target_date")
     proposed = F.max(F.when(F.col("model") == candidate, F.col("loss"))).over(date)
-    pairs = losses.select("series", "target_date", "model", "loss").withColumn("candidate_loss", proposed)
+    pairs = losses.select("series", "target_date", "model", "loss", *carry).withColumn("candidate_loss", proposed)
     rule = F.col("candidate_loss").isNotNull()
     if not keep_candidate:
         rule = rule & (F.col("model") != candidate)
@@ -96,6 +100,7 @@ def paired_losses(losses: DataFrame, candidate: str, *, keep_candidate: bool = F
         F.col("loss").alias("baseline_loss"),
         "candidate_loss",
         (F.col("loss") - F.col("candidate_loss")).alias("gain"),
+        *carry,
     )
 
 
@@ -206,7 +211,7 @@ def diebold_mariano(
         .when(flat, F.lit(float("-inf")))
         .otherwise(mean / F.sqrt(F.col("_variance") / n)),
     )
-    return tests.withColumn("p_value", normal_sf("statistic")).drop("_gamma", "_variance", "_tolerance", "_square")
+    return with_normal_sf(tests.drop("_gamma", "_variance", "_tolerance", "_square"), "statistic", "p_value")
 
 
 def hac_sensitivity(
@@ -235,16 +240,18 @@ def scoreboard(
     hac_lags: int | None = None,
     tie_rtol: float = TIE_RTOL,
     tie_atol: float = TIE_ATOL,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Every model against the candidate in one aggregation, the candidate's own row included.
 
     Columns ``series, model, n_obs, mean_loss, candidate_mean, dm_statistic, p_value,
-    candidate_wins, ties``; test and wins are null in the candidate's row.
+    candidate_wins, ties``; test and wins are null in the candidate's row. ``carry`` names
+    columns that are the same in all rows of a series, and are kept.
     """
     for name, value in (("tie_rtol", tie_rtol), ("tie_atol", tie_atol)):
         finite_number(value, name, minimum=0.0)
     tie = _is_tie(tie_rtol, tie_atol)
-    pairs = paired_losses(losses, candidate, keep_candidate=True)
+    pairs = paired_losses(losses, candidate, keep_candidate=True, carry=carry)
     tests = diebold_mariano(
         pairs,
         lags=hac_lags,
@@ -253,6 +260,7 @@ def scoreboard(
             F.avg("candidate_loss").alias("candidate_mean"),
             F.count_if((F.col("candidate_loss") < F.col("baseline_loss")) & ~tie).alias("_wins"),
             F.count_if(tie).alias("_ties"),
+            *[F.max(name).alias(name) for name in carry],
         ],
     )
     other = F.col("baseline_model") != candidate
@@ -264,6 +272,7 @@ def scoreboard(
         F.when(other, F.col("p_value")).alias("p_value"),
         F.when(other, F.col("_wins")).alias("candidate_wins"),
         F.when(other, F.col("_ties")).alias("ties"),
+        *carry,
     )
 
 
@@ -298,9 +307,12 @@ def results_table(losses: DataFrame, candidate: str) -> DataFrame:
     """One row per series and model, best first: mean loss, the candidate's advantage
     ``lower_by``, the test's p-value, and the candidate's win rate."""
     board = scoreboard(losses, candidate)
-    return board.select(
+    table = board.select(
         "series", "model", "n_obs", "mean_loss",
         (F.lit(1.0) - F.try_divide("candidate_mean", "mean_loss")).alias("lower_by"),
         "p_value",
         (F.col("candidate_wins") / F.col("n_obs")).alias("candidate_win_rate"),
-    ).orderBy("series", "mean_loss", "model")
+    )
+    # Sorting samples its input first: the few finished rows are exchanged before it, so that
+    # the tests behind them are computed once.
+    return table.repartition("series").orderBy("series", "mean_loss", "model")

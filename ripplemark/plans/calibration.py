@@ -129,15 +129,11 @@ def tuned_losses(
 
 def ridge_verdict(tuned: DataFrame, candidate: str, *, name: str = "HAR-ridge") -> DataFrame:
     """Per series: chosen penalty, whether it lies at the grid's edge, and how it fared."""
-    choice = tuned.groupBy("series").agg(
-        F.max("penalty").alias("penalty"), F.bool_or("at_grid_edge").alias("at_grid_edge")
-    )
-    row = scoreboard(tuned, candidate).where(F.col("model") == name).select(
-        "series", (F.lit(1.0) - F.try_divide("candidate_mean", "mean_loss")).alias("lower_by"), "p_value"
-    )
-    return choice.join(row, "series").select(
+    row = scoreboard(tuned, candidate, carry=["penalty", "at_grid_edge"]).where(F.col("model") == name)
+    lower_by = F.lit(1.0) - F.try_divide("candidate_mean", "mean_loss")
+    return row.select(
         "series", "penalty", "at_grid_edge",
-        F.when(F.col("lower_by") > 0, "loses to").otherwise("beats").alias("outcome"),
-        F.abs("lower_by").alias("difference"),
+        F.when(lower_by > 0, "loses to").otherwise("beats").alias("outcome"),
+        F.abs(lower_by).alias("difference"),
         "p_value",
     )

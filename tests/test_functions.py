@@ -9,9 +9,10 @@ from ripplemark.functions.numeric import (
     annualized_volatility_pct,
     is_finite,
     is_positive,
-    normal_sf,
+    normal_sf_sql,
     parzen_bandwidth,
     parzen_weight,
+    with_normal_sf,
 )
 from ripplemark.functions.sessions import (
     pair_name,
@@ -27,8 +28,9 @@ from ripplemark.operators.comparison import default_hac_lags, hac_lag_grid
 def test_normal_survival_matches_erfc(spark):
     points = [-40.0, -6.0, -2.5, -0.7, -0.6, -0.1, 0.0, 0.1, 0.5, 0.66, 0.67, 1.0, 2.0, 3.3, 5.6, 5.7, 8.0, 20.0, 37.0, 40.0]
     points += [float("inf"), float("-inf")]
-    rows = spark.createDataFrame([(z,) for z in points], "z double").select("z", normal_sf("z").alias("p")).collect()
-    for row in rows:
+    frame = spark.createDataFrame([(z,) for z in points], "z double").withColumn("q", F.expr(normal_sf_sql("z")))
+    for row in with_normal_sf(frame, "z", "p").collect():
+        assert row.q == row.p
         assert row.p == pytest.approx(0.5 * math.erfc(row.z / math.sqrt(2)), rel=1e-12, abs=1e-300)
 
 
