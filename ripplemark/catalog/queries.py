@@ -155,7 +155,7 @@ def tick_file_order(spark, sf_dir):
 
 @query
 def tick_files(spark, sf_dir):
-    return T.file_summary(I.table(spark, sf_dir, "events"))
+    return T.file_summary(T.list_files(spark, f"{sf_dir}/events.parquet"))
 
 
 @query

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ripplemark.plans.daily import DAILY_COLUMNS, SAMPLING_FREQUENCY, build_daily
-from ripplemark.sources.ticks import FILE_ORDINAL, enforce_ticks, read_ticks
+from ripplemark.sources.ticks import FILE_ORDINAL, enforce_ticks, list_files, read_ticks
+
+
+#: Stale assets that are named in a filter rather than joined.
+MAX_NAMED_ASSETS = 500
 
 
 @dataclass(frozen=True)
@@ -42,23 +46,23 @@ def read_daily(spark: SparkSession, path: str, *, asset: str | None = None) -> D
     return table.select(*DAILY_COLUMNS)
 
 
-def _newest(scan: DataFrame, name: str) -> DataFrame:
-    """When the files of each asset were last written (from file metadata)."""
-    return scan.select("asset", F.col("_metadata.file_modification_time").alias("at")).groupBy("asset").agg(
-        F.max("at").alias(name)
-    )
+def _newest(files: DataFrame, name: str) -> DataFrame:
+    return files.groupBy("asset").agg(F.max("modified_at").alias(name))
 
 
 def stale_assets(spark: SparkSession, tick_path: str, daily_path: str) -> DataFrame:
-    """Assets whose daily rows are missing, older than their ticks, or have other columns."""
-    ticks = _newest(spark.read.parquet(tick_path), "ticks_at")
+    """Assets whose daily rows are missing, older than their ticks, or have other columns.
+
+    Reads directory entries, not rows.
+    """
+    ticks = _newest(list_files(spark, tick_path), "ticks_at")
     try:
-        table = spark.read.parquet(daily_path)
+        columns = set(spark.read.parquet(daily_path).columns)
     except AnalysisException:
         return ticks.select("asset")
-    if set(table.columns) != set(DAILY_COLUMNS):
+    if columns != set(DAILY_COLUMNS):
         return ticks.select("asset")
-    return ticks.join(_newest(table, "daily_at"), "asset", "left").where(
+    return ticks.join(_newest(list_files(spark, daily_path), "daily_at"), "asset", "left").where(
         F.col("daily_at").isNull() | (F.col("daily_at") <= F.col("ticks_at"))
     ).select("asset")
 
@@ -74,16 +78,22 @@ def refresh_daily(
 ) -> DataFrame:
     """Bring the daily table up to date and read it.
 
-    Only stale assets are computed and only their partitions are rewritten. The list of stale
-    assets is small (names, not rows) and prunes the tick partitions that are read.
+    Only stale assets are computed and only their partitions are rewritten. Up to
+    ``MAX_NAMED_ASSETS`` stale assets are named in the scan's filter, which prunes the
+    directories that are read; more are joined.
     """
     target = layout.daily(frequency)
     wanted = None if assets is None else [a.upper() for a in assets]
-    stale = [row["asset"] for row in stale_assets(spark, layout.ticks, target).collect()]
+    stale = stale_assets(spark, layout.ticks, target)
     if wanted is not None:
-        stale = [asset for asset in stale if asset in wanted]
-    if stale:
-        ticks = read_ticks(spark, layout.ticks).where(F.col("asset").isin(stale))
+        stale = stale.where(F.col("asset").isin(wanted))
+    named = [row["asset"] for row in stale.limit(MAX_NAMED_ASSETS + 1).collect()]
+    if named:
+        ticks = read_ticks(spark, layout.ticks)
+        if len(named) <= MAX_NAMED_ASSETS:
+            ticks = ticks.where(F.col("asset").isin(named))
+        else:
+            ticks = ticks.join(stale, "asset", "left_semi")
         if check:
             enforce_ticks(ticks)
         write_daily(build_daily(ticks, frequency=frequency, ordinal=FILE_ORDINAL, **options), target)

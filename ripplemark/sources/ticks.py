@@ -82,13 +82,28 @@ def enforce_file_order(ticks: DataFrame) -> None:
         raise DataError(f"{row['file_name']} starts before the previous file; name files in time order")
 
 
-def file_summary(scan: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Number of files and their size in GB, from file metadata."""
-    files = scan.select(
-        *keys, F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")
-    ).distinct()
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet files below a path, from their directory entries: one row per file, none opened.
+
+    ``asset`` comes from the directory name and is null where files are not partitioned by it.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+    )
+    name = F.regexp_extract("path", "/asset=([^/]+)/", 1)
+    return files.select(
+        F.when(name != "", F.url_decode(name)).alias("asset"),
+        "path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"),
+    )
+
+
+def file_summary(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Number of files and their size in GB."""
     return files.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("tick_files"), (F.sum("file_size") / F.lit(1e9)).alias("tick_gb")
+        F.count(F.lit(1)).alias("tick_files"), (F.sum("bytes") / F.lit(1e9)).alias("tick_gb")
     )
 
 

@@ -14,6 +14,7 @@ from ripplemark.plans.daily import (
     sessions_per_year,
     valid_ticks,
 )
+from ripplemark.sources import daily_table
 from ripplemark.sources.daily_table import Layout, read_daily, refresh_daily, stale_assets
 from ripplemark.sources.ticks import (
     FILE_ORDINAL,
@@ -21,6 +22,7 @@ from ripplemark.sources.ticks import (
     enforce_ticks,
     file_order,
     file_summary,
+    list_files,
     read_ticks,
     tick_violations,
     unsorted_ticks,
@@ -160,7 +162,9 @@ def test_file_order_is_checked(spark, tmp_path, whole):
     fixed = ticks.withColumn("file_name", F.when(F.col("file_name") == good["x"], "b").otherwise("a"))
     enforce_file_order(fixed)
     assert file_order(fixed).where("out_of_order").count() == 0
-    assert file_summary(spark.read.parquet(f"{tmp_path}/x", f"{tmp_path}/y")).first().tick_files == 2
+    row = file_summary(list_files(spark, str(tmp_path))).first()
+    sizes = [os.path.getsize(f"{tmp_path}/{label}/{good[label]}") for label in "xy"]
+    assert row.tick_files == 2 and row.tick_gb == pytest.approx(sum(sizes) / 1e9)
 
 
 def test_unsorted_ticks_are_found_inside_and_between_blocks(spark):
@@ -173,7 +177,7 @@ def test_unsorted_ticks_are_found_inside_and_between_blocks(spark):
         assert unsorted_ticks(frame, sequence="n", block=block).first().unsorted == expected
 
 
-def test_daily_table_is_rebuilt_only_for_stale_assets(spark, whole, tmp_path):
+def test_daily_table_is_rebuilt_only_for_stale_assets(spark, whole, tmp_path, monkeypatch):
     layout = Layout(str(tmp_path))
     write_ticks(whole, layout.ticks)
     first = rows_of(refresh_daily(spark, layout))
@@ -184,7 +188,9 @@ def test_daily_table_is_rebuilt_only_for_stale_assets(spark, whole, tmp_path):
     assert sorted(os.listdir(f"{layout.daily()}/asset=EURUSD")) == written
     write_ticks(whole.withColumn("asset", F.lit("USDJPY")), layout.ticks)
     assert [r.asset for r in stale_assets(spark, layout.ticks, layout.daily()).collect()] == ["USDJPY"]
+    monkeypatch.setattr(daily_table, "MAX_NAMED_ASSETS", 0)
     assert refresh_daily(spark, layout).count() == 4
+    assert refresh_daily(spark, layout, assets=["usdjpy"]).count() == 2
     assert sorted(os.listdir(f"{layout.daily()}/asset=EURUSD")) == written
     assert [tuple(r) for r in rows_of(read_daily(spark, layout.daily(), asset="eurusd"))] == [tuple(r) for r in first]
 
