@@ -628,10 +628,7 @@ def results_table(spark, sf_dir):
 
 @query
 def candidate_verdict(spark, sf_dir):
-    losses = _losses(spark, sf_dir)
-    return G.candidate_verdict(
-        C.results_table(losses, "HAR"), C.hac_sensitivity(losses, "HAR", "grid"), "HAR"
-    )
+    return G.candidate_verdict(_losses(spark, sf_dir), "HAR")
 
 
 @query

@@ -59,11 +59,13 @@ def forecast_losses(forecasts: DataFrame, loss: Loss, *, check: bool = False) ->
 
 def uneven_cases(forecasts: DataFrame) -> DataFrame:
     """Cases (origin, target date, actual value) that not every model of the series has."""
-    cases = forecasts.groupBy("series", "origin_date", "target_date", "actual").agg(
-        F.countDistinct("model").alias("models")
+    of_series = F.size(F.collect_set("model").over(Window.partitionBy("series")))
+    return (
+        forecasts.withColumn("_all", of_series.cast("bigint"))
+        .groupBy("series", "origin_date", "target_date", "actual")
+        .agg(F.size(F.collect_set("model")).cast("bigint").alias("models"), F.max("_all").alias("all_models"))
+        .where(F.col("models") != F.col("all_models"))
     )
-    models = forecasts.groupBy("series").agg(F.countDistinct("model").alias("all_models"))
-    return cases.join(models, "series").where(F.col("models") != F.col("all_models"))
 
 
 def enforce_aligned(forecasts: DataFrame) -> None:
@@ -237,7 +239,7 @@ def scoreboard(
     losses: DataFrame,
     candidate: str,
     *,
-    hac_lags: int | None = None,
+    hac_lags: str | int | Sequence[int] | None = None,
     tie_rtol: float = TIE_RTOL,
     tie_atol: float = TIE_ATOL,
     carry: Sequence[str] = (),
@@ -246,7 +248,8 @@ def scoreboard(
 
     Columns ``series, model, n_obs, mean_loss, candidate_mean, dm_statistic, p_value,
     candidate_wins, ties``; test and wins are null in the candidate's row. ``carry`` names
-    columns that are the same in all rows of a series, and are kept.
+    columns that are the same in all rows of a series, and are kept. Where ``hac_lags`` gives
+    several lags, each has a row.
     """
     for name, value in (("tie_rtol", tie_rtol), ("tie_atol", tie_atol)):
         finite_number(value, name, minimum=0.0)

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from ripplemark.checks import positive_int
 from ripplemark.functions.numeric import annualized_volatility_pct
-from ripplemark.operators.comparison import diebold_mariano, hac_sensitivity, paired_losses
+from ripplemark.operators.comparison import (
+    diebold_mariano,
+    hac_sensitivity,
+    paired_losses,
+    scoreboard,
+)
 from ripplemark.operators.forecasts import fit_known
 from ripplemark.operators.models import ForecastModel
 
@@ -199,16 +204,22 @@ def head_to_head(losses: DataFrame, candidate: str, other: str, best: int = BEST
     )
 
 
-def candidate_verdict(results: DataFrame, sensitivity: DataFrame, candidate: str, *, reference_model: str = "naive") -> DataFrame:
-    """Per series: does the candidate beat every baseline, by how much, how surely."""
-    others = results.where(F.col("model") != candidate).groupBy("series").agg(
-        F.bool_and(F.col("lower_by") > 0).alias("beats_all"),
-        F.min("lower_by").alias("min_lower_by"),
-        F.max("lower_by").alias("max_lower_by"),
-        F.max(F.when(F.col("model") == reference_model, F.col("candidate_win_rate"))).alias("win_rate"),
-    )
-    worst = sensitivity.groupBy("series").agg(F.max("p_value").alias("largest_p"))
-    return others.join(worst, "series").withColumn("below_level", F.col("largest_p") < HAR_LEVEL)
+def candidate_verdict(losses: DataFrame, candidate: str, *, reference_model: str = "naive") -> DataFrame:
+    """Per series: does the candidate beat every baseline, by how much, how surely.
+
+    ``largest_p`` is over all baselines and the whole lag grid; ``win_rate`` is against
+    ``reference_model``.
+    """
+    tests = scoreboard(losses, candidate, hac_lags="grid").where(F.col("model") != candidate)
+    lower_by = F.lit(1.0) - F.try_divide("candidate_mean", "mean_loss")
+    against = F.when(F.col("model") == reference_model, F.col("candidate_wins") / F.col("n_obs"))
+    return tests.groupBy("series").agg(
+        F.bool_and(lower_by > 0).alias("beats_all"),
+        F.min(lower_by).alias("min_lower_by"),
+        F.max(lower_by).alias("max_lower_by"),
+        F.max(against).alias("win_rate"),
+        F.max("p_value").alias("largest_p"),
+    ).withColumn("below_level", F.col("largest_p") < HAR_LEVEL)
 
 
 # --- coefficients ---------------------------------------------------------------------------------

@@ -191,7 +191,7 @@ def test_head_to_head(losses, slow_losses):
 def test_verdicts(losses):
     results = results_table(losses, "HAR")
     sensitivity = G.hac_table(losses, "HAR")
-    row = only(G.candidate_verdict(results, sensitivity, "HAR"))[0]
+    row = only(G.candidate_verdict(losses, "HAR"))[0]
     table = {r.model: r for r in only(results)}
     assert row.beats_all == all(table[n].lower_by > 0 for n in NAMES[1:])
     assert row.largest_p == max(r.p_value for r in only(sensitivity))
