@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemark.llm.shared import Forest, components, cut, sorted_groups, texts, words
+from ripplemark.llm.token_ids import slices
 
 TREES, DEPTH, BASE = 12, 8, 4
 #: Nodes of a region compared in one task, and rows that neighbouring blocks of a larger one share.
@@ -73,7 +74,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     factors = _multipliers()
-    for batch in batches:
+    for batch in (some for whole in batches for some in slices(whole, most=4 << 20)):
         sets = shingle_sets(texts(batch), width)
         full = [s for s in sets if len(s)]
         orders = np.empty((len(full), TREES * DEPTH), dtype=">u2")
@@ -129,7 +130,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (some for whole in batches for some in slices(whole, most=4 << 20)):
         wanted = batch.column("set_id").to_pylist()
         sets = shingle_sets(texts(batch), width)
         right = [i for i, s in enumerate(sets) if len(s) and set_id(s) == wanted[i]]
@@ -162,16 +163,17 @@ def _linked(sets: list[np.ndarray], percent: int, forest: Forest) -> None:
     owner, code = owner[by_code], code[by_code]
     n_codes = int(code[-1]) + 1 if len(code) else 0
     edges = np.searchsorted(code, np.arange(0, n_codes + 512, 512))
-    for top in range(0, n, 2048):
-        rows = min(2048, n - top)
+    for top in range(0, n, 512):
+        rows = min(512, n - top)
         both = np.zeros((rows, n), dtype=np.float32)
         for k in range(len(edges) - 1):
             part = slice(edges[k], edges[k + 1])
             have = np.zeros((n, 512), dtype=np.float32)
             have[owner[part], code[part] - 512 * k] = 1
             both += have[top : top + rows] @ have.T
+        both = both.astype(np.int64)
         union = sizes[top : top + rows, None] + sizes[None, :] - both
-        i, j = np.nonzero(np.triu(100.0 * both.astype(np.float64) >= percent * union.astype(np.float64), 1 + top))
+        i, j = np.nonzero(np.triu(100 * both >= percent * union, 1 + top))
         for a, b in zip((i + top).tolist(), j.tolist(), strict=True):
             forest.join(a, b)
 
