@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,12 @@ from ripplemark.llm.shared import ragged, words, worker_state
 
 #: Words a worker remembers; beyond that it starts afresh, so memory is bounded.
 REMEMBERED = 1_000_000
-#: Letters that are composed, and punctuation that is a token group of its own after a letter.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]*)")
+#: Composed letters of Latin scripts, each its own lower case or with a single one, then punctuation.
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
+_MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which may begin a token of letters
+_PLAIN = f"^[{_LETTERS}]+[{_MARKS}]*$"
+_ENDED = f"^([{_LETTERS}\u2C65\u2C66]+)([{_MARKS}]+)$"
+_END = "\0"
 
 
 def _byte_letters() -> list[str]:
@@ -25,19 +29,45 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _merge_ranks(model: dict) -> dict[bytes, int] | None:
+    """The vocabulary as bytes by rank, a zero byte for the word's end; None if ids aren't in the order of merges."""
+    vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    letters = {c: b for b, c in enumerate(_byte_letters())}
+    if any(vocabulary.get(a + b) != 512 + k for k, (a, b) in enumerate(merges)):
+        return None
+    if sorted(vocabulary.get(c, -1) for c in letters) != list(range(256)):
+        return None
+    if sorted(vocabulary.get(c + end, -1) for c in letters) != list(range(256, 512)):
+        return None
+    ranks = {}
+    for token, k in vocabulary.items():
+        if k < 512 + len(merges):
+            bare = token.removesuffix(end)
+            ranks[bytes(letters[c] for c in bare) + (b"\0" if bare != token else b"")] = k
+    return ranks
+
+
 class WordIds:
     """Ids by word for a tokenizer that drops white space, splits letters from punctuation and lower-cases.
 
     A text is the tokens of its words in order, as no token of such a tokenizer spans white space. A word of plain
-    letters goes straight to the merge table; any other word goes through the whole tokenizer.
+    letters goes straight to the merge table, read as byte ranks; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
+        model = json.loads(self.tokenizer.to_str())["model"]
+        ranks = _merge_ranks(model) if model.get("end_of_word_suffix") else None
+        self.merges = None
+        if ranks:
+            self.merges = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+            self.ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+            self.ends[[k for token, k in ranks.items() if token.endswith(b"\0")]] = True
         self.clear()
 
     @classmethod
@@ -46,59 +76,45 @@ class WordIds:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.tails: dict[str, list[int]] = {}
         self.ids = np.empty(1 << 20, dtype=np.uint32)
         self.starts = np.zeros(1 << 16, dtype=np.int64)
         self.used = self.rows = 0
 
-    def _plain(self, core: str) -> list[int] | None:
-        """Ids of a word of plain letters; None if its lower case isn't one."""
-        lower = core.lower()
-        if lower.isascii():
-            spelled = lower
-        elif _PLAIN.fullmatch(lower):
-            letters = self.letters
-            spelled = "".join([letters[b] for b in lower.encode()])
-        else:
-            return None
-        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
-
     def _learn(self, unknown: list[str]) -> None:
-        known, plain, tails, flat, ends = self.row, _PLAIN.fullmatch, self.tails, [], []
-        for word in unknown:
-            ids = None
-            if found := plain(word):
-                core, tail = found.groups()
-                if not tail:
-                    ids = self._plain(core)
-                else:
-                    if (at := known.get(core)) is not None and at < self.rows:
-                        ids = self.ids[self.starts[at] : self.starts[at + 1]].tolist()
-                    else:
-                        ids = self._plain(core)
-                    if ids is not None:
-                        if tail not in tails:
-                            tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
-                        ids = ids + tails[tail]
-            if ids is None:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            flat += ids
-            ends.append(len(flat))
-        n = len(unknown)
+        plain: list[str] = []
+        odd = unknown
+        if self.merges is not None:
+            held = pa.array(unknown, pa.large_string())
+            mask = pc.match_substring_regex(held, _PLAIN)
+            plain, odd = held.filter(mask), held.filter(pc.invert(mask)).to_pylist()
+            lower = pc.utf8_lower(plain)
+            lower = pc.replace_substring_regex(lower, _ENDED, r"\1" + _END + r"\2")
+            pieces = 1 + pc.count_substring(lower, _END).to_numpy(zero_copy_only=False).astype(np.int64)
+            plain = plain.to_numpy(zero_copy_only=False).tolist()
+            if plain:
+                ids = np.array(self.merges.encode_ordinary(_END.join([*lower.to_numpy(zero_copy_only=False), ""])),
+                               dtype=np.uint32)
+                self._add(plain, ids, np.flatnonzero(self.ends[ids])[np.cumsum(pieces) - 1] + 1)
+        if odd:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            self._add(odd, np.array([k for x in found for k in x], dtype=np.uint32), np.cumsum([len(x) for x in found]))
+
+    def _add(self, some: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n = len(some)
         if self.rows + n + 1 > len(self.starts):
             self.starts = np.concatenate((self.starts, np.zeros(len(self.starts) + n, dtype=np.int64)))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty(len(self.ids) + len(flat), dtype=np.uint32)))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[self.rows + 1 : self.rows + 1 + n] = np.array(ends, dtype=np.int64) + self.used
-        known.update(zip(unknown, range(self.rows, self.rows + n), strict=True))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty(len(self.ids) + len(ids), dtype=np.uint32)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[self.rows + 1 : self.rows + 1 + n] = ends + self.used
+        self.row.update(zip(some, range(self.rows, self.rows + n), strict=True))
         self.rows += n
-        self.used += len(flat)
+        self.used += len(ids)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the offsets of each text."""
         codes, offsets, vocabulary = words(text)
-        distinct = vocabulary.to_pylist()
+        distinct = vocabulary.to_numpy(zero_copy_only=False).tolist()
         if self.rows > REMEMBERED:
             self.clear()
         if unknown := [w for w in distinct if w not in self.row]:
@@ -110,7 +126,7 @@ class WordIds:
         return self.ids[ragged(starts, lengths)], ends[offsets]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 16 << 20):
     """Consecutive parts of a batch with about ``most`` bytes of text each (one row at least)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at, n = 0, batch.num_rows
