@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplemark.llm import language_model, toxicity
 from ripplemark.llm.line_dedup import drop_common_lines
 from ripplemark.llm.near_dedup import near_duplicates
 from ripplemark.llm.packing import pack
 from ripplemark.llm.quality_rules import judge
-from ripplemark.llm.shared import shared_dir
+from ripplemark.llm.shared import crc_mod, shared_dir
 from ripplemark.llm.token_counts import count_tokens
 from ripplemark.llm.token_files import read_token_files, write_token_files
 
@@ -31,6 +32,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.train_and_score(docs, labels).select("doc_id", "held_out", "score", "predicted", "n_sentences")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
@@ -56,6 +62,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.train_and_score(_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: made for name, made in list(globals().items()) if name.startswith("op") and callable(made)
 }
