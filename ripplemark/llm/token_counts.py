@@ -23,7 +23,7 @@ from ripplemark.llm.token_ids import slices
 #: Entries of the broadcast table (about 1 MB), and what one task contributes to it at most.
 TABLE, PER_TASK = 32_768, 8_192
 #: Pre-tokens a worker remembers beyond the table.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def pretokens(text: pa.Array) -> tuple[pa.Array, np.ndarray]:

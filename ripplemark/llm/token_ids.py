@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from ripplemark.llm.shared import ragged, words, worker_state
 
 #: Words a worker remembers; beyond that it starts afresh, so memory is bounded.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Composed letters of Latin scripts, each its own lower case or with a single one, then punctuation.
 _LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
 _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which may begin a token of letters
@@ -126,7 +126,7 @@ class WordIds:
         return self.ids[ragged(starts, lengths)], ends[offsets]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 16 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
     """Consecutive parts of a batch with about ``most`` bytes of text each (one row at least)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at, n = 0, batch.num_rows
