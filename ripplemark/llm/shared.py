@@ -59,7 +59,11 @@ def worker_state(key: tuple, make: Callable):
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The texts, null as empty, in buffers of their own: some Arrow functions misread those of a slice."""
+    held = batch.column(column)
+    if held.offset:
+        held = held.take(pa.array(np.arange(len(held))))
+    return pc.fill_null(held.cast(pa.large_string()), "")
 
 
 def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
