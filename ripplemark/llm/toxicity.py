@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplemark.llm.shared import crc_mod, texts, words
 from ripplemark.llm.token_ids import slices
@@ -26,6 +27,7 @@ BEGINNINGS = (3, 4, 5)
 #: A feature has to be this much likelier in toxic documents: twice the log likelihood ratio to one common rate.
 LEAST_TOLD = 18.0
 STEPS, RATE, SHRINK, BIAS = 300, 0.1, 1e-5, -6.0
+SCORED = ("score", "n_sentences", "offending")
 _MARK = "\x1e"
 _STRIPPED = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…¡¿"
 
@@ -177,14 +179,15 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         offending: list[list[str]] = [[] for _ in range(batch.num_rows)]
         for sentence, row in zip(hot.tolist(), text_of.tolist(), strict=True):
             offending[row].append(found.words_of(sentence))
+        kept = [name for name in batch.schema.names if name not in SCORED]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(np.clip(score, 0.0, 1.0)),
+            [*(batch.column(name) for name in kept), pa.array(np.clip(score, 0.0, 1.0)),
              pa.array(np.diff(found.of_text), pa.int64()), pa.array(offending, pa.list_(pa.string()))],
-            names=["doc_id", "score", "n_sentences", "offending"])
+            names=[*kept, *SCORED])
 
 
 def score(docs: DataFrame, model: list[tuple[int, str, float]]) -> DataFrame:
-    """(doc_id, score, n_sentences, offending) for every row of ``docs(doc_id, text)``.
+    """``docs`` with the columns score, n_sentences and offending (which replace any of these names).
 
     score is the chance that some sentence is toxic; offending are the words of the sentences that alone have one of a
     half at least. A null or wordless text has no sentence and score 0. Rows are scored one by one, whatever repeats.
@@ -193,13 +196,15 @@ def score(docs: DataFrame, model: list[tuple[int, str, float]]) -> DataFrame:
              for kind in range(1 + len(BEGINNINGS))]
     bias = next(w for k, _, w in model if k == -1)
     shared = docs.sparkSession.sparkContext.broadcast((bias, kinds))
-    return docs.select("doc_id", "text").mapInArrow(
-        partial(_score, model=shared), "doc_id long, score double, n_sentences long, offending array<string>")
+    kept = [f for f in docs.schema.fields if f.name not in SCORED]
+    return docs.mapInArrow(partial(_score, model=shared), T.StructType([
+        *kept, T.StructField("score", T.DoubleType()), T.StructField("n_sentences", T.LongType()),
+        T.StructField("offending", T.ArrayType(T.StringType()))]))
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """``score`` with a model that never sees the labels of a fifth of the documents, and whether a row is of that fifth."""
     model = train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0), sample=sample)
-    scored = score(docs, model)
+    scored = score(docs.select(F.col("doc_id").cast("long"), "text"), model)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "offending")
