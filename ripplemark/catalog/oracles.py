@@ -210,8 +210,8 @@ sql(
     "tick_sanity",
     QUOTES + """,
 ordered AS (
-  SELECT *, (ask - bid) / mid * 1e4 AS bps, ts < lag(ts) OVER (PARTITION BY asset ORDER BY event_id) AS back
-  FROM quotes WHERE mid > 0
+  SELECT *, (ask - bid) / nullif(mid, 0) * 1e4 AS bps, ts < lag(ts) OVER (PARTITION BY asset ORDER BY event_id) AS back
+  FROM quotes
 )""",
     f"""SELECT asset, {i('count(*)', 'ticks')}, {t('min(ts)', 'first_ts')}, {t('max(ts)', 'last_ts')},
        {i('count(*) FILTER (ask < bid)', 'crossed_quotes')}, {i('count(*) FILTER (mid <= 0)', 'non_positive_prices')},
@@ -540,7 +540,7 @@ bought AS (
   SELECT o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS price, max(o_orderkey) AS top, count(*) AS n
   FROM orders GROUP BY 1, 2
 ),
-grid AS (SELECT date, unnest(['F', 'O', 'P']) AS status FROM days),
+grid AS (SELECT date, status FROM days, (SELECT DISTINCT o_orderstatus AS status FROM orders)),
 totals AS (
   SELECT g.date, g.status, coalesce(sum(b.n), 0) AS n_known, coalesce(sum(b.price), 0) AS price, arg_max(b.top, b.day) AS top
   FROM grid g LEFT JOIN bought b ON b.status = g.status AND b.day < g.date GROUP BY 1, 2

@@ -134,9 +134,7 @@ def pair_names(spark, sf_dir):
 
 @query
 def tick_sanity(spark, sf_dir):
-    return T.sanity_report(
-        I.quotes(spark, sf_dir).where(F.col("mid") > 0), sequence="event_id"
-    )
+    return T.sanity_report(I.quotes(spark, sf_dir), sequence="event_id")
 
 
 @query
@@ -153,11 +151,6 @@ def tick_file_order(spark, sf_dir):
     return T.file_order(scan)
 
 
-@query
-def tick_files(spark, sf_dir):
-    return T.file_summary(T.list_files(spark, f"{sf_dir}/events.parquet"))
-
-
 @query
 def expected_hours_missing(spark, sf_dir):
     """Trading hours between an asset's first and last day in which it has no tick."""
@@ -214,10 +207,12 @@ def decoded_hours(spark, sf_dir):
 
 
 def _scratch(spark, name):
-    """A new folder: below the cluster's shared checkpoint folder, or a temporary one where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below the one that driver and executors share; on one machine, a temporary one will do."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        return tempfile.mkdtemp(prefix=f"{name}-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="ripplemark-")
     return f"{shared}/{name}-{os.urandom(8).hex()}"
 
 
@@ -225,7 +220,7 @@ def _scratch(spark, name):
 def daily_table(spark, sf_dir):
     """Ticks written by asset and date, the daily table refreshed from them, and read back."""
     layout = Layout(_scratch(spark, "daily-table"))
-    T.write_ticks(I.ticks(spark, sf_dir).drop("event_id"), layout.ticks)
+    T.write_ticks(I.ticks(spark, sf_dir), layout.ticks, ordinal=I.ORDINAL)
     return refresh_daily(spark, layout, frequency=I.BAR)
 
 
@@ -397,9 +392,8 @@ def known_totals(spark, sf_dir):
     orders = I.table(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("day"), "o_totalprice", "o_orderkey"
     )
-    days = I.sales(spark, sf_dir).select("date").distinct().withColumn(
-        "status", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P")))
-    )
+    statuses = orders.agg(F.array_sort(F.collect_set("status"))).scalar()  # the few states of an order
+    days = I.sales(spark, sf_dir).select("date").distinct().withColumn("status", F.explode(statuses))
     return accumulate_known(
         orders, days, keys=["status"], event_at="day", query_at="date", tie=["o_orderkey"], inclusive=False,
         totals={"price": F.col("o_totalprice")}, latest={"top": F.col("o_orderkey")},
@@ -736,10 +730,11 @@ def stream_daily_rv(spark, sf_dir):
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir)
-        .select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("mid"))
+        .select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("mid"),
+                "event_id")
     )
     job = (
-        stream_daily(arriving, frequency=I.BAR)
+        stream_daily(arriving, frequency=I.BAR, ordinal=I.ORDINAL)
         .writeStream.format("parquet")
         .option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/state")

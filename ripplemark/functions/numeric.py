@@ -68,8 +68,8 @@ def parzen_bandwidth(noise_to_signal: Column | str, n_returns: Column | str) ->
 
 
 def spread_bps(bid: Column | str, ask: Column | str, mid: Column | str) -> Column:
-    """Quoted spread in basis points of the mid price."""
-    return (as_column(ask) - as_column(bid)) / as_column(mid) * F.lit(BASIS_POINTS)
+    """Quoted spread in basis points of the mid price; null where that is zero."""
+    return F.try_divide(as_column(ask) - as_column(bid), as_column(mid)) * F.lit(BASIS_POINTS)
 
 
 # W. J. Cody's rational approximations of erf/erfc ("Rational Chebyshev

@@ -7,93 +7,60 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Equal-width buckets per key in one refinement pass.
-BUCKETS = 4096
+from ripplemark.functions.numeric import is_finite
 
-#: The ranks looked for are broadcast only up to this many keys; beyond it the join is
-#: left to the optimizer (a key then holds a small part of the rows, and adaptive
-#: execution splits the ones that do not).
-MAX_BROADCAST_KEYS = 50_000
+#: Buckets per factor of two of a value's size.
+BUCKETS_PER_OCTAVE = 256
 
 
-def _bucket(value: Column, low: Column, high: Column) -> Column:
-    """Number of the equal-width bucket of ``value``: never decreasing in ``value``."""
-    width = high - low
-    position = F.when(width > 0, (value - low) / width * F.lit(float(BUCKETS))).otherwise(F.lit(0.0))
-    return F.least(F.floor(position), F.lit(BUCKETS - 1)).cast("int")
+def _bucket(value: Column) -> Column:
+    """A bucket number that never falls as ``value`` rises, known without looking at other values."""
+    size = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_OCTAVE) + F.lit(2048 * BUCKETS_PER_OCTAVE)
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("int") * size).cast("int")
 
 
-def exact_percentiles(
-    frame: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    levels: Sequence[float],
-    *,
-    passes: int = 2,
-) -> DataFrame:
+def exact_percentiles(frame: DataFrame, keys: Sequence[str], value: Column, levels: Sequence[float]) -> DataFrame:
     """Percentiles with linear interpolation, exact at any group size: keys, level, value.
 
-    A built-in exact percentile holds a group's distinct values in one task. Here each pass
-    counts values in buckets (merged before the shuffle, at most ``BUCKETS`` rows per key),
-    and keeps only the bucket in which the wanted rank falls; the next pass splits that
-    bucket by its own smallest and largest value. What is left after the last pass is
-    ranked value by value. Every pass reads the input again but shuffles only counts.
+    A built-in exact percentile holds a group's distinct values in one task. Here equal values are counted
+    before the shuffle, running counts are taken inside buckets of values, and each bucket starts from the
+    merged counts of those below it. One pass over the input serves all levels.
 
-    ``value`` must be finite; other rows are left out. The number of keys is counted when
-    the plan is built, to know whether the searched ranks may be broadcast.
+    ``value`` must be finite; other rows are left out, and a key without any has no rows.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("at least one key column is required")
-    found_keys = frame.select(*keys).distinct().limit(MAX_BROADCAST_KEYS + 1).count()
-    small = F.broadcast if found_keys <= MAX_BROADCAST_KEYS else (lambda table: table)
-    data = frame.select(*keys, value.cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs(F.col("_v")) < float("inf"))
+    data = frame.select(*keys, value.cast("double").alias("_v")).where(is_finite("_v"))
+    counts = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v")))
+    whole = Window.partitionBy(*keys)
+    below = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).select(
+        *keys, "_b", F.coalesce(F.sum("_bc").over(below), F.lit(0)).alias("_base"), F.sum("_bc").over(whole).alias("_n")
     )
-    bounds = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"z.{k}")) for k in [*keys, "_b"]]
+    joined = counts.alias("a").join(buckets.alias("z"), same).select("a.*", "z._base", "z._n")
+    ranked = joined.withColumn("_to", F.col("_base") + F.sum("_c").over(inside)).withColumn(
+        "_from", F.col("_to") - F.col("_c")
     )
-    wanted = F.array(*[F.lit(float(level)) for level in levels])
-    position = F.col("level") * (F.col("_n") - 1)
-    around = F.array_distinct(F.array(F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")))
-    targets = (
-        bounds.withColumn("level", F.explode(wanted))
-        .withColumn("_share", position - F.floor(position))
-        .withColumn("_rank", F.explode(around))
-        .select(*keys, "level", "_share", "_rank")
-    )
-    ranks = targets.select(*keys, "_rank").distinct()
-    span = [*keys, "_low", "_high", "_below"]
-    ranges = bounds.withColumn("_below", F.lit(0).cast("bigint")).select(*span)
-
-    def cumulative(groups: DataFrame, order: str) -> DataFrame:
-        """Where each group of a range begins and ends among the key's sorted values."""
-        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*span).orderBy(order))
-        return groups.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
 
-    def within(ranges: DataFrame) -> DataFrame:
-        inside = data.join(small(ranges), keys)
-        return inside.where(F.col("_v").between(F.col("_low"), F.col("_high")))
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_v")))
 
-    def holding(groups: DataFrame) -> DataFrame:
-        """The groups that hold a wanted rank."""
-        return groups.join(small(ranks), keys).where(
-            (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto"))
+    answers = []
+    for number, level in enumerate(levels):
+        position = F.lit(float(level)) * (F.col("_n") - 1)
+        answers += [
+            at(F.floor(position)).alias(f"_a{number}"), at(F.ceil(position)).alias(f"_z{number}"),
+            F.max(position - F.floor(position)).alias(f"_s{number}"),
+        ]
+    found = ranked.groupBy(*keys).agg(*answers)
+    rows = [
+        F.struct(
+            F.lit(float(level)).alias("level"),
+            (F.col(f"_a{k}") + (F.col(f"_z{k}") - F.col(f"_a{k}")) * F.col(f"_s{k}")).alias("value"),
         )
-
-    for _ in range(passes):
-        counted = within(ranges).groupBy(*span, _bucket(F.col("_v"), F.col("_low"), F.col("_high")).alias("_b")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bl"), F.max("_v").alias("_bh")
-        )
-        found = holding(cumulative(counted, "_b"))
-        ranges = found.select(
-            *keys, F.col("_bl").alias("_low"), F.col("_bh").alias("_high"), F.col("_from").alias("_below")
-        ).distinct()
-    values = within(ranges).groupBy(*span, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    answers = holding(cumulative(values, "_v")).select(*keys, "_rank", "_v")
-    return (
-        targets.join(small(answers), [*keys, "_rank"])
-        .groupBy(*keys, "level")
-        .agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.first("_share").alias("_s"))
-        .select(*keys, "level", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_s")).alias("value"))
-    )
+        for k, level in enumerate(levels)
+    ]
+    return found.select(*keys, F.inline(F.array(*rows)))

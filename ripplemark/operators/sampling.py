@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplemark.checks import require_columns
 from ripplemark.functions.sessions import DAY_MICROS, step_micros
@@ -20,14 +22,19 @@ def floor_to_step(ts: Column, step: int) -> Column:
     return F.timestamp_micros(us - F.pmod(us, F.lit(step)))
 
 
-def _last_price(ts: str, price: str, ordinal: Sequence[str]) -> Column:
+def last_price(ticks: DataFrame, ts: str, price: str, ordinal: Sequence[str]) -> Column:
     """Price of the latest tick. Ticks with the same time are ordered by ``ordinal``.
 
-    Without an ordinal the aggregation buffer is fixed-width, which lets Spark hash
-    instead of sort; use that only where a time occurs once per asset.
+    Time and a whole-number ordinal fit one decimal, a fixed-width buffer that lets Spark hash; several
+    ordinal columns, or text, make it sort.
     """
     if not ordinal:
         return F.max_by(price, ts)
+    if len(ordinal) == 1 and dict(ticks.dtypes)[ordinal[0]] in ("tinyint", "smallint", "int", "bigint"):
+        wide = T.DecimalType(38, 0)
+        place = F.coalesce(F.col(ordinal[0]), F.lit(-(2**63))).cast(T.DecimalType(19, 0))
+        key = F.unix_micros(F.col(ts).cast("timestamp")).cast(T.DecimalType(18, 0)) * F.lit(Decimal(10**19))
+        return F.max_by(price, (key + place).cast(wide))
     return F.max(F.struct(ts, *ordinal, price)).getField(price)
 
 
@@ -58,7 +65,7 @@ def last_tick_sample(
         ticks.withColumn("bin", floor_to_step(F.col(ts), grid))
         .groupBy("bin", *keys)  # the time first: where Spark sorts, it sorts by a number
         .agg(
-            _last_price(ts, price, ordinal).alias(price),
+            last_price(ticks, ts, price, ordinal).alias(price),
             F.min(ts).alias("first_ts"),
             F.max(ts).alias("last_ts"),
         )

@@ -14,21 +14,14 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ripplemark.checks import non_negative_int, positive_int, require_columns
 from ripplemark.functions.numeric import is_positive, parzen_weight
 from ripplemark.functions.sessions import DAY_MICROS, step_micros
 from ripplemark.operators.sampling import SESSION_KEYS, last_tick_sample
 
-#: Up to this many kernel lags become window columns; more go through arrays.
-MAX_LAG_COLUMNS = 40
-
-
 @dataclass(frozen=True)
 class Measure:
     """One variance measure: columns it needs along the path, and their aggregate."""
@@ -94,49 +87,50 @@ def subsampled_realized_variance(step: int, name: str = "subsampled_rv") -> Meas
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _kernel_of_array(log_prices: pd.Series, bandwidth: pd.Series) -> pd.Series:
-    def one(path: np.ndarray, lags: int) -> float:
-        r = np.diff(np.asarray(path, dtype="float64"))
-        weighted = sum(
-            parzen_weight(h / (lags + 1)) * float(r[h:] @ r[:-h]) for h in range(1, lags + 1)
+def _kernel(path: Column, bandwidth: Column) -> Column:
+    """Weighted autocovariances of one path's log prices, in the JVM; null with too few returns."""
+
+    def products(r: Column, h: Column) -> Column:
+        n = F.size(r) - h
+        return F.aggregate(
+            F.zip_with(F.slice(r, h + 1, n), F.slice(r, F.lit(1), n), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x
         )
-        return float(r @ r) + 2.0 * weighted
-
-    return pd.Series(
-        [
-            None if pd.isna(h) or p is None or h >= len(p) - 1 else one(p, int(h))
-            for p, h in zip(log_prices, bandwidth, strict=True)
-        ],
-        dtype="float64",
-    )
+
+    def of_returns(r: Column) -> Column:
+        lags = F.least(bandwidth, F.size(r) - 1).cast("int")
+        rest = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(lags, F.lit(1))), F.lit(0.0),
+            lambda total, h: total + parzen_weight(h / (bandwidth + 1).cast("double")) * products(r, h),
+        )
+        rest = F.when(lags >= 1, rest).otherwise(F.lit(0.0))
+        return F.when((bandwidth >= 0) & (bandwidth < F.size(r)), products(r, F.lit(0)) + 2.0 * rest)
+
+    def of_prices(p: Column) -> Column:
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        returns = F.zip_with(F.slice(p, F.lit(2), n), F.slice(p, F.lit(1), n), lambda x, y: x - y)
+        return F.get(F.transform(F.array(returns), of_returns), F.lit(0))
+
+    # one-element arrays bind a value to a name, so that it is computed once
+    return F.get(F.transform(F.array(path), of_prices), F.lit(0))
 
 
 def realized_kernel(bandwidth: int | Column, name: str = "realized_kernel") -> Measure:
     """Autocovariances of the returns up to ``bandwidth`` lags under Parzen weights.
 
-    A short fixed bandwidth is a sum over lag columns. A long one, or one that differs from
-    path to path (an aggregate column such as ``F.first("h")``), takes the path as an array,
-    which the sampling grid bounds. Null where the path has too few returns.
+    The bandwidth is a number, or differs from path to path (an aggregate column such as
+    ``F.first("h")``). The path is an array, which the sampling grid bounds. Null where it has
+    too few returns.
     """
-    if isinstance(bandwidth, int) and not isinstance(bandwidth, bool):
-        non_negative_int(bandwidth, "bandwidth")
-        if bandwidth <= MAX_LAG_COLUMNS:
-            total = F.sum(F.col("_r0") * F.col("_r0"))
-            for h in range(1, bandwidth + 1):
-                gamma = F.sum(F.col("_r0") * F.col(f"_r{h}"))
-                total = total + F.lit(2.0 * parzen_weight(h / (bandwidth + 1))) * gamma
-            lags = {f"_r{h}": _return(h) for h in range(bandwidth + 1)}
-            return Measure(name, total, bandwidth + 2, lags)
-        lags_column = F.lit(bandwidth)
-    elif isinstance(bandwidth, Column):
-        lags_column = bandwidth
+    if isinstance(bandwidth, Column):
+        lags, least = bandwidth.cast("bigint"), 2
+    elif isinstance(bandwidth, int) and not isinstance(bandwidth, bool):
+        lags, least = F.lit(non_negative_int(bandwidth, "bandwidth")).cast("bigint"), bandwidth + 2
     else:
         raise ValueError("bandwidth must be a non-negative integer or a column")
     path = F.transform(
         F.array_sort(F.collect_list(F.struct("_order", "_lp"))), lambda point: point["_lp"]
     )
-    return Measure(name, _kernel_of_array(path, lags_column.cast("bigint")), 2)
+    return Measure(name, _kernel(path, lags), least)
 
 
 def summarize_paths(

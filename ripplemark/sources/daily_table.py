@@ -1,20 +1,35 @@
-"""The daily table on disk: one directory per asset, rebuilt where its ticks are newer."""
+"""The daily table on disk: rebuilt per asset where its ticks changed, under the options that made it.
+
+A build writes its rows under a number of its own and is then entered in a small table of builds. Readers take each
+asset's latest entry, so a build counts from then on, whole, and an asset that came out empty is empty.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ripplemark.plans.daily import DAILY_COLUMNS, SAMPLING_FREQUENCY, build_daily
-from ripplemark.sources.ticks import FILE_ORDINAL, enforce_ticks, list_files, read_ticks
-
+from ripplemark.checks import DataError
+from ripplemark.functions.numeric import is_positive
+from ripplemark.plans.daily import (
+    DAILY_COLUMNS,
+    EDGE_TOLERANCE_HOURS,
+    MIN_SESSION_HOURS,
+    SAMPLING_FREQUENCY,
+    build_daily,
+)
+from ripplemark.sources.ticks import FILE_ORDINAL, list_files, read_ticks
 
-#: Stale assets that are named in a filter rather than joined.
-MAX_NAMED_ASSETS = 500
+_ROWS = ", ".join(
+    {"date": "date date", "observation_count": "observation_count bigint"}.get(name, f"{name} double")
+    for name in DAILY_COLUMNS if name != "asset"
+) + ", asset string, build bigint"
+_BUILDS = "asset string, build bigint, ticks_at timestamp"
 
 
 @dataclass(frozen=True)
@@ -30,41 +45,53 @@ class Layout:
     def raw(self, source: str) -> str:
         return f"{self.root}/raw/{source}"
 
-    def daily(self, frequency: str = SAMPLING_FREQUENCY) -> str:
-        return f"{self.root}/derived/daily_rv_{frequency}"
+    def daily(
+        self, frequency: str = SAMPLING_FREQUENCY, *, min_session_hours: float = MIN_SESSION_HOURS,
+        edge_tolerance_hours: float | None = EDGE_TOLERANCE_HOURS,
+    ) -> str:
+        """Each set of options that changes rows has its own table."""
+        edge = "none" if edge_tolerance_hours is None else f"{float(edge_tolerance_hours):g}"
+        return f"{self.root}/derived/daily_rv_{frequency}_{float(min_session_hours):g}h_{edge}"
 
 
-def write_daily(daily: DataFrame, path: str) -> None:
-    """Replace the partitions of the assets in ``daily``; other assets keep theirs."""
-    daily.write.partitionBy("asset").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+def _builds(spark: SparkSession, path: str) -> DataFrame:
+    """The latest build of each asset."""
+    try:
+        entries = spark.read.schema(_BUILDS).parquet(f"{path}/builds")
+    except AnalysisException:
+        entries = spark.createDataFrame([], _BUILDS)
+    return entries.groupBy("asset").agg(
+        F.max("build").alias("build"), F.max_by("ticks_at", "build").alias("ticks_at")
+    )
 
 
 def read_daily(spark: SparkSession, path: str, *, asset: str | None = None) -> DataFrame:
-    table = spark.read.option("mergeSchema", "false").parquet(path)
+    builds = _builds(spark, path).select("asset", "build")
+    rows = spark.read.schema(_ROWS).parquet(f"{path}/rows")  # may have no file where every build came out empty
     if asset is not None:
-        table = table.where(F.col("asset") == asset.upper())
-    return table.select(*DAILY_COLUMNS)
+        rows, builds = (x.where(F.col("asset") == asset.upper()) for x in (rows, builds))
+    return rows.join(builds, ["asset", "build"], "left_semi").select(*DAILY_COLUMNS)
 
 
-def _newest(files: DataFrame, name: str) -> DataFrame:
-    return files.groupBy("asset").agg(F.max("modified_at").alias(name))
+def _newest(files: DataFrame) -> DataFrame:
+    return files.groupBy("asset").agg(F.max("modified_at").alias("ticks_at"))
 
 
 def stale_assets(spark: SparkSession, tick_path: str, daily_path: str) -> DataFrame:
-    """Assets whose daily rows are missing, older than their ticks, or have other columns.
+    """Assets (and their newest tick file's time) that were never built or whose ticks have changed since.
 
-    Reads directory entries, not rows.
+    Reads directory entries, not ticks. A table whose columns are others than today's is stale throughout.
     """
-    ticks = _newest(list_files(spark, tick_path), "ticks_at")
+    ticks = _newest(list_files(spark, tick_path))
     try:
-        columns = set(spark.read.parquet(daily_path).columns)
+        if set(spark.read.parquet(f"{daily_path}/rows").columns) != {*DAILY_COLUMNS, "build"}:
+            return ticks
     except AnalysisException:
-        return ticks.select("asset")
-    if columns != set(DAILY_COLUMNS):
-        return ticks.select("asset")
-    return ticks.join(_newest(list_files(spark, daily_path), "daily_at"), "asset", "left").where(
-        F.col("daily_at").isNull() | (F.col("daily_at") <= F.col("ticks_at"))
-    ).select("asset")
+        pass
+    built = _builds(spark, daily_path).select("asset", F.col("ticks_at").alias("built_from"))
+    return ticks.join(built, "asset", "left").where(
+        F.col("built_from").isNull() | (F.col("built_from") != F.col("ticks_at"))
+    ).select("asset", "ticks_at")
 
 
 def refresh_daily(
@@ -76,26 +103,34 @@ def refresh_daily(
     check: bool = True,
     **options,
 ) -> DataFrame:
-    """Bring the daily table up to date and read it.
+    """Bring the daily table for these options up to date and read it.
 
-    Only stale assets are computed and only their partitions are rewritten. Up to
-    ``MAX_NAMED_ASSETS`` stale assets are named in the scan's filter, which prunes the
-    directories that are read; more are joined.
+    Only assets with new ticks are computed. With ``check``, ticks without a time or a positive price are
+    counted while the build reads them, and a build that met one is not entered. An asset that has no ticks
+    is an error.
     """
-    target = layout.daily(frequency)
+    target = layout.daily(frequency, **options)
     wanted = None if assets is None else [a.upper() for a in assets]
+    if wanted is not None:
+        there = {r.asset for r in list_files(spark, layout.ticks).select("asset").distinct().collect()}
+        if missing := sorted(set(wanted) - there):
+            raise DataError(f"no ticks of {', '.join(missing)}")
     stale = stale_assets(spark, layout.ticks, target)
     if wanted is not None:
         stale = stale.where(F.col("asset").isin(wanted))
-    named = [row["asset"] for row in stale.limit(MAX_NAMED_ASSETS + 1).collect()]
-    if named:
-        ticks = read_ticks(spark, layout.ticks)
-        if len(named) <= MAX_NAMED_ASSETS:
-            ticks = ticks.where(F.col("asset").isin(named))
-        else:
-            ticks = ticks.join(stale, "asset", "left_semi")
-        if check:
-            enforce_ticks(ticks)
-        write_daily(build_daily(ticks, frequency=frequency, ordinal=FILE_ORDINAL, **options), target)
+    # names of directories, which the driver has listed; fixed here, before anything is written
+    stale = stale.collect()
+    if stale:
+        build = time.time_ns() // 1000
+        entry = spark.createDataFrame([(r.asset, build, r.ticks_at) for r in stale], _BUILDS).coalesce(1)
+        met = Observation()
+        ticks = read_ticks(spark, layout.ticks).join(entry.select("asset"), "asset", "left_semi").observe(
+            met, F.count_if(F.col("ts").isNull() | ~is_positive("mid")).alias("invalid")
+        )
+        rows = build_daily(ticks, frequency=frequency, ordinal=FILE_ORDINAL, **options)
+        rows.withColumn("build", F.lit(build)).write.partitionBy("asset", "build").mode("append").parquet(f"{target}/rows")
+        if check and met.get["invalid"]:
+            raise DataError(f"{met.get['invalid']} invalid timestamps or mid prices")
+        entry.write.mode("append").parquet(f"{target}/builds")
     table = read_daily(spark, target)
     return table if wanted is None else table.where(F.col("asset").isin(wanted))

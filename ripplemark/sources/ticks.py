@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,8 +12,9 @@ from ripplemark.checks import DataError, require_columns
 from ripplemark.functions.numeric import is_positive, spread_bps
 from ripplemark.operators.percentiles import exact_percentiles
 
-#: Columns that order ticks of the same time: later file, then later row.
-FILE_ORDINAL = ("file_name", "row_index")
+#: Columns that order ticks of the same time: later delivery, then later file, then later row. The sink below
+#: numbers its deliveries and their rows; of other files, the one that was written later is the later one.
+FILE_ORDINAL = ("delivery", "file_name", "row_index")
 
 SPREAD_LEVELS = (0.5, 0.99)
 
@@ -40,8 +42,11 @@ def read_ticks(
     else:
         raise ValueError("tick files have no asset column: name the asset")
     ordinal = []
-    if with_ordinal:
+    if with_ordinal and {"delivery", "position"} <= set(scan.columns):
+        ordinal = [F.col("delivery"), F.lit("").alias("file_name"), F.col("position").alias("row_index")]
+    elif with_ordinal:
         ordinal = [
+            F.unix_micros("_metadata.file_modification_time").alias("delivery"),
             F.col("_metadata.file_name").alias("file_name"),
             F.col("_metadata.row_index").alias("row_index"),
         ]
@@ -108,12 +113,13 @@ def file_summary(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def sanity_report(
-    quotes: DataFrame, *, ts: str = "ts", sequence: str | None = None, spread: Column | None = None
+    quotes: DataFrame, *, ts: str = "ts", sequence: str | Sequence[str] | None = None, spread: Column | None = None
 ) -> DataFrame:
     """Per asset: ticks, span, crossed quotes, non-positive prices, median and 99th spread (bps).
 
-    With ``sequence``, a column of arrival order within an asset, ``unsorted`` counts the ticks
-    earlier than the one before them. The spreads' percentiles are exact at any size.
+    With ``sequence``, what orders the arrivals of an asset (a number, or a file and a row number),
+    ``unsorted`` counts the ticks earlier than the one before them. The spreads' percentiles are exact
+    at any size; a quote whose mid price is zero has no spread.
     """
     require_columns(quotes, ["asset", ts, "bid", "ask", "mid"], "quotes")
     basis = spread if spread is not None else spread_bps("bid", "ask", "mid")
@@ -135,26 +141,32 @@ def sanity_report(
     return report
 
 
-def unsorted_ticks(quotes: DataFrame, *, ts: str = "ts", sequence: str = "row_index", block: int = 1_000_000) -> DataFrame:
+def unsorted_ticks(
+    quotes: DataFrame, *, ts: str = "ts", sequence: str | Sequence[str] = FILE_ORDINAL, block: int = 1_000_000
+) -> DataFrame:
     """Ticks that are earlier than the previous one in arrival order, per asset.
 
-    The order is checked inside blocks of the sequence and again between the blocks' ends, so
-    an asset with most of the ticks is never sorted in one task.
+    Arrivals are ordered by ``sequence``: a number, or columns of which the last one is a number that
+    starts anew where those before it change. The order is checked inside blocks of that number and again
+    between the blocks' ends, so an asset with most of the ticks is never sorted in one task.
     """
-    blocks = quotes.select("asset", F.col(ts).alias("t"), F.col(sequence).alias("s")).withColumn(
+    *files, row = [sequence] if isinstance(sequence, str) else sequence
+    files = [F.col(name).alias(f"f{k}") for k, name in enumerate(files)]
+    blocks = quotes.select("asset", F.col(ts).alias("t"), *files, F.col(row).alias("s")).withColumn(
         "b", F.floor(F.col("s") / block)
     )
-    inside = Window.partitionBy("asset", "b").orderBy("s")
+    place = [f"f{k}" for k in range(len(files))] + ["b"]
+    inside = Window.partitionBy("asset", *place).orderBy("s")
     per_block = (
         blocks.withColumn("_back", F.col("t") < F.lag("t").over(inside))
-        .groupBy("asset", "b")
+        .groupBy("asset", *place)
         .agg(
             F.count_if("_back").alias("inside"),
             F.min_by("t", "s").alias("first_t"),
             F.max_by("t", "s").alias("last_t"),
         )
     )
-    between = F.lag("last_t").over(Window.partitionBy("asset").orderBy("b"))
+    between = F.lag("last_t").over(Window.partitionBy("asset").orderBy(*place))
     return (
         per_block.withColumn("_jump", F.coalesce(F.col("first_t") < between, F.lit(False)))
         .groupBy("asset")
@@ -162,17 +174,27 @@ def unsorted_ticks(quotes: DataFrame, *, ts: str = "ts", sequence: str = "row_in
     )
 
 
-def write_ticks(ticks: DataFrame, path: str, *, mode: str = "append", files_per_day: int = 1) -> None:
+def write_ticks(
+    ticks: DataFrame, path: str, *, ordinal: Sequence[str] = (), mode: str = "append", files_per_day: int = 1
+) -> None:
     """Write ticks partitioned by asset and UTC date, sorted by time within each file.
 
-    A day of one asset goes to ``files_per_day`` tasks, split by time of day, so that a liquid
+    Each call is a delivery with a number (the time of the call), and each row has its place in it: by
+    ``ordinal`` among rows of one time, else as the rows come. Readers let the later delivery win, then the
+    later place. A day of one asset goes to ``files_per_day`` tasks, split by time of day, so that a liquid
     asset does not end in one writer. Overwriting replaces only the partitions that are written.
     """
     slot = F.floor(F.pmod(F.unix_seconds("ts"), F.lit(86400)) * files_per_day / 86400)
-    dated = ticks.withColumn("date", F.to_date("ts"))
+    if ordinal:
+        place = F.row_number().over(Window.partitionBy("asset", "ts").orderBy(*ordinal)).cast("bigint")
+    else:
+        place = F.monotonically_increasing_id()
+    dated = ticks.withColumn("position", place).withColumns(
+        {"delivery": F.lit(time.time_ns() // 1000).cast("bigint"), "date": F.to_date("ts")}
+    )
     (
         dated.repartition("asset", "date", slot)
-        .sortWithinPartitions("asset", "date", "ts")
+        .sortWithinPartitions("asset", "date", "ts", "position")
         .write.partitionBy("asset", "date")
         .option("partitionOverwriteMode", "dynamic")
         .mode(mode)

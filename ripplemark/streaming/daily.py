@@ -10,6 +10,8 @@ the sampling grid, not by the number of ticks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from ripplemark.functions.sessions import (
     session_wall_time,
     step_micros,
 )
-from ripplemark.operators.sampling import floor_to_step
+from ripplemark.operators.sampling import floor_to_step, last_price
 from ripplemark.plans.daily import DAILY_COLUMNS, SAMPLING_FREQUENCY, VARIANCE_COLUMNS
 
 DELAY = "2 hours"
@@ -37,12 +39,13 @@ def stream_daily(
     frequency: str = SAMPLING_FREQUENCY,
     min_session_hours: float = MIN_SESSION_HOURS,
     delay: str = DELAY,
+    ordinal: Sequence[str] = (),
 ) -> DataFrame:
     """The daily table of a stream of ticks, for append mode.
 
     A session is emitted once the watermark has passed its close; ticks that arrive later
-    than the delay are left out. Where a time occurs twice, either tick may be kept. The
-    edge filter of the batch job needs the end of the data, which a stream does not have.
+    than the delay are left out. Where a time occurs twice, ``ordinal`` says which tick is the
+    later one, as in the batch job; without it either may be kept. The edge filter of the batch job needs the end of the data, which a stream does not have.
     """
     step = step_micros(frequency)
     if DAY_MICROS % step:
@@ -53,7 +56,7 @@ def stream_daily(
         .withWatermark("wall", delay)
         .withColumn("bin", floor_to_step(F.col("ts"), step))
         .groupBy("asset", F.window("wall", "1 day").alias("session"), "bin")
-        .agg(F.max_by("mid", "ts").alias("mid"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .agg(last_price(ticks, "ts", "mid", ordinal).alias("mid"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     )
     sessions = bins.groupBy("asset", F.window(F.window_time("session"), "1 day").alias("day")).agg(
         F.array_sort(F.collect_list(F.struct("bin", F.ln("mid").alias("lp")))).alias("path"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import minute_ticks, ticks_frame
 from ripplemark.checks import DataError
+from ripplemark.operators.sampling import last_tick_sample
 from ripplemark.plans.daily import (
     DAILY_COLUMNS,
     build_daily,
@@ -14,7 +15,6 @@ from ripplemark.plans.daily import (
     sessions_per_year,
     valid_ticks,
 )
-from ripplemark.sources import daily_table
 from ripplemark.sources.daily_table import Layout, read_daily, refresh_daily, stale_assets
 from ripplemark.sources.ticks import (
     FILE_ORDINAL,
@@ -24,6 +24,7 @@ from ripplemark.sources.ticks import (
     file_summary,
     list_files,
     read_ticks,
+    sanity_report,
     tick_violations,
     unsorted_ticks,
     write_ticks,
@@ -74,9 +75,8 @@ def test_later_file_wins_where_a_time_occurs_twice(spark, tmp_path):
     ticks_frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/t/part=2")
     ticks = read_ticks(spark, f"{tmp_path}/t")
     assert ticks.count() == 1441
-    names = sorted(r.file_name for r in ticks.select("file_name").distinct().collect())
-    winner = names[-1]
-    kept = ticks.where(F.col("ts") == F.lit(rows[4][1])).where(F.col("file_name") == winner).first().mid
+    assert ticks.where(F.col("ts") == F.lit(rows[4][1])).count() == 2
+    kept = rows[4][2]  # of the file that was written later
     from ripplemark.operators.sampling import last_tick_sample
     from ripplemark.plans.daily import label_sessions
 
@@ -177,24 +177,62 @@ def test_unsorted_ticks_are_found_inside_and_between_blocks(spark):
         assert unsorted_ticks(frame, sequence="n", block=block).first().unsorted == expected
 
 
-def test_daily_table_is_rebuilt_only_for_stale_assets(spark, whole, tmp_path, monkeypatch):
+def test_daily_table_is_rebuilt_only_for_stale_assets(spark, whole, tmp_path):
     layout = Layout(str(tmp_path))
     write_ticks(whole, layout.ticks)
     first = rows_of(refresh_daily(spark, layout))
     assert len(first) == 2
     assert stale_assets(spark, layout.ticks, layout.daily()).count() == 0
-    written = sorted(os.listdir(f"{layout.daily()}/asset=EURUSD"))
+    written = sorted(os.listdir(f"{layout.daily()}/rows/asset=EURUSD"))
     refresh_daily(spark, layout).count()
-    assert sorted(os.listdir(f"{layout.daily()}/asset=EURUSD")) == written
+    assert sorted(os.listdir(f"{layout.daily()}/rows/asset=EURUSD")) == written
     write_ticks(whole.withColumn("asset", F.lit("USDJPY")), layout.ticks)
     assert [r.asset for r in stale_assets(spark, layout.ticks, layout.daily()).collect()] == ["USDJPY"]
-    monkeypatch.setattr(daily_table, "MAX_NAMED_ASSETS", 0)
     assert refresh_daily(spark, layout).count() == 4
     assert refresh_daily(spark, layout, assets=["usdjpy"]).count() == 2
-    assert sorted(os.listdir(f"{layout.daily()}/asset=EURUSD")) == written
+    assert sorted(os.listdir(f"{layout.daily()}/rows/asset=EURUSD")) == written
     assert [tuple(r) for r in rows_of(read_daily(spark, layout.daily(), asset="eurusd"))] == [tuple(r) for r in first]
 
 
+def test_daily_table_follows_its_options_and_emptied_assets(spark, whole, tmp_path):
+    layout = Layout(str(tmp_path))
+    write_ticks(whole, layout.ticks)
+    assert refresh_daily(spark, layout).count() == 2
+    assert refresh_daily(spark, layout, min_session_hours=1000.0).count() == 0
+    write_ticks(whole.withColumn("mid", F.lit(1.0)), layout.ticks, mode="overwrite")  # no variance in any session
+    assert refresh_daily(spark, layout).count() == 0
+    assert stale_assets(spark, layout.ticks, layout.daily()).count() == 0
+    with pytest.raises(DataError, match="no ticks of NOPE"):
+        refresh_daily(spark, layout, assets=["nope"])
+    write_ticks(whole.limit(1).withColumn("mid", F.lit(-1.0)), layout.ticks)
+    with pytest.raises(DataError, match="1 invalid"):
+        refresh_daily(spark, layout)
+    assert read_daily(spark, layout.daily()).count() == 0
+
+
+def test_later_delivery_and_later_row_win(spark, tmp_path):
+    start = datetime(2024, 1, 2, 12)
+    for k in range(6):
+        rows = [("A", start, 100.0 * k + n, n) for n in (2, 0, 1)]
+        write_ticks(spark.createDataFrame(rows, "asset string, ts timestamp, mid double, n bigint"), str(tmp_path), ordinal=["n"])
+        ticks = read_ticks(spark, str(tmp_path)).withColumn("session_date", F.to_date("ts"))
+        assert last_tick_sample(ticks, "1h", ordinal=FILE_ORDINAL).first().mid == 100.0 * k + 2
+
+
+def test_sorted_files_have_no_unsorted_tick(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    for part in (0, 1):
+        rows = [("A", start + timedelta(seconds=10 * part + k), 1.0) for k in range(5)]
+        spark.createDataFrame(rows, "asset string, ts timestamp, mid double").coalesce(1).write.mode("append").parquet(str(tmp_path))
+    assert unsorted_ticks(read_ticks(spark, str(tmp_path))).first().unsorted == 0
+
+
+def test_sanity_report_counts_a_zero_price(spark):
+    rows = [("A", datetime(2024, 1, 1, h), 1.0 * h, 1.0 * h, 1.0 * h) for h in range(3)]
+    report = sanity_report(spark.createDataFrame(rows, "asset string, ts timestamp, bid double, ask double, mid double")).first()
+    assert (report.ticks, report.non_positive_prices, report.spread_median) == (3, 1, 0.0)
+
+
 def test_only_needed_columns_reach_the_scan(spark, tmp_path, whole):
     wide = whole.withColumns({"bid": F.col("mid"), "ask": F.col("mid"), "bid_vol": F.lit(1.0), "ask_vol": F.lit(1.0)})
     wide.write.parquet(f"{tmp_path}/wide")
