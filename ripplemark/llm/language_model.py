@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.shared import cut, sorted_groups, texts, words
+from ripplemark.llm.shared import cut, most_frequent, sorted_groups, texts, words
 from ripplemark.llm.token_ids import slices
 
 #: Bits of a segment, bits per entry, probes per entry.
@@ -51,13 +51,13 @@ class Tokens:
                              count=len(distinct))
         n_text = len(offsets) - 1
         self.offsets = offsets + np.arange(n_text + 1)
-        self.words = np.empty(self.offsets[-1], dtype=np.uint64)
+        self.distinct = np.append(hashed, _END) & ~np.uint64(1)
+        self.codes = np.full(self.offsets[-1], len(hashed), dtype=np.int64)
         ends = self.offsets[1:] - 1
-        inner = np.ones(len(self.words), dtype=bool)
+        inner = np.ones(self.offsets[-1], dtype=bool)
         inner[ends] = False
-        self.words[inner] = hashed[codes]
-        self.words[ends] = _END
-        self.words &= ~np.uint64(1)
+        self.codes[inner] = codes
+        self.words = self.distinct[self.codes]
         before = np.empty_like(self.words)
         before[1:] = self.words[:-1]
         before[self.offsets[:-1]] = _END  # a text begins where another could have ended
@@ -87,11 +87,10 @@ def counts_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 1.5 * 2.0 ** (level.astype(np.int64) - 1) - 0.5, 0.0)
 
 
-def _places(key: np.ndarray, level: int | np.ndarray) -> Iterator[np.ndarray]:
-    start = _mixed(key + np.asarray(level).astype(np.uint64) * _A)
-    step = (start >> np.uint64(20)) | np.uint64(1)
-    for k in range(PROBES):
-        yield (start + np.uint64(k) * step) & np.uint64(SEGMENT_BITS - 1)
+def _start(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and stride of the probes for a key at a level."""
+    start = _mixed(key + np.uint64(level) * _A)
+    return start, (start >> np.uint64(20)) | np.uint64(1)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +99,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels_of(group.column("n").to_numpy())
         bits = np.zeros(SEGMENT_BITS, dtype=bool)
         for q in range(1, int(level.max()) + 1):
-            for place in _places(key[level >= q], q):
-                bits[place] = True
+            start, step = _start(key[level >= q], q)
+            for k in range(PROBES):
+                bits[(start + np.uint64(k) * step) & np.uint64(SEGMENT_BITS - 1)] = True
         yield pa.RecordBatch.from_arrays(
             [group.column("segment").combine_chunks().slice(0, 1), pa.array([np.packbits(bits).tobytes()])],
             names=["segment", "bits"])
@@ -122,12 +122,11 @@ class Filter:
         q = 1
         while len(here):
             there = np.arange(len(here))
-            for place in _places(key[here], q):
-                place = place[there].astype(np.int64)
-                hit = (self.bits[base[there] + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1
-                there = there[hit.astype(bool)]
-                if not len(there):
-                    break
+            start, step = _start(key[here], q)
+            for k in range(PROBES):  # most keys that aren't there are told by the first probe or two
+                place = ((start + np.uint64(k) * step) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
+                hit = ((self.bits[base[there] + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)
+                there, start, step = there[hit], start[hit], step[hit]
             here, base = here[there], base[there]
             found[here] = q
             q += 1
@@ -167,10 +166,10 @@ class Model:
             yield Filter(bits, first, self.n_segments)
 
     def head(self) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.word_counts.orderBy(F.desc("n"), "key").limit(HEAD).collect()
-        key = np.array([r.key for r in rows], dtype=np.int64).view(np.uint64)
+        rows = most_frequent(self.word_counts, "n", HEAD).select("key", "n").toArrow()
+        key = rows.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        return key[order], np.array([r.n for r in rows], dtype=np.int64)[order]
+        return key[order], rows.column("n").to_numpy()[order]
 
 
 def _log_probability(tokens: Tokens, word: np.ndarray, pair: np.ndarray, n: int, v: int, weight: float) -> np.ndarray:
@@ -193,10 +192,13 @@ def _pass(batches: Iterator[pa.RecordBatch], shared, exact, n: int, v: int, weig
     known, counts = exact.value
     for batch in (some for whole in batches for some in slices(whole)):
         tokens = Tokens(texts(batch))
-        found = []
-        for name, keys in (("word_levels", tokens.words), ("pair_levels", tokens.pairs)):
-            before = np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.uint8)
-            found.append(held.levels(keys, before if len(before) else None))
+        known_levels = [np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.uint8)
+                        for name in ("word_levels", "pair_levels")]
+        if len(known_levels[0]):
+            word = held.levels(tokens.words, known_levels[0])
+        else:  # each distinct word once
+            word = held.levels(tokens.distinct)[tokens.codes]
+        found = [word, held.levels(tokens.pairs, known_levels[1] if len(known_levels[1]) else None)]
         if not last:
             cuts = tokens.offsets
             raw = [[x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] for x in found]

@@ -58,6 +58,22 @@ def worker_state(key: tuple, make: Callable):
     return holder.kept[key]
 
 
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of ``counts`` with the largest ``n``: as many size classes as hold ``most`` rows at most.
+
+    ``counts`` should be stored, since it is read twice. Only the number of rows of each class (some hundred) meets.
+    """
+    size = F.floor(F.log2(F.col(n)) * 8)
+    classes = counts.groupBy(size.alias("size")).count().collect()
+    least, held = None, 0
+    for row in sorted(classes, key=lambda r: -r["size"]):
+        held += row["count"]
+        if held > most:
+            break
+        least = row["size"]
+    return counts.where(F.lit(False) if least is None else size >= least)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The texts, null as empty, in buffers of their own: some Arrow functions misread those of a slice."""
     held = batch.column(column)
