@@ -181,7 +181,7 @@ def _matches(text: pa.Array, block: Block) -> Iterator[tuple[int, int, float, in
 
 
 def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    block = shared.value
+    block = Block(*shared.value)  # plain values are broadcast, as workers needn't have this package
     for batch in (some for whole in batches for some in slices(whole)):
         keys = batch.column("doc_id").to_pylist()
         rows = [(keys[row], block.ids[item], *rest) for row, item, *rest in _matches(texts(batch), block)]
@@ -208,7 +208,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block: int = BLOCK) ->
     found = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        held = docs.sparkSession.sparkContext.broadcast(Block([r[0] for r in rows], [r[1] for r in rows]))
+        held = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
         part = docs.select("doc_id", "text").mapInArrow(
             partial(_search, shared=held),
             "doc_id long, item_id long, share double, longest_run long, first_word long, exact boolean")

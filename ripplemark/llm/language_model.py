@@ -155,7 +155,8 @@ class Model:
         return cut(dealt.repartition(min(self.n_segments, max(shuffles, 1)), "segment").sortWithinPartitions("segment")
                    .mapInArrow(_segments, "segment int, bits binary"))
 
-    def groups(self) -> Iterator[Filter]:
+    def groups(self) -> Iterator[tuple[np.ndarray, int, int]]:
+        """What makes a filter of each group of segments."""
         made = self.segments()
         for first in range(0, self.n_segments, GROUP):
             some = made.where(F.col("segment").between(first, first + GROUP - 1)).collect()
@@ -163,7 +164,7 @@ class Model:
             for segment, raw in some:
                 at = (segment - first) * SEGMENT_BITS // 8
                 bits[at : at + len(raw)] = np.frombuffer(bytes(raw), dtype=np.uint8)
-            yield Filter(bits, first, self.n_segments)
+            yield bits, first, self.n_segments
 
     def head(self) -> tuple[np.ndarray, np.ndarray]:
         rows = most_frequent(self.word_counts, "n", HEAD).select("key", "n").toArrow()
@@ -188,7 +189,7 @@ def _log_probability(tokens: Tokens, word: np.ndarray, pair: np.ndarray, n: int,
 
 
 def _pass(batches: Iterator[pa.RecordBatch], shared, exact, n: int, v: int, weight: float, last: bool) -> Iterator[pa.RecordBatch]:
-    held = shared.value
+    held = Filter(*shared.value)  # plain values are broadcast, as workers needn't have this package
     known, counts = exact.value
     for batch in (some for whole in batches for some in slices(whole)):
         tokens = Tokens(texts(batch))

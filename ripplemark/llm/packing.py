@@ -2,8 +2,8 @@
 
 Pieces are dealt into parts of a bounded number of pieces. Each part is packed best-fit decreasing, and
 dual-feasible functions bound from below how many sequences its pieces need. Parts that use more than their bound
-give up the pieces of all sequences that have room left; those are dealt anew, into fewer parts, and packed again,
-until every part is certified, one part is left, or a round saves nothing. Sequences without room never change.
+give up the pieces of all sequences that have room left; those are dealt anew, into parts twice as large, and packed
+again, until every part is certified, one part is left, or a round saves nothing. Sequences without room never change.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ripplemark.llm.shared import cut, sorted_groups, texts
 from ripplemark.llm.token_ids import WordIds, slices
 
-#: Pieces of one part, at most about.
+#: Pieces of one part in the first round, about; sixteen times as many in the last one.
 PART = 16_384
 
 
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int =
                .agg(F.sum("n"), F.sum("bins"), F.count("*")).first())
         if not use[0] or use[2] < 2:
             break
-        again = _packed(state.where(loose).select(*pieces.columns), round_no, max(1, -(-use[0] // part)), capacity)
+        again = _packed(state.where(loose).select(*pieces.columns), round_no, max(1, -(-use[0] // (part << round_no))), capacity)
         now = again.select("part", "bin").distinct().count()
         if now >= use[1]:
             break

@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> list[t
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) < int(1_000_003 * sample / total))
     chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
     fitted = chosen.repartition(1).mapInArrow(_fit, "kind int, feature string, weight double")
-    return [tuple(r) for r in fitted.collect()]
+    return [tuple(r) for r in fitted.collect()] or [(-1, "", BIAS)]  # no task where nothing is labelled
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
