@@ -1,9 +1,11 @@
 """Best-fit packing of documents into sequences, with bounds that certify each part.
 
 Pieces are dealt into parts of a bounded number of pieces. Each part is packed best-fit decreasing, and
-dual-feasible functions bound from below how many sequences its pieces need. Parts that use more than their bound
-give up the pieces of all sequences that have room left; those are dealt anew, into parts twice as large, and packed
-again, until every part is certified, one part is left, or a round saves nothing. Sequences without room never change.
+dual-feasible functions bound from below how many sequences its pieces need. While
+all parts together use more than the bound of all pieces, they exchange pieces: a part above its own bound gives up all
+sequences that have room left, any other part its loose ends, the sequences with a sixteenth of their room. What is
+given up is dealt anew, into parts twice as large, and packed again, until the bound is met, one part is left, or a
+round saves nothing. Sequences without room never change.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from ripplemark.llm.token_ids import WordIds, slices
 PART = 16_384
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """Sequences of ``capacity`` that ``lengths`` need at least, by two families of dual-feasible functions."""
     if not len(lengths):
         return 0
-    many = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    many = np.bincount(lengths, counts, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     count, volume = np.cumsum(many), np.cumsum(many * size)
     # pieces below t count nothing, pieces above capacity - t a whole sequence
@@ -126,8 +128,13 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int =
     total = pieces.count()
     state = _packed(pieces, 0, max(1, -(-total // part)), capacity)
     settled: list[DataFrame] = []
+    lengths = pieces.groupBy("length").count().toArrow()  # a row per length at most
+    least = lower_bound(lengths["length"].to_numpy(), capacity, lengths["count"].to_numpy())
+    used = state.select("part", "bin").distinct().count()
+    loose = (F.col("room") > 0) & ((F.col("gap") > 0) | (F.col("room") >= capacity // 16))
     for round_no in range(1, rounds + 1):
-        loose = (F.col("gap") > 0) & (F.col("room") > 0)
+        if used <= least:
+            break
         use = (state.where(loose).groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("bin").alias("bins"))
                .agg(F.sum("n"), F.sum("bins"), F.count("*")).first())
         if not use[0] or use[2] < 2:
@@ -136,6 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int =
         now = again.select("part", "bin").distinct().count()
         if now >= use[1]:
             break
+        used += now - use[1]
         settled.append(state.where(~loose))
         state = again
     for done in settled:
