@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.shared import texts, words
+from ripplemark.llm.shared import map_batches, texts, words
 from ripplemark.llm.token_ids import slices
 
 #: Words of a window; shorter items are one window, and items of fewer words than LEAST are not searched.
@@ -209,8 +209,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block: int = BLOCK) ->
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
         held = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        part = docs.select("doc_id", "text").mapInArrow(
-            partial(_search, shared=held),
+        part = map_batches(
+            docs.select("doc_id", "text"), partial(_search, shared=held),
             "doc_id long, item_id long, share double, longest_run long, first_word long, exact boolean")
         found = part if found is None else found.unionByName(part)
     return found

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ripplemark.llm.shared import map_batches
+
 #: Lines of a window, and the sum that a region has to reach on a page without an article element.
 WINDOW, SURGE = 3, 86
 #: Most links a line may have, as a share of its characters, to count as text.
@@ -236,5 +238,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Character references are decoded, white space inside a block becomes one space. Null or empty html, and pages
     without text, give an empty text and no region. Every row stays, repeated ones too; other columns are not read.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(
-        _extract, "page_id long, url string, text string, n_chars long, n_regions int")
+    return map_batches(
+        pages.select("page_id", "url", "html"), _extract, "page_id long, url string, text string, n_chars long, n_regions int")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.shared import cut, most_frequent, sorted_groups, texts, words
+from ripplemark.llm.shared import cut, map_batches, most_frequent, sorted_groups, texts, words
 from ripplemark.llm.token_ids import slices
 
 #: Bits of a segment, bits per entry, probes per entry.
@@ -137,7 +137,7 @@ class Model:
     """Counts of the training texts: the filter's segments and exact counts of words."""
 
     def __init__(self, docs: DataFrame):
-        counts = docs.select("text").mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        counts = map_batches(docs.select("text"), _grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         self.counts = cut(counts.where((F.col("key").bitwiseAND(F.lit(1)) == 0) | (F.col("n") >= 2)))
         word = F.col("key").bitwiseAND(F.lit(1)) == 0
         level = F.floor(F.log2(F.col("n")) + 1e-12) + 1

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.shared import Forest, components, cut, sorted_groups, texts, words
+from ripplemark.llm.shared import Forest, components, cut, map_batches, sorted_groups, texts, words
 from ripplemark.llm.token_ids import slices
 
 TREES, DEPTH, BASE = 12, 8, 4
@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     links over third documents; candidates are confirmed on full sets.
     """
     own = docs.select("doc_id", "text")
-    signed = cut(own.mapInArrow(partial(_sign, width=width),
-                                "doc_id long, n_shingles long, set_id long, orders binary"))
+    signed = cut(map_batches(own, partial(_sign, width=width),
+                             "doc_id long, n_shingles long, set_id long, orders binary"))
     nodes = (signed.where("set_id is not null").groupBy("set_id")
              .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("orders").alias("orders")))
     nodes = cut(nodes)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.shared import cut, sorted_groups, texts
+from ripplemark.llm.shared import cut, map_batches, sorted_groups, texts
 from ripplemark.llm.token_ids import WordIds, slices
 
 #: Pieces of one part in the first round, about; sixteen times as many in the last one.
@@ -120,7 +120,8 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int =
     gap: how many sequences the part of this sequence has beyond its certified bound (0: none could be saved there).
     Rows that repeat a doc_id, or have none, are documents of their own. An empty table gives no row.
     """
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    pieces = map_batches(
+        docs.select(F.col("doc_id").cast("long"), "text"),
         partial(_cut_up, tokenizer=tokenizer, end_id=end_id, capacity=capacity),
         "doc_id long, piece int, start long, length long, ids_crc32 long",
     ).withColumn("row", F.monotonically_increasing_id())

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
 #: White space that separates words.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -32,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of documents that fit an executor's memory beside its heap.
+
+    Rows here hold whole texts, so the default of 10,000 rows a batch is too many; a setting of the user's stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs a reread only."""
     shared_dir(df.sparkSession)
@@ -93,7 +106,7 @@ def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         offsets = before[offsets]
         flat = flat.filter(pa.array(full))
     coded = flat.slice(0).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, coded.dictionary
+    return coded.indices.to_numpy(zero_copy_only=False), offsets, coded.dictionary
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -17,13 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.shared import cut, most_frequent, texts, worker_state
+from ripplemark.llm.shared import cut, map_batches, most_frequent, texts, worker_state
 from ripplemark.llm.token_ids import slices
 
 #: Entries of the broadcast table (about 1 MB), and what one task contributes to it at most.
 TABLE, PER_TASK = 32_768, 8_192
 #: Pre-tokens a worker remembers beyond the table.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def pretokens(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -108,7 +108,7 @@ def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096) -> DataFrame
     the library's for the whole text, without begin or end. Null text: empty, 0 tokens. Every row stays.
     """
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    seen = cut(own.mapInArrow(_frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    seen = cut(map_batches(own, _frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     frequent = [r.word for r in most_frequent(seen, "n", TABLE).select("word").collect()]
     table = (frequent, np.array(_Lengths(model).encode(frequent), dtype=np.int32))
     counted = own.mapInArrow(partial(_count, path=model, table=docs.sparkSession.sparkContext.broadcast(table)),

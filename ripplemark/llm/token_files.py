@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplemark.llm.shared import cut, texts
+from ripplemark.llm.shared import cut, map_batches, texts
 from ripplemark.llm.token_ids import WordIds, slices
 
 #: Fixed values of the public frame formats.
@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_files = max(shuffles, -(-own.count() // docs_per_file))
     ordered = own.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = cut(ordered.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id), MANIFEST))
+    written = cut(map_batches(ordered, partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id), MANIFEST))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from ripplemark.llm.shared import ragged, words, worker_state
 
 #: Words a worker remembers; beyond that it starts afresh, so memory is bounded.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Composed letters of Latin scripts, each its own lower case or with a single one, then punctuation.
 _LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
 _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which may begin a token of letters
@@ -135,3 +135,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
         to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()

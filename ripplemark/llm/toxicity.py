@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplemark.llm.shared import crc_mod, texts, words
+from ripplemark.llm.shared import crc_mod, map_batches, texts, words
 from ripplemark.llm.token_ids import slices
 
 #: Labelled documents the model is fitted to, at most about: a sample by hash where there are more.
-SAMPLE = 8_000
+SAMPLE = 6_000
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (3, 4, 5)
 #: A feature has to be this much likelier in toxic documents: twice the log likelihood ratio to one common rate.
@@ -83,8 +83,7 @@ def fit(text: pa.Array, toxic: np.ndarray) -> tuple[float, list[tuple[int, str,
     if not len(toxic) or toxic.all() or not toxic.any():
         return (BIAS if not len(toxic) or not toxic.any() else -BIAS), []
     found = Sentences(text)
-    owner = np.repeat(np.arange(len(toxic)), np.add.reduceat(np.append(found.lengths, 0), found.of_text[:-1])
-                      * (np.diff(found.of_text) > 0))
+    bounds = np.append(found.starts, len(found.codes))[found.of_text]  # first word of each text
     names: list[tuple[int, str]] = []
     parts = []
     size = 0
@@ -92,11 +91,17 @@ def fit(text: pa.Array, toxic: np.ndarray) -> tuple[float, list[tuple[int, str,
         coded = feature.dictionary_encode()
         n_kind = len(coded.dictionary)
         at = pc.fill_null(coded.indices, n_kind).to_numpy(zero_copy_only=False).astype(np.int64)
-        pair = np.unique(owner * (n_kind + 1) + at[found.codes])  # documents with the feature
-        of_doc, of_feature = np.divmod(pair, n_kind + 1)
-        told = _telling(np.bincount(of_feature[toxic[of_doc]], minlength=n_kind + 1)[:-1],
-                        np.bincount(of_feature[~toxic[of_doc]], minlength=n_kind + 1)[:-1],
-                        int(toxic.sum()), int((~toxic).sum()))
+        counts = np.zeros((2, n_kind), dtype=np.int64)  # clean and toxic documents with the feature
+        for first in range(0, len(toxic), 256):
+            some = slice(first, first + 256)
+            lengths = np.diff(bounds[first : first + 257])
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            have = at[found.codes[bounds[first] : bounds[first] + len(owner)]]
+            of_doc, of_feature = np.divmod(np.unique(owner * (n_kind + 1) + have), n_kind + 1)
+            for label in (0, 1):
+                of = of_feature[(toxic[some][of_doc] == bool(label)) & (of_feature < n_kind)]
+                counts[label] += np.bincount(of, minlength=n_kind)
+        told = _telling(counts[1], counts[0], int(toxic.sum()), int((~toxic).sum()))
         place = np.append(np.where(told, np.cumsum(told) - 1 + size, -1), -1)
         parts.append(place[at])
         names += [(kind, f) for f in coded.dictionary.filter(pa.array(told)).to_pylist()]
@@ -160,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> list[t
     if total > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) < int(1_000_003 * sample / total))
     chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
-    fitted = chosen.repartition(1).mapInArrow(_fit, "kind int, feature string, weight double")
+    fitted = map_batches(chosen.repartition(1), _fit, "kind int, feature string, weight double")
     return [tuple(r) for r in fitted.collect()] or [(-1, "", BIAS)]  # no task where nothing is labelled
 
 
@@ -197,7 +202,7 @@ def score(docs: DataFrame, model: list[tuple[int, str, float]]) -> DataFrame:
     bias = next(w for k, _, w in model if k == -1)
     shared = docs.sparkSession.sparkContext.broadcast((bias, kinds))
     kept = [f for f in docs.schema.fields if f.name not in SCORED]
-    return docs.mapInArrow(partial(_score, model=shared), T.StructType([
+    return map_batches(docs, partial(_score, model=shared), T.StructType([
         *kept, T.StructField("score", T.DoubleType()), T.StructField("n_sentences", T.LongType()),
         T.StructField("offending", T.ArrayType(T.StringType()))]))
 
