@@ -23,7 +23,7 @@ from ripplemark.operators import features as X
 from ripplemark.operators import forecasts as W
 from ripplemark.operators import smearing as SM
 from ripplemark.operators import variance as V
-from ripplemark.operators.models import ForecastModel, LinearRegression
+from ripplemark.operators.models import own_rule, regression
 from ripplemark.operators.sampling import last_tick_sample
 from ripplemark.operators.timeline import accumulate_known
 from ripplemark.plans import calibration as K
@@ -455,12 +455,12 @@ class RecentMean:
 
 @query
 def wf_custom_rule(spark, sf_dir):
-    return _walk(spark, sf_dir, ForecastModel("recent_mean", RecentMean()))
+    return _walk(spark, sf_dir, own_rule("recent_mean", RecentMean()))
 
 
 @query
 def fit_known(spark, sf_dir):
-    ridge = ForecastModel("ridge", LinearRegression(10.0), I.HAR.regressors)
+    ridge = regression("ridge", I.HAR.regressors, penalty=10.0)
     models = [I.HAR, I.BENCHMARKS[3], I.BENCHMARKS[0], ridge]
     return W.fit_known(I.forecast_data(spark, sf_dir), models, before=[CUT])
 

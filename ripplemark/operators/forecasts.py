@@ -33,7 +33,7 @@ from ripplemark.checks import (
 )
 from ripplemark.functions.numeric import is_finite
 from ripplemark.operators.features import ORIGIN, SERIES
-from ripplemark.operators.models import ExponentialSmoothing, ForecastModel, LinearRegression
+from ripplemark.operators.models import ModelSpec
 from ripplemark.operators.timeline import EVENT, QUERY_AFTER, running, self_timeline
 
 FORECAST_COLUMNS = (
@@ -66,18 +66,41 @@ def _from_number(name: str, kind: T.DataType) -> Column:
 # --- the small solves -----------------------------------------------------------------------
 
 
-def least_squares(features: np.ndarray, target: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
-    """Intercept and slopes from the rows themselves (smallest solution if collinear)."""
-    rows, width = features.shape
-    if rows <= width:
-        raise DataError("linear regression needs more observations than regressors")
-    if ridge == 0:
-        full = np.linalg.lstsq(np.hstack([np.ones((rows, 1)), features]), target, rcond=None)[0]
-        return float(full[0]), full[1:]
-    center, level = features.mean(axis=0), float(target.mean())
-    x = features - center
-    slopes = np.linalg.solve(x.T @ x + ridge * np.identity(width), x.T @ (target - level))
-    return level - float(center @ slopes), slopes
+def _damped_fit(x: np.ndarray, y: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """Intercept and slopes from the singular directions of the centred rows, each damped by the penalty.
+
+    Directions without spread get no slope, which is the smallest solution among equals; a penalty of
+    zero damps nothing, so every penalty takes the same way.
+    """
+    if len(x) <= x.shape[1]:
+        raise DataError(f"{x.shape[1]} slopes and an intercept need more observations than {len(x)}")
+    middle, level = x.mean(axis=0), y.mean()
+    left, spread, right = np.linalg.svd(x - middle, full_matrices=False)
+    told = spread > np.finfo(float).eps * max(x.shape) * max(spread.max(initial=0.0), np.abs(middle).max(initial=0.0))
+    gain = np.divide(spread, spread**2 + penalty, out=np.zeros_like(spread), where=told)
+    slopes = right.T @ (gain * (left.T @ (y - level)))
+    return float(level - middle @ slopes), slopes
+
+
+def _pooled_fit(
+    n: np.ndarray, mean: np.ndarray, spread: np.ndarray, penalty: float
+) -> tuple[float, np.ndarray]:
+    """The same from moments of parts of the rows; the last column is the target."""
+    total = n.sum()
+    middle = n @ mean / total
+    apart = mean - middle
+    products = spread.sum(axis=0) + (n[:, None] * apart).T @ apart
+    width = len(middle) - 1
+    if total <= width:
+        raise DataError(f"{width} slopes and an intercept need more observations than {int(total)}")
+    size = np.sqrt(np.diag(products)[:width])
+    size = np.where(size > 0, size, 1.0)
+    inner = products[:width, :width] / np.outer(size, size)
+    values, directions = np.linalg.eigh(inner + np.diag(penalty / size**2))
+    told = values > 1e-13 * max(values.max(initial=0.0), 1e-300)
+    along = directions.T @ (products[:width, width] / size)
+    slopes = directions @ np.divide(along, values, out=np.zeros_like(along), where=told) / size
+    return float(middle[width] - middle[:width] @ slopes), slopes
 
 
 def _solve(
@@ -86,7 +109,7 @@ def _solve(
     """Slopes of many fits from their centered sums, and which of them must be repeated."""
     width = cov_xx.shape[1]
     if (n <= width).any():
-        raise DataError("linear regression needs more observations than regressors")
+        raise DataError(f"{width} slopes and an intercept need more observations than {int(n.min())}")
     scale = np.sqrt(np.clip(np.einsum("nii->ni", cov_xx), 0.0, None))
     weak = ((scale**2 <= CANCELLED * n[:, None] * mean_x**2) | (scale == 0)).any(axis=1)
     if ridge > 0:
@@ -107,7 +130,7 @@ _GROUP_COLUMNS = ["model", "series", "_origin", "_target", "actual", "predicted"
 
 
 def _forecast_group(
-    models: Sequence[ForecastModel], columns: Sequence[str], min_train: int
+    models: Sequence[ModelSpec], columns: Sequence[str], min_train: int
 ) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Forecasts of one series from its timeline of events and queries."""
     position = {name: i for i, name in enumerate(columns)}
@@ -126,11 +149,8 @@ def _forecast_group(
         x_now, n = x_all[asked], queries["_n"].to_numpy("int64")
         outputs = []
         for model in models:
-            if isinstance(model.rule, ExponentialSmoothing):
-                level, states = 0.0, np.empty(len(past_y))
-                for k, observed in enumerate(past_y):
-                    level = observed if k == 0 else model.rule.decay * level + (1.0 - model.rule.decay) * observed
-                    states[k] = level
+            if model.kind == "smoothing":
+                states = pd.Series(past_y).ewm(alpha=1.0 - model.weight, adjust=False).mean().to_numpy()
                 predicted = states[n - 1]
             elif not model.regressors:
                 predicted = (np.cumsum(past_y) / np.arange(1, len(past_y) + 1))[n - 1]
@@ -139,7 +159,7 @@ def _forecast_group(
                 chosen = [position[name] for name in model.regressors]
                 for begin in range(0, len(n), SOLVE_BATCH):
                     part = slice(begin, begin + SOLVE_BATCH)
-                    predicted[part] = regress(queries.iloc[part], x_now[part], n[part], chosen, model.rule.ridge, past_x, past_y)
+                    predicted[part] = regress(queries.iloc[part], x_now[part], n[part], chosen, model.weight, past_x, past_y)
             if not np.isfinite(predicted).all():
                 raise DataError(f"{model.name} returned a non-finite prediction")
             outputs.append(
@@ -176,7 +196,7 @@ def _forecast_group(
         predicted = queries["cy"].to_numpy("float64") + mean_y + (centered_now * slopes).sum(axis=1)
         for row in np.flatnonzero(weak):
             known = int(n[row])
-            intercept, b = least_squares(past_x[:known, chosen], past_y[:known], ridge)
+            intercept, b = _damped_fit(past_x[:known, chosen], past_y[:known], ridge)
             predicted[row] = intercept + float(x_now[row, chosen] @ b)
         return predicted
 
@@ -260,16 +280,14 @@ def _in_range(start: date | None, end: date | None) -> Column:
     return rule
 
 
-def _is_closed(model: ForecastModel) -> bool:
+def _is_closed(model: ModelSpec) -> bool:
     """Whether the model is a running aggregate, with nothing to solve."""
-    if isinstance(model.rule, LinearRegression):
-        return not model.regressors
-    return isinstance(model.rule, ExponentialSmoothing) and model.rule.decay == 0
+    return model.kind == "regression" and not model.regressors or model.kind == "smoothing" and model.weight == 0
 
 
 def walk_forward_models(
     data: DataFrame,
-    models: Sequence[ForecastModel],
+    models: Sequence[ModelSpec],
     *,
     min_train_size: int,
     start: date | None = None,
@@ -304,7 +322,7 @@ def walk_forward_models(
         _in_range(start, end).alias("_selected"),
     )
     closed = [m for m in models if _is_closed(m)]
-    custom = [m for m in models if not isinstance(m.rule, (LinearRegression, ExponentialSmoothing))]
+    custom = [m for m in models if m.kind == "own"]
     solved = [m for m in models if m not in closed and m not in custom]
 
     parts = []
@@ -352,7 +370,7 @@ def _closed_forecasts(known: DataFrame, models, window, min_train: int) -> DataF
         *[
             F.struct(
                 F.lit(m.name).alias("model"),
-                F.col("_mean" if isinstance(m.rule, LinearRegression) else "_last").alias("predicted"),
+                F.col("_mean" if m.kind == "regression" else "_last").alias("predicted"),
             )
             for m in models
         ]
@@ -393,13 +411,13 @@ def _solved_forecasts(known: DataFrame, models, columns: Sequence[str], window,
     return known.groupBy(SERIES).applyInPandas(run, _FORECAST_SCHEMA)
 
 
-def walk_forward(data: DataFrame, model: ForecastModel, **options) -> DataFrame:
+def walk_forward(data: DataFrame, model: ModelSpec, **options) -> DataFrame:
     """:func:`walk_forward_models` for one model."""
     return walk_forward_models(data, [model], **options)
 
 
 def fit_known(
-    data: DataFrame, models: Sequence[ForecastModel], *, before: Sequence[date | datetime]
+    data: DataFrame, models: Sequence[ModelSpec], *, before: Sequence[date | datetime]
 ) -> DataFrame:
     """Coefficients of linear models fitted on the targets observed before each date.
 
@@ -410,38 +428,50 @@ def fit_known(
     if not models or not before:
         raise ValueError("at least one model and one date are required")
     for model in models:
-        if not isinstance(model.rule, LinearRegression):
+        if model.kind != "regression":
             raise ValueError(f"{model.name} has no coefficients")
     columns = list(dict.fromkeys(c for m in models for c in m.regressors))
     require_columns(data, [SERIES, "target_date", "target", *columns], "data")
     kind = data.schema["target_date"].dataType
     cuts = sorted({_day_number(day, kind) for day in before})
-    specs = [(m.name, m.rule.ridge, m.regressors) for m in models]
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_target", kind="stable")
-        targets, y = rows["_target"].to_numpy("int64"), rows["y"].to_numpy("float64")
+    specs = [(m.name, m.weight, m.regressors) for m in models]
+    names = [*(f"x{i}" for i in range(len(columns))), "y"]
+    pairs = _pair_names(len(names))
+
+    def fit(parts: pd.DataFrame) -> pd.DataFrame:
+        """Fits of one series from the moments between its dates, one row each."""
+        parts = parts.sort_values("_cut")
+        n, at = parts["n"].to_numpy("float64"), parts["_cut"].to_numpy("int64")
+        mean = parts[[f"m{i}" for i in range(len(names))]].to_numpy("float64")
+        spread = np.empty((len(parts), len(names), len(names)))
+        for index, (i, j) in enumerate(pairs):
+            spread[:, i, j] = spread[:, j, i] = parts[f"c{index}"].to_numpy("float64") * n
         out = []
         for cut in cuts:
-            n = int(np.searchsorted(targets, cut, side="left"))
-            if n == 0:
-                continue
-            for name, ridge, regressors in specs:
-                x = rows[[f"x{columns.index(c)}" for c in regressors]].to_numpy("float64")[:n]
-                intercept, slopes = least_squares(x, y[:n], ridge)
+            known = at <= cut
+            for name, penalty, regressors in specs if known.any() else ():
+                used = [*(columns.index(c) for c in regressors), len(columns)]
+                intercept, slopes = _pooled_fit(
+                    n[known], mean[known][:, used], spread[known][:, used][:, :, used], penalty)
                 for term, value in zip(("intercept", *regressors), (intercept, *slopes), strict=True):
-                    out.append((rows["series"].iloc[0], name, cut, term, float(value), n))
+                    out.append((parts["series"].iloc[0], name, cut, term, float(value), int(n[known].sum())))
         return pd.DataFrame(out, columns=["series", "model", "_before", "term", "coefficient", "n_train"])
 
-    last = max(cuts)
     rows = data.select(
         SERIES,
         _to_number("target_date", kind).cast("bigint").alias("_target"),
-        F.col("target").cast("double").alias("y"),
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
-    ).where(F.col("_target") < last)
+        F.col("target").cast("double").alias("y"),
+    )
+    # each row counts for the first date after it; dates add up what lies before them
+    first = F.get(F.filter(F.array(*[F.lit(cut).cast("bigint") for cut in cuts]), lambda cut: cut > F.col("_target")), F.lit(0))
+    moments = rows.withColumn("_cut", first).where("_cut is not null").groupBy(SERIES, "_cut").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(name).alias(f"m{i}") for i, name in enumerate(names)],
+        *[F.covar_pop(names[i], names[j]).alias(f"c{index}") for index, (i, j) in enumerate(pairs)],
+    )
     schema = "series string, model string, _before bigint, term string, coefficient double, n_train bigint"
-    return rows.groupBy(SERIES).applyInPandas(fit, schema).select(
+    return moments.groupBy(SERIES).applyInPandas(fit, schema).select(
         "series", "model", _from_number("_before", kind).alias("before"), "term", "coefficient", "n_train"
     )
 

@@ -12,14 +12,14 @@ from ripplemark.checks import finite_number
 from ripplemark.operators.comparison import forecast_losses, scoreboard
 from ripplemark.operators.features import TrailingMeanFeatures
 from ripplemark.operators.forecasts import walk_forward_models
-from ripplemark.operators.models import ForecastModel, LinearRegression
+from ripplemark.operators.models import ModelSpec, regression
 from ripplemark.operators.smearing import smeared_forecasts
 from ripplemark.plans.study import RIDGE_GRID, StudyDesign, ridge_model
 
 _NAME = "ridge@"
 
 
-def _penalty_models(features: TrailingMeanFeatures, penalties: Sequence[float]) -> list[ForecastModel]:
+def _penalty_models(features: TrailingMeanFeatures, penalties: Sequence[float]) -> list[ModelSpec]:
     if not penalties or len(set(penalties)) != len(penalties):
         raise ValueError("penalties must be non-empty and unique")
     for penalty in penalties:
@@ -105,7 +105,7 @@ def tuned_losses(
     evaluation starts. Adds ``penalty``, ``calibration_loss`` and ``at_grid_edge``.
     """
     grid = _penalty_models(features, penalties)
-    candidate = ForecastModel(design.candidate, LinearRegression(), features.columns)
+    candidate = regression(design.candidate, features.columns)
     losses = forecast_losses(smeared_forecasts(design.forecast(data, [candidate, *grid])), design.loss)
     early = F.when(F.col("target_date") < F.lit(design.evaluation_start), F.col("loss"))
     tried = F.when(F.col("model") != design.candidate, F.substring_index("model", "@", -1).cast("double"))

@@ -17,7 +17,7 @@ from ripplemark.operators.comparison import (
     scoreboard,
 )
 from ripplemark.operators.forecasts import fit_known
-from ripplemark.operators.models import ForecastModel
+from ripplemark.operators.models import ModelSpec
 
 # Fixed values of the published tables.
 BEST_SESSIONS = 10
@@ -225,13 +225,13 @@ def candidate_verdict(losses: DataFrame, candidate: str, *, reference_model: str
 # --- coefficients ---------------------------------------------------------------------------------
 
 
-def coefficient_table(data: DataFrame, models: Sequence[ForecastModel], before: date) -> DataFrame:
+def coefficient_table(data: DataFrame, models: Sequence[ModelSpec], before: date) -> DataFrame:
     """Coefficients fitted before a date, one column per model, one row per term."""
     fits = fit_known(data, models, before=[before])
     return fits.groupBy("series", "term").pivot("model", [m.name for m in models]).agg(F.first("coefficient"))
 
 
-def slope_summary(data: DataFrame, model: ForecastModel, before: date) -> DataFrame:
+def slope_summary(data: DataFrame, model: ModelSpec, before: date) -> DataFrame:
     """Slope on the first regressor, sum of the others, sum of all, and the intercept."""
     fits = fit_known(data, [model], before=[before])
     slope = F.when(F.col("term") != "intercept", F.col("coefficient"))
@@ -253,7 +253,7 @@ def quarter_starts(start: date, end: date) -> list[date]:
 
 
 def quarterly_slopes(
-    data: DataFrame, model: ForecastModel, terms: Sequence[str], *, start: date, end: date
+    data: DataFrame, model: ModelSpec, terms: Sequence[str], *, start: date, end: date
 ) -> DataFrame:
     """Chosen coefficients refitted at each quarter's start, outcomes of that day included."""
     cuts = [day + timedelta(days=1) for day in quarter_starts(start, end)]

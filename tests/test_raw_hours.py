@@ -56,13 +56,11 @@ def test_an_unknown_symbol_fails_the_job(spark, tmp_path):
         R.decode_hours(R.landed_hours(spark, str(tmp_path))).collect()
 
 
-@pytest.mark.parametrize(
-    "symbol, raw, price", [("EURUSD", 107524, 1.07524), ("usdjpy", 131816, 131.816), ("XAUUSD", 1879095, 1879.095), ("USA500IDXUSD", 3940397, 3940.397)]
-)
-def test_point_dividers(symbol, raw, price):
-    assert raw / R.point_divider(symbol) == pytest.approx(price)
-    with pytest.raises(ValueError):
-        R.point_divider("GBPUSD")
+def test_known_symbols_have_their_scale_and_others_none(spark):
+    prices = {"EURUSD": (107524, 1.07524), "usdjpy": (131816, 131.816), "XAUUSD": (1879095, 1879.095), "USA500IDXUSD": (3940397, 3940.397)}
+    frame = spark.createDataFrame([(s, raw) for s, (raw, _) in prices.items()], "symbol string, raw bigint")
+    for row in frame.withColumn("divider", R.divider_of(frame["symbol"])).collect():
+        assert row.raw / row.divider == pytest.approx(prices[row.symbol][1])
 
 
 def test_trading_hours_skip_saturdays(spark):

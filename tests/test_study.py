@@ -10,7 +10,7 @@ from helpers import daily_values, newey_west_test, ols, prepared_frame, series_f
 from ripplemark.functions.losses import qlike, squared_error
 from ripplemark.operators.comparison import forecast_losses, results_table
 from ripplemark.operators.features import build_forecast_data
-from ripplemark.operators.models import ForecastModel, LinearRegression
+from ripplemark.operators.models import regression
 from ripplemark.plans import calibration as K
 from ripplemark.plans import descriptive as D
 from ripplemark.plans import diagnostics as G
@@ -294,7 +294,7 @@ def test_the_engine_knows_no_finance(spark):
                           "price": price[:-1], "trend": np.arange(119.0), "target": 50 - 5 * price[:-1] + 0.1 * np.arange(119)})
     plan = StudyDesign(date(2020, 9, 1), date(2021, 3, 1), date(2022, 6, 1), 20, "both", squared_error, "squares")
     log = plan.forecast(spark.createDataFrame(frame), [
-        ForecastModel("both", LinearRegression(), ("price", "trend")), ForecastModel("mean", LinearRegression()),
+        regression("both", ("price", "trend")), regression("mean"),
     ])
     board = {r.model: r for r in results_table(forecast_losses(log, squared_error, check=True), "both").collect()}
     assert board["both"].mean_loss < 1e-15 < board["mean"].mean_loss and board["mean"].candidate_win_rate == 1.0
