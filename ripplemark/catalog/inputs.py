@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 from ripplemark.operators.features import build_forecast_data
 from ripplemark.plans.daily import build_daily, valid_ticks
 from ripplemark.plans.study import (
-    StudyDesign,
-    StudyRun,
     benchmark_models,
     har_features,
     har_model,
+    run_study,
     shar_features,
     shar_model,
+    study_plan,
 )
 from ripplemark.session import configure
 
@@ -25,7 +25,7 @@ DIGITS = 6
 BAR = "1h"
 ORDINAL = ("event_id",)
 
-DESIGN = StudyDesign(date(1998, 1, 1), date(1999, 1, 1), date(2001, 6, 30), 252, "HAR")
+DESIGN = study_plan(date(1998, 1, 1), date(1999, 1, 1), date(2001, 6, 30), least_known=252, candidate="HAR")
 FEATURES = har_features("value")
 RISES, FALLS = shar_features(FEATURES, "rise", "fall")
 HAR = har_model(FEATURES)
@@ -88,12 +88,12 @@ def wide_forecast_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_forecast_data(sales(spark, sf_dir), [FEATURES, RISES, FALLS], value_col="value")
 
 
-def study(spark: SparkSession, sf_dir: str) -> StudyRun:
-    return DESIGN.run(forecast_data(spark, sf_dir), MODELS)
+def study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return run_study(forecast_data(spark, sf_dir), MODELS, DESIGN)
 
 
-def shar_study(spark: SparkSession, sf_dir: str) -> StudyRun:
-    return DESIGN.run(wide_forecast_data(spark, sf_dir), [HAR, SHAR])
+def shar_study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return run_study(wide_forecast_data(spark, sf_dir), [HAR, SHAR], DESIGN)
 
 
 def present(result: DataFrame, digits: dict[str, int] | int = DIGITS) -> DataFrame:

@@ -30,7 +30,7 @@ from ripplemark.plans import calibration as K
 from ripplemark.plans import daily as D
 from ripplemark.plans import descriptive as S
 from ripplemark.plans import diagnostics as G
-from ripplemark.plans.study import RIDGE_GRID, ridge_model
+from ripplemark.plans.study import RIDGE_GRID, ridge_model, run_study
 from ripplemark.session import configure
 from ripplemark.sources import raw_hours, ticks as T
 from ripplemark.sources.daily_table import Layout, refresh_daily
@@ -40,7 +40,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 #: First date of the fits that use everything before it.
-CUT = I.DESIGN.evaluation_start
+CUT = I.DESIGN.scored_from
 
 
 def query(run: Query | None = None, *, digits: dict[str, int] | int = I.DIGITS):
@@ -439,7 +439,7 @@ def wf_ridge(spark, sf_dir):
 @query
 def wf_models(spark, sf_dir):
     """All models of the study between two target dates, in one pass."""
-    return I.study(spark, sf_dir).forecasts
+    return I.study(spark, sf_dir)["log"]
 
 
 class RecentMean:
@@ -479,18 +479,18 @@ def slope_summary(spark, sf_dir):
 def quarterly_slopes(spark, sf_dir):
     terms = [I.RISES.columns[0], I.FALLS.columns[0]]
     return G.quarterly_slopes(
-        I.wide_forecast_data(spark, sf_dir), I.SHAR, terms, start=CUT, end=I.DESIGN.forecast_end
+        I.wide_forecast_data(spark, sf_dir), I.SHAR, terms, start=CUT, end=I.DESIGN.last
     )
 
 
 @query(digits={"actual": 2, "predicted": 2})
 def smeared(spark, sf_dir):
-    return SM.smeared_forecasts(I.study(spark, sf_dir).forecasts)
+    return SM.smeared_forecasts(I.study(spark, sf_dir)["log"])
 
 
 @query
 def smearing_factors(spark, sf_dir):
-    return G.smearing_factors(I.study(spark, sf_dir).evaluation.forecasts)
+    return G.smearing_factors(I.study(spark, sf_dir)["forecasts"])
 
 
 @query
@@ -538,7 +538,7 @@ def walk_forward_violations(spark, sf_dir):
 @query
 def forecast_violations(spark, sf_dir):
     """Forecast records with broken rows: what is wrong, and how often, per model."""
-    runs = I.study(spark, sf_dir).forecasts
+    runs = I.study(spark, sf_dir)["log"]
     day = F.dayofmonth("target_date")
     broken = runs.withColumns(
         {
@@ -553,7 +553,7 @@ def forecast_violations(spark, sf_dir):
 @query
 def uneven_cases(spark, sf_dir):
     """Cases that not every model has, after some are taken from one model."""
-    runs = I.study(spark, sf_dir).forecasts
+    runs = I.study(spark, sf_dir)["log"]
     short = runs.where(~((F.col("model") == "EWMA") & (F.dayofmonth("target_date") == 5)))
     return C.uneven_cases(short).drop("actual")
 
@@ -562,7 +562,7 @@ def uneven_cases(spark, sf_dir):
 
 
 def _losses(spark, sf_dir):
-    return I.study(spark, sf_dir).evaluation.losses
+    return I.study(spark, sf_dir)["losses"]
 
 
 @query(digits={"actual": 2, "predicted": 2})
@@ -572,7 +572,7 @@ def qlike_losses(spark, sf_dir):
 
 @query(digits={"actual": 8})
 def other_losses(spark, sf_dir):
-    forecasts = I.study(spark, sf_dir).evaluation.forecasts
+    forecasts = I.study(spark, sf_dir)["forecasts"]
     scaled = forecasts.withColumns({"actual": F.col("actual") / 1e6, "predicted": F.col("predicted") / 1e6})
     squared = C.forecast_losses(scaled, squared_error).withColumnRenamed("loss", "squared")
     return squared.withColumn("absolute", absolute_error(F.col("actual"), F.col("predicted"))).withColumn(
@@ -582,7 +582,7 @@ def other_losses(spark, sf_dir):
 
 @query
 def loss_matrix(spark, sf_dir):
-    return I.study(spark, sf_dir).losses()
+    return C.loss_matrix(I.study(spark, sf_dir)["losses"], I.MODEL_NAMES)
 
 
 @query
@@ -592,7 +592,7 @@ def paired_gains(spark, sf_dir):
 
 @query
 def compare_models(spark, sf_dir):
-    return I.study(spark, sf_dir).evaluation.summary
+    return C.compare_models(I.study(spark, sf_dir)["losses"], I.DESIGN.candidate)
 
 
 @query
@@ -617,7 +617,7 @@ def win_rates(spark, sf_dir):
 
 @query
 def results_table(spark, sf_dir):
-    return I.study(spark, sf_dir).evaluation.results_table()
+    return C.results_table(I.study(spark, sf_dir)["losses"], I.DESIGN.candidate)
 
 
 @query
@@ -658,25 +658,25 @@ def worst_days(spark, sf_dir):
 
 @query
 def recent_paths(spark, sf_dir):
-    return G.recent_paths(_with_year(I.study(spark, sf_dir).evaluation.forecasts), ["HAR", "naive"])
+    return G.recent_paths(_with_year(I.study(spark, sf_dir)["forecasts"]), ["HAR", "naive"])
 
 
 @query
 def reverse_tests(spark, sf_dir):
-    return G.reverse_tests(I.shar_study(spark, sf_dir).evaluation.losses, "HAR", "SHAR")
+    return G.reverse_tests(I.shar_study(spark, sf_dir)["losses"], "HAR", "SHAR")
 
 
 @query
 def head_to_head(spark, sf_dir):
-    return G.head_to_head(I.shar_study(spark, sf_dir).evaluation.losses, "HAR", "SHAR")
+    return G.head_to_head(I.shar_study(spark, sf_dir)["losses"], "HAR", "SHAR")
 
 
 @query
 def slope_verdict(spark, sf_dir):
     data = I.wide_forecast_data(spark, sf_dir)
     rising, falling = I.RISES.columns[0], I.FALLS.columns[0]
-    slopes = G.quarterly_slopes(data, I.SHAR, [rising, falling], start=CUT, end=I.DESIGN.forecast_end)
-    reverse = G.reverse_tests(I.DESIGN.run(data, [I.HAR, I.SHAR]).evaluation.losses, "HAR", "SHAR")
+    slopes = G.quarterly_slopes(data, I.SHAR, [rising, falling], start=CUT, end=I.DESIGN.last)
+    reverse = G.reverse_tests(run_study(data, [I.HAR, I.SHAR], I.DESIGN)["losses"], "HAR", "SHAR")
     return G.slope_verdict(slopes, reverse, rising, falling)
 
 

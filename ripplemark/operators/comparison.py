@@ -279,16 +279,34 @@ def scoreboard(
     )
 
 
-def compare_models(losses: DataFrame, candidate: str, *, hac_lags: int | None = None) -> DataFrame:
+def enforce_comparable(losses: DataFrame, candidate: str) -> None:
+    """The candidate and at least one other model must have losses, in every series."""
+    sides = losses.groupBy("series").agg(
+        F.count_if(F.col("model") == candidate).alias("own"), F.count_if(F.col("model") != candidate).alias("others")
+    )
+    row = sides.where("own = 0 OR others = 0").orderBy("series").first()
+    if row is not None or sides.isEmpty():
+        where = "" if row is None else f" in series {row['series']!r}"
+        what = f"model to compare with {candidate!r}" if row is not None and row["own"] else f"candidate {candidate!r}"
+        raise DataError(f"no {what}{where}")
+
+
+def compare_models(
+    losses: DataFrame, candidate: str, *, hac_lags: int | None = None, check: bool = False
+) -> DataFrame:
     """Mean loss of every model, and the test of the candidate against it."""
+    if check:
+        enforce_comparable(losses, candidate)
     board = scoreboard(losses, candidate, hac_lags=hac_lags)
     return board.select("series", "model", "n_obs", "mean_loss", "dm_statistic", "p_value")
 
 
 def win_rates(
-    losses: DataFrame, candidate: str, *, tie_rtol: float = TIE_RTOL, tie_atol: float = TIE_ATOL
+    losses: DataFrame, candidate: str, *, tie_rtol: float = TIE_RTOL, tie_atol: float = TIE_ATOL, check: bool = False
 ) -> DataFrame:
     """On how many dates the candidate's loss is strictly lower, per baseline; ties apart."""
+    if check:
+        enforce_comparable(losses, candidate)
     for name, value in (("tie_rtol", tie_rtol), ("tie_atol", tie_atol)):
         finite_number(value, name, minimum=0.0)
     tie = _is_tie(tie_rtol, tie_atol)

@@ -14,7 +14,7 @@ from ripplemark.operators.features import TrailingMeanFeatures
 from ripplemark.operators.forecasts import walk_forward_models
 from ripplemark.operators.models import ModelSpec, regression
 from ripplemark.operators.smearing import smeared_forecasts
-from ripplemark.plans.study import RIDGE_GRID, StudyDesign, ridge_model
+from ripplemark.plans.study import RIDGE_GRID, Plan, log_forecasts, ridge_model
 
 _NAME = "ridge@"
 
@@ -43,27 +43,27 @@ def _scores(losses: DataFrame, column: str) -> DataFrame:
 
 
 def calibration(
-    data: DataFrame, features: TrailingMeanFeatures, design: StudyDesign,
+    data: DataFrame, features: TrailingMeanFeatures, design: Plan,
     penalties: Sequence[float] = RIDGE_GRID,
 ) -> DataFrame:
     """Mean loss of each penalty on the targets before the evaluation starts."""
-    log_forecasts = penalty_forecasts(
-        data, features, penalties, min_train_size=design.min_train_size,
-        start=design.forecast_start, end=design.evaluation_start - timedelta(days=1),
+    tried = penalty_forecasts(
+        data, features, penalties, min_train_size=design.least_known,
+        start=design.first, end=design.scored_from - timedelta(days=1),
     )
-    return _scores(forecast_losses(smeared_forecasts(log_forecasts), design.loss), "calibration_loss")
+    return _scores(forecast_losses(smeared_forecasts(tried), design.loss), "calibration_loss")
 
 
 def hindsight(
-    data: DataFrame, features: TrailingMeanFeatures, design: StudyDesign,
+    data: DataFrame, features: TrailingMeanFeatures, design: Plan,
     penalties: Sequence[float] = RIDGE_GRID,
 ) -> DataFrame:
     """Mean loss of each penalty on the evaluation period: describes, chooses nothing."""
-    log_forecasts = penalty_forecasts(
-        data, features, penalties, min_train_size=design.min_train_size,
-        start=design.forecast_start, end=design.forecast_end,
+    tried = penalty_forecasts(
+        data, features, penalties, min_train_size=design.least_known,
+        start=design.first, end=design.last,
     )
-    scored = smeared_forecasts(log_forecasts).where(F.col("target_date") >= F.lit(design.evaluation_start))
+    scored = smeared_forecasts(tried).where(F.col("target_date") >= F.lit(design.scored_from))
     return _scores(forecast_losses(scored, design.loss), "evaluation_loss")
 
 
@@ -81,11 +81,11 @@ def best_penalty(scores: DataFrame, column: str = "calibration_loss") -> DataFra
 
 
 def uses_no_evaluation_data(
-    data: DataFrame, features: TrailingMeanFeatures, design: StudyDesign,
+    data: DataFrame, features: TrailingMeanFeatures, design: Plan,
     penalties: Sequence[float] = RIDGE_GRID,
 ) -> DataFrame:
     """Penalties whose score changes when the evaluation data is removed: none, if all is well."""
-    known = data.where(F.col("target_date") < F.lit(design.evaluation_start))
+    known = data.where(F.col("target_date") < F.lit(design.scored_from))
     both = calibration(data, features, design, penalties).join(
         calibration(known, features, design, penalties).withColumnRenamed("calibration_loss", "known_loss"),
         ["series", "penalty"], "full_outer",
@@ -95,7 +95,7 @@ def uses_no_evaluation_data(
 
 
 def tuned_losses(
-    data: DataFrame, features: TrailingMeanFeatures, design: StudyDesign,
+    data: DataFrame, features: TrailingMeanFeatures, design: Plan,
     penalties: Sequence[float] = RIDGE_GRID, *, name: str = "HAR-ridge",
 ) -> DataFrame:
     """Evaluation losses of the candidate and of the ridge model at each series' own penalty.
@@ -106,8 +106,8 @@ def tuned_losses(
     """
     grid = _penalty_models(features, penalties)
     candidate = regression(design.candidate, features.columns)
-    losses = forecast_losses(smeared_forecasts(design.forecast(data, [candidate, *grid])), design.loss)
-    early = F.when(F.col("target_date") < F.lit(design.evaluation_start), F.col("loss"))
+    losses = forecast_losses(smeared_forecasts(log_forecasts(data, [candidate, *grid], design)), design.loss)
+    early = F.when(F.col("target_date") < F.lit(design.scored_from), F.col("loss"))
     tried = F.when(F.col("model") != design.candidate, F.substring_index("model", "@", -1).cast("double"))
     scored = losses.withColumns(
         {"_tried": tried, "_score": F.avg(early).over(Window.partitionBy("series", "model"))}
@@ -115,7 +115,7 @@ def tuned_losses(
     best = F.min(F.when(F.col("_tried").isNotNull(), F.struct("_score", "_tried")))
     chosen = scored.withColumn("_best", best.over(Window.partitionBy("series"))).where(
         (F.col("_tried").isNull() | (F.col("_tried") == F.col("_best._tried")))
-        & (F.col("target_date") >= F.lit(design.evaluation_start))
+        & (F.col("target_date") >= F.lit(design.scored_from))
     )
     penalty = F.col("_best._tried")
     return chosen.select(

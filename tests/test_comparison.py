@@ -168,3 +168,15 @@ def test_pairing_needs_no_join(spark):
 def test_loss_matrix(spark):
     rows = C.loss_matrix(losses(spark, {"a": [1, 2], "b": [3, 4]}), ["b", "a"]).orderBy("target_date").collect()
     assert [tuple(r)[2:] for r in rows] == [(3.0, 1.0), (4.0, 2.0)]
+
+
+def test_an_unknown_candidate_and_a_lone_one_are_refused(spark):
+    losses = spark.createDataFrame([("S", "a", date(2024, 1, 1), 1.0), ("S", "b", date(2024, 1, 1), 2.0)],
+                                   "series string, model string, target_date date, loss double")
+    for run in (C.compare_models, C.win_rates):
+        with pytest.raises(DataError, match="no candidate 'NOPE'"):
+            run(losses, "NOPE", check=True)
+        with pytest.raises(DataError, match="no model to compare"):
+            run(losses.where("model = 'a'"), "a", check=True)
+        with pytest.raises(DataError, match="no candidate"):
+            run(losses.limit(0), "a", check=True)

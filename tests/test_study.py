@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import daily_values, newey_west_test, ols, prepared_frame, series_frame, slow_walk, smoothing
+from ripplemark.checks import DataError
 from ripplemark.functions.losses import qlike, squared_error
-from ripplemark.operators.comparison import forecast_losses, results_table
+from ripplemark.operators.comparison import forecast_losses, loss_matrix, results_table
 from ripplemark.operators.features import build_forecast_data
 from ripplemark.operators.models import regression
 from ripplemark.plans import calibration as K
@@ -16,21 +17,23 @@ from ripplemark.plans import descriptive as D
 from ripplemark.plans import diagnostics as G
 from ripplemark.plans.study import (
     DESIGN,
-    StudyDesign,
     benchmark_models,
-    evaluate,
     har_features,
     har_model,
+    log_forecasts,
     ridge_model,
+    run_study,
+    score,
     shar_features,
     shar_model,
+    study_plan,
 )
 
 FEATURES = har_features()
 RISES, FALLS = shar_features(FEATURES)
 MODELS = [har_model(FEATURES), *benchmark_models(FEATURES)]
 NAMES = [m.name for m in MODELS]
-PLAN = StudyDesign(date(2018, 8, 1), date(2018, 12, 3), date(2019, 12, 31), 100, "HAR")
+PLAN = study_plan(date(2018, 8, 1), date(2018, 12, 3), date(2019, 12, 31), least_known=100, candidate="HAR")
 RULES = {
     "HAR": (FEATURES.columns, ols()), "historical_mean": ((), ols()), "naive": ((), smoothing(0.0)),
     "EWMA": ((), smoothing(0.94)), "AR1": (FEATURES.columns[:1], ols()),
@@ -50,12 +53,12 @@ def data(spark, values):
 
 @pytest.fixture(scope="module")
 def run(data):
-    return PLAN.run(data, MODELS)
+    return run_study(data, MODELS, PLAN)
 
 
 @pytest.fixture(scope="module")
 def losses(run):
-    return run.evaluation.losses.persist()
+    return run["losses"].persist()
 
 
 @pytest.fixture(scope="module")
@@ -64,13 +67,13 @@ def slow_losses(values):
     table = prepared_frame(values)
     out = {}
     for name, (regressors, fit) in RULES.items():
-        rows = [r for r in slow_walk(table, regressors, fit, 100) if PLAN.forecast_start <= r[0] <= PLAN.forecast_end]
+        rows = [r for r in slow_walk(table, regressors, fit, 100) if PLAN.first <= r[0] <= PLAN.last]
         actual = table.set_index("target_date").target
         origin = table.set_index("target_date").origin_date
         errors = [(d, math.exp(actual[d] - p)) for d, p, _ in rows]
         for d, p, _ in rows:
             known = [e for day, e in errors if day <= origin[d]]
-            if len(known) >= 20 and d >= PLAN.evaluation_start:
+            if len(known) >= 20 and d >= PLAN.scored_from:
                 ratio = math.exp(actual[d]) / (math.exp(p) * np.mean(known))
                 out[name, d] = ratio - math.log(ratio) - 1
     return pd.Series(out).unstack(0).sort_index()
@@ -84,7 +87,7 @@ def test_losses_equal_the_definition(losses, slow_losses):
 
 
 def test_results_equal_the_definition(run, slow_losses):
-    rows = {r.model: r for r in run.evaluation.results_table().where("series = 'S'").collect()}
+    rows = {r.model: r for r in results_table(run["losses"], "HAR").where("series = 'S'").collect()}
     for name in NAMES:
         assert rows[name].mean_loss == pytest.approx(slow_losses[name].mean(), rel=1e-9)
         if name == "HAR":
@@ -97,42 +100,45 @@ def test_results_equal_the_definition(run, slow_losses):
 
 
 def test_evaluation_start_only_selects(data, run, losses):
-    later = StudyDesign(PLAN.forecast_start, date(2019, 3, 1), PLAN.forecast_end, 100, "HAR").evaluate(run.forecasts)
+    later = score(run["log"], PLAN._replace(scored_from=date(2019, 3, 1)))
     expected = losses.where("target_date >= date'2019-03-01'")
-    a = {(r.series, r.model, r.target_date): r.loss for r in later.losses.collect()}
+    a = {(r.series, r.model, r.target_date): r.loss for r in later["losses"].collect()}
     b = {(r.series, r.model, r.target_date): r.loss for r in expected.collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-12) for k in a)
 
 
 def test_adding_a_series_changes_no_other(data, run):
-    alone = PLAN.run(data.where("series = 'S'"), MODELS).evaluation.results_table().collect()
-    together = run.evaluation.results_table().where("series = 'S'").collect()
+    alone = run_study(data.where("series = 'S'"), MODELS, PLAN)
+    alone = results_table(alone["losses"], "HAR").collect()
+    together = results_table(run["losses"], "HAR").where("series = 'S'").collect()
     for a, b in zip(alone, together):
         assert a.model == b.model and a.mean_loss == pytest.approx(b.mean_loss, rel=1e-12)
 
 
 def test_checks_pass_on_sound_data(data):
-    result = PLAN.run(data.where("series = 'S'"), MODELS[:2], check=True)
-    assert result.losses().columns == ["series", "target_date", "HAR", "historical_mean"]
+    result = run_study(data.where("series = 'S'"), MODELS[:2], PLAN, check=True)
+    wide = loss_matrix(result["losses"], NAMES[:2])
+    assert wide.columns == ["series", "target_date", "HAR", "historical_mean"]
 
 
 def test_bad_designs(data, run):
     with pytest.raises(ValueError, match="dates"):
-        StudyDesign(date(2020, 1, 1), date(2019, 1, 1), date(2021, 1, 1), 10, "HAR")
+        study_plan(date(2020, 1, 1), date(2019, 1, 1), date(2021, 1, 1), least_known=10, candidate="HAR")
     for size in (0, True):
         with pytest.raises(ValueError):
-            StudyDesign(date(2018, 1, 1), date(2019, 1, 1), date(2021, 1, 1), size, "HAR")
+            study_plan(date(2018, 1, 1), date(2019, 1, 1), date(2021, 1, 1), least_known=size, candidate="HAR")
     with pytest.raises(ValueError, match="candidate"):
-        PLAN.run(data, MODELS[1:])
-    with pytest.raises(ValueError, match="no forecasts"):
-        evaluate(run.forecasts, candidate="X", loss=qlike, evaluation_start=date(2019, 1, 1), check=True)
-    with pytest.raises(ValueError, match="evaluation_start"):
-        evaluate(run.forecasts, candidate="HAR", loss=qlike, evaluation_start=date(2030, 1, 1), check=True)
-    assert evaluate(run.forecasts, candidate="HAR", loss=squared_error, evaluation_start=date(2019, 1, 1)).loss_name == "squared_error"
+        run_study(data, MODELS[1:], PLAN)
+    with pytest.raises(ValueError, match="forecasts nothing"):
+        score(run["log"], PLAN._replace(candidate="X"), check=True)
+    with pytest.raises(DataError, match="2030-01-01"):
+        score(run["log"], PLAN._replace(scored_from=date(2030, 1, 1)), check=True)
+    other = score(run["log"], PLAN._replace(loss=squared_error))["losses"]
+    assert other.agg(F.avg("loss")).first()[0] != run["losses"].agg(F.avg("loss")).first()[0]
 
 
 def test_published_design():
-    assert (DESIGN.min_train_size, DESIGN.candidate, DESIGN.loss_name) == (252, "HAR", "QLIKE")
+    assert (DESIGN.least_known, DESIGN.candidate, DESIGN.loss) == (252, "HAR", qlike)
     assert shar_model(FEATURES, RISES, FALLS).regressors == (
         "log_rs_pos_mean_1", "log_rs_neg_mean_1", "log_rv_mean_5", "log_rv_mean_22"
     )
@@ -212,7 +218,7 @@ def test_slopes_by_quarter(data, values):
         x = np.column_stack([np.ones(len(known)), known[list(model.regressors)]])
         b = np.linalg.lstsq(x, known.target, rcond=None)[0]
         assert (r[terms[0]], r[terms[1]]) == (pytest.approx(b[1], rel=1e-9), pytest.approx(b[2], rel=1e-9))
-    tests = G.reverse_tests(PLAN.run(data, [MODELS[0], model]).evaluation.losses, "HAR", "SHAR")
+    tests = G.reverse_tests(run_study(data, [MODELS[0], model], PLAN)["losses"], "HAR", "SHAR")
     verdict = only(G.slope_verdict(slopes, tests, *terms))[0]
     assert verdict.slope_order in ("rising above falling", "falling above rising", "changes")
     assert verdict.significant_at in ("every lag", "some lags", "no lag")
@@ -226,14 +232,14 @@ def test_coefficients_side_by_side(data):
 
 
 def test_smearing_factors(run):
-    rows = only(G.smearing_factors(run.evaluation.forecasts))
+    rows = only(G.smearing_factors(run["forecasts"]))
     assert sum(r.largest_mean for r in rows) == 1
     for r in rows:
         assert r.min_factor <= r.mean_factor <= r.max_factor and r.bias_without == pytest.approx(1 - 1 / r.mean_factor)
 
 
 def test_recent_paths(run):
-    frame = run.evaluation.forecasts.withColumn("sessions_per_year", F.lit(250.0))
+    frame = run["forecasts"].withColumn("sessions_per_year", F.lit(250.0))
     rows = sorted(only(G.recent_paths(frame, ["HAR", "naive"], months=2)), key=lambda r: r.target_date)
     last = rows[-1].target_date
     assert rows[0].target_date >= (pd.Timestamp(last) - pd.DateOffset(months=2)).date()
@@ -249,10 +255,9 @@ def test_recent_paths(run):
 def test_penalties_in_one_pass_equal_single_runs(data):
     scores = {r.penalty: r.calibration_loss for r in only(K.calibration(data, FEATURES, PLAN, (0.5, 20.0)))}
     for penalty, score in scores.items():
-        alone = StudyDesign(PLAN.forecast_start, PLAN.forecast_start, date(2018, 12, 2), 100, "HAR-ridge").run(
-            data.where("series = 'S'"), [ridge_model(FEATURES, penalty)]
-        )
-        assert score == pytest.approx(alone.evaluation.losses.agg(F.avg("loss")).first()[0], rel=1e-10)
+        early = study_plan(PLAN.first, PLAN.first, date(2018, 12, 2), least_known=100, candidate="HAR-ridge")
+        alone = run_study(data.where("series = 'S'"), [ridge_model(FEATURES, penalty)], early)
+        assert score == pytest.approx(alone["losses"].agg(F.avg("loss")).first()[0], rel=1e-10)
 
 
 def test_the_choice_uses_no_evaluation_data(data):
@@ -263,23 +268,23 @@ def test_the_choice_uses_no_evaluation_data(data):
     verdict = {r.series: r for r in K.ridge_verdict(tuned, "HAR").collect()}
     for series, row in choice.items():
         one = data.where(F.col("series") == series)
-        direct = PLAN.run(one, [MODELS[0], ridge_model(FEATURES, row.penalty)]).evaluation
+        direct = run_study(one, [MODELS[0], ridge_model(FEATURES, row.penalty)], PLAN)
         mine = tuned.where(F.col("series") == series)
-        gap = mine.join(direct.losses.withColumnRenamed("loss", "l"), ["series", "model", "target_date"]).agg(
+        gap = mine.join(direct["losses"].withColumnRenamed("loss", "l"), ["series", "model", "target_date"]).agg(
             F.count("*").alias("n"), F.max(F.abs(F.col("loss") - F.col("l"))).alias("gap")
         ).first()
-        assert gap.n == direct.losses.count() == mine.count() > 0 and gap.gap < 1e-10
+        assert gap.n == direct["losses"].count() == mine.count() > 0 and gap.gap < 1e-10
         assert row.at_grid_edge == verdict[series].at_grid_edge == (row.penalty in (0.1, 100.0))
         assert verdict[series].penalty == row.penalty
-        board = {r.model: r for r in direct.results_table().collect()}["HAR-ridge"]
+        board = {r.model: r for r in results_table(direct["losses"], "HAR").collect()}["HAR-ridge"]
         assert verdict[series].outcome == ("loses to" if board.lower_by > 0 else "beats")
         assert verdict[series].p_value == pytest.approx(board.p_value, rel=1e-6)
 
 
 def test_hindsight_scores_the_evaluation_period(data):
     scores = {r.penalty: r.evaluation_loss for r in only(K.hindsight(data, FEATURES, PLAN))}
-    direct = PLAN.forecast(data.where("series = 'S'"), [ridge_model(FEATURES, 10.0, "HAR")])
-    assert scores[10.0] == pytest.approx(PLAN.evaluate(direct).losses.agg(F.avg("loss")).first()[0], rel=1e-10)
+    direct = log_forecasts(data.where("series = 'S'"), [ridge_model(FEATURES, 10.0, "HAR")], PLAN)
+    assert scores[10.0] == pytest.approx(score(direct, PLAN)["losses"].agg(F.avg("loss")).first()[0], rel=1e-10)
     for bad in ((), (1.0, 1.0), (-1.0,)):
         with pytest.raises(ValueError):
             K.hindsight(data, FEATURES, PLAN, bad)
@@ -292,10 +297,8 @@ def test_the_engine_knows_no_finance(spark):
     price = rng.uniform(1, 2, 120)
     frame = pd.DataFrame({"series": "shop", "origin_date": days[:-1].date, "target_date": days[1:].date,
                           "price": price[:-1], "trend": np.arange(119.0), "target": 50 - 5 * price[:-1] + 0.1 * np.arange(119)})
-    plan = StudyDesign(date(2020, 9, 1), date(2021, 3, 1), date(2022, 6, 1), 20, "both", squared_error, "squares")
-    log = plan.forecast(spark.createDataFrame(frame), [
-        regression("both", ("price", "trend")), regression("mean"),
-    ])
+    plan = study_plan(date(2020, 9, 1), date(2021, 3, 1), date(2022, 6, 1), least_known=20, candidate="both", loss=squared_error)
+    log = log_forecasts(spark.createDataFrame(frame), [regression("both", ("price", "trend")), regression("mean")], plan)
     board = {r.model: r for r in results_table(forecast_losses(log, squared_error, check=True), "both").collect()}
     assert board["both"].mean_loss < 1e-15 < board["mean"].mean_loss and board["mean"].candidate_win_rate == 1.0
 
