@@ -99,4 +99,66 @@ FROM keyed LEFT JOIN common c ON keyed.key = c.key
 GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_line_dedup": _OP6}
+#: Words of each document, by a class that says "anything but ASCII white space".
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_OP8 = f"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+grams AS (
+  SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)
+),
+again AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
+measured AS (
+  SELECT d.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])
+           - len(list_distinct([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words
+  FROM docs d LEFT JOIN covered c USING (doc_id)
+),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM based WHERE source IS NOT NULL GROUP BY 1),
+total AS (
+  SELECT sum(n) AS n, sum(failed) / sum(n) AS mean, count(*) AS hosts, sum(failed * failed / n) AS squares, sum(n * n) AS nn FROM hosts
+),
+spread AS (
+  SELECT mean, (squares - n * mean * mean - (hosts - 1) * mean * (1 - mean)) / nullif(n - nn / n, 0) AS between_hosts FROM total
+),
+prior AS (
+  SELECT mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 1e6) ELSE 1e6 END AS strength
+  FROM spread
+),
+rates AS (SELECT source, (failed + strength * mean) / (n + strength) > 0.5 AS bad FROM hosts, prior)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND (NOT coalesce(bad, false) OR (100 * n_repeat_words <= 25 * n_words AND 100 * n_symbols <= 10 * n_words)) AS kept
+FROM based LEFT JOIN rates USING (source)
+"""
+_OP9 = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3)
+    UNION ALL SELECT doc_id, array_to_string(w, chr(10)) FROM docs WHERE len(w) BETWEEN 1 AND 2
+  )
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)
+),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM docs
+  UNION SELECT reached.doc_id, both_ways.b FROM reached JOIN both_ways ON both_ways.a = reached.other
+)
+SELECT docs.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(other) AS component_id, docs.doc_id = min(other) AS kept
+FROM docs JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY docs.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op6_line_dedup": _OP6, "op8_quality_rules": _OP8, "op9_near_duplicates": _OP9}
