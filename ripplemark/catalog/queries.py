@@ -310,13 +310,13 @@ def annualized_volatility(spark, sf_dir):
 
 @query
 def trailing_means(spark, sf_dir):
-    return I.FEATURES(I.sales(spark, sf_dir))
+    return X.mean_table(I.sales(spark, sf_dir), I.FEATURES)
 
 
 @query
 def full_timeline_features(spark, sf_dir):
     """No windows: every origin stays."""
-    return X.TrailingMeanFeatures("value", ())(I.sales(spark, sf_dir))
+    return X.mean_table(I.sales(spark, sf_dir), X.trailing_means("value", ()))
 
 
 @query
@@ -327,7 +327,7 @@ def next_targets(spark, sf_dir):
 @query
 def join_features(spark, sf_dir):
     sales = I.sales(spark, sf_dir)
-    return X.join_features([I.FEATURES(sales), I.RISES(sales), I.FALLS(sales)])
+    return X.join_features([X.mean_table(sales, m) for m in (I.FEATURES, I.RISES, I.FALLS)])
 
 
 @query
@@ -349,7 +349,7 @@ def forecast_table_custom(spark, sf_dir):
 def prepared_with_missing_features(spark, sf_dir):
     """Origins without features drop out; labels stay with their own origin."""
     sales = I.sales(spark, sf_dir)
-    features = I.FEATURES(sales).where(F.dayofweek("origin_date") != 4)
+    features = X.mean_table(sales, I.FEATURES).where(F.dayofweek("origin_date") != 4)
     return X.prepare_forecast_data(features, X.next_observation_targets(sales, value_col="value"))
 
 
@@ -477,7 +477,7 @@ def slope_summary(spark, sf_dir):
 
 @query
 def quarterly_slopes(spark, sf_dir):
-    terms = [I.RISES.columns[0], I.FALLS.columns[0]]
+    terms = [I.RISES.names[1], I.FALLS.names[1]]
     return G.quarterly_slopes(
         I.wide_forecast_data(spark, sf_dir), I.SHAR, terms, start=CUT, end=I.DESIGN.last
     )
@@ -674,7 +674,7 @@ def head_to_head(spark, sf_dir):
 @query
 def slope_verdict(spark, sf_dir):
     data = I.wide_forecast_data(spark, sf_dir)
-    rising, falling = I.RISES.columns[0], I.FALLS.columns[0]
+    rising, falling = I.RISES.names[1], I.FALLS.names[1]
     slopes = G.quarterly_slopes(data, I.SHAR, [rising, falling], start=CUT, end=I.DESIGN.last)
     reverse = G.reverse_tests(run_study(data, [I.HAR, I.SHAR], I.DESIGN)["losses"], "HAR", "SHAR")
     return G.slope_verdict(slopes, reverse, rising, falling)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ripplemark.checks import finite_number
 from ripplemark.operators.comparison import forecast_losses, scoreboard
-from ripplemark.operators.features import TrailingMeanFeatures
+from ripplemark.operators.features import Means
 from ripplemark.operators.forecasts import walk_forward_models
 from ripplemark.operators.models import ModelSpec, regression
 from ripplemark.operators.smearing import smeared_forecasts
@@ -19,7 +19,7 @@ from ripplemark.plans.study import RIDGE_GRID, Plan, log_forecasts, ridge_model
 _NAME = "ridge@"
 
 
-def _penalty_models(features: TrailingMeanFeatures, penalties: Sequence[float]) -> list[ModelSpec]:
+def _penalty_models(features: Means, penalties: Sequence[float]) -> list[ModelSpec]:
     if not penalties or len(set(penalties)) != len(penalties):
         raise ValueError("penalties must be non-empty and unique")
     for penalty in penalties:
@@ -28,7 +28,7 @@ def _penalty_models(features: TrailingMeanFeatures, penalties: Sequence[float])
 
 
 def penalty_forecasts(
-    data: DataFrame, features: TrailingMeanFeatures, penalties: Sequence[float], *,
+    data: DataFrame, features: Means, penalties: Sequence[float], *,
     min_train_size: int, start: date | None, end: date | None,
 ) -> DataFrame:
     """Walk-forward forecasts at every penalty, from one pass of running sums."""
@@ -43,7 +43,7 @@ def _scores(losses: DataFrame, column: str) -> DataFrame:
 
 
 def calibration(
-    data: DataFrame, features: TrailingMeanFeatures, design: Plan,
+    data: DataFrame, features: Means, design: Plan,
     penalties: Sequence[float] = RIDGE_GRID,
 ) -> DataFrame:
     """Mean loss of each penalty on the targets before the evaluation starts."""
@@ -55,7 +55,7 @@ def calibration(
 
 
 def hindsight(
-    data: DataFrame, features: TrailingMeanFeatures, design: Plan,
+    data: DataFrame, features: Means, design: Plan,
     penalties: Sequence[float] = RIDGE_GRID,
 ) -> DataFrame:
     """Mean loss of each penalty on the evaluation period: describes, chooses nothing."""
@@ -81,7 +81,7 @@ def best_penalty(scores: DataFrame, column: str = "calibration_loss") -> DataFra
 
 
 def uses_no_evaluation_data(
-    data: DataFrame, features: TrailingMeanFeatures, design: Plan,
+    data: DataFrame, features: Means, design: Plan,
     penalties: Sequence[float] = RIDGE_GRID,
 ) -> DataFrame:
     """Penalties whose score changes when the evaluation data is removed: none, if all is well."""
@@ -95,7 +95,7 @@ def uses_no_evaluation_data(
 
 
 def tuned_losses(
-    data: DataFrame, features: TrailingMeanFeatures, design: Plan,
+    data: DataFrame, features: Means, design: Plan,
     penalties: Sequence[float] = RIDGE_GRID, *, name: str = "HAR-ridge",
 ) -> DataFrame:
     """Evaluation losses of the candidate and of the ridge model at each series' own penalty.
@@ -105,7 +105,7 @@ def tuned_losses(
     evaluation starts. Adds ``penalty``, ``calibration_loss`` and ``at_grid_edge``.
     """
     grid = _penalty_models(features, penalties)
-    candidate = regression(design.candidate, features.columns)
+    candidate = regression(design.candidate, [*features.names.values()])
     losses = forecast_losses(smeared_forecasts(log_forecasts(data, [candidate, *grid], design)), design.loss)
     early = F.when(F.col("target_date") < F.lit(design.scored_from), F.col("loss"))
     tried = F.when(F.col("model") != design.candidate, F.substring_index("model", "@", -1).cast("double"))

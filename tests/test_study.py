@@ -35,8 +35,8 @@ MODELS = [har_model(FEATURES), *benchmark_models(FEATURES)]
 NAMES = [m.name for m in MODELS]
 PLAN = study_plan(date(2018, 8, 1), date(2018, 12, 3), date(2019, 12, 31), least_known=100, candidate="HAR")
 RULES = {
-    "HAR": (FEATURES.columns, ols()), "historical_mean": ((), ols()), "naive": ((), smoothing(0.0)),
-    "EWMA": ((), smoothing(0.94)), "AR1": (FEATURES.columns[:1], ols()),
+    "HAR": ([*FEATURES.names.values()], ols()), "historical_mean": ((), ols()), "naive": ((), smoothing(0.0)),
+    "EWMA": ((), smoothing(0.94)), "AR1": ([FEATURES.names[1]], ols()),
 }
 
 
@@ -208,7 +208,7 @@ def test_verdicts(losses):
 
 def test_slopes_by_quarter(data, values):
     model = shar_model(FEATURES, RISES, FALLS)
-    terms = [RISES.columns[0], FALLS.columns[0]]
+    terms = [RISES.names[1], FALLS.names[1]]
     slopes = G.quarterly_slopes(data, model, terms, start=date(2019, 1, 1), end=date(2019, 7, 31))
     rows = {r.refit_at: r for r in only(slopes)}
     assert sorted(rows) == [date(2019, 1, 1), date(2019, 4, 1), date(2019, 7, 1)]
