@@ -30,7 +30,7 @@ def comparable(frame):
 
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"tick_files"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -46,7 +46,7 @@ def test_entry_runs(spark, small_dir):
 
 def test_no_plan_gathers_everything_or_multiplies_rows(spark, small_dir):
     """No cross join, and no exchange that sends all rows to one task (bar whole-table counts)."""
-    whole_table = {"tick_files", "ridge_uses_no_evaluation_data"}
+    whole_table = {"ridge_uses_no_evaluation_data"}
     for name in ("daily_rv", "wf_models", "results_table", "dm_lags", "tick_sanity", "autocorrelation", "expected_hours_missing",
                  "variance_by_frequency", "ridge_verdict", "known_totals", "head_to_head"):
         plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
