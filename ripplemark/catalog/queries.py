@@ -392,8 +392,10 @@ def known_totals(spark, sf_dir):
     orders = I.table(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("day"), "o_totalprice", "o_orderkey"
     )
-    statuses = orders.agg(F.array_sort(F.collect_set("status"))).scalar()  # the few states of an order
-    days = I.sales(spark, sf_dir).select("date").distinct().withColumn("status", F.explode(statuses))
+    # every date for every status there is: the few statuses are handed to each of 16 slots of dates
+    slots = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slot")
+    dates = I.sales(spark, sf_dir).select("date").distinct().withColumn("slot", F.pmod(F.hash("date"), F.lit(16)))
+    days = dates.join(orders.select("status").distinct().select("status", slots), "slot").select("date", "status")
     return accumulate_known(
         orders, days, keys=["status"], event_at="day", query_at="date", tie=["o_orderkey"], inclusive=False,
         totals={"price": F.col("o_totalprice")}, latest={"top": F.col("o_orderkey")},
