@@ -421,9 +421,14 @@ sql(
 )
 sql(
     "observation_violations", SALES,
-    f"""SELECT series, {i('count(*) FILTER (NOT isfinite(value))', 'not_finite')},
-       {i('count(*) FILTER (value < 11)', 'low')}, {i('count(*) - count(DISTINCT date)', 'repeated')}
-FROM sales GROUP BY series""",
+    f"""SELECT series, {i('0', 'missing')}, {i('sum(CASE WHEN dom = 7 THEN n ELSE 0 END)', 'not_finite')},
+       {i('sum(CASE WHEN dom <> 7 AND value < 11 THEN n ELSE 0 END)', 'low')}, {i('count(*) FILTER (dom = 20)', 'repeated')}
+FROM (SELECT *, day(date) AS dom, CASE WHEN day(date) = 20 THEN 2 ELSE 1 END AS n FROM sales) GROUP BY series""",
+)
+sql(
+    "unmatched_origins", TIMELINE,
+    f"""SELECT series, {i('count(*)', 'unmatched')}, {d('min(date)', 'first_origin')}
+FROM timeline WHERE pos >= 22 AND day(date) = 11 GROUP BY series""",
 )
 
 # --- forecasts: known outcomes by an inequality join, regressions by elimination --------------------------
@@ -757,6 +762,11 @@ FROM log_forecasts WHERE model = 'EWMA' AND day(target_date) = 5""",
 
 # --- comparison -----------------------------------------------------------------------------------------------
 
+sql(
+    "loss_violations", EVALUATION,
+    f"""SELECT series, model, {i('count(*)', 'losses')}, {i('count(*) FILTER (day(target_date) IN (7, 9, 11))', 'invalid')}
+FROM losses GROUP BY series, model""",
+)
 sql(
     "qlike_losses", EVALUATION,
     f"SELECT model, {d('origin_date')}, {d('target_date')}, series, {floats('actual', 'predicted', digits=2)}, {f('loss')} FROM losses",

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ripplemark.catalog import inputs as I
-from ripplemark.checks import violations
 from ripplemark.functions.losses import absolute_error, qlike, squared_error
 from ripplemark.functions.numeric import annualized_volatility_pct, is_finite, parzen_bandwidth
 from ripplemark.functions.sessions import pair_name, session_close, session_open
@@ -367,12 +366,18 @@ def large_gaps(spark, sf_dir):
 def observation_violations(spark, sf_dir):
     """How many rows of the sales series break the rules of a target series."""
     sales = I.sales(spark, sf_dir)
-    again = F.lag("date").over(Window.partitionBy("series").orderBy("date"))
-    return violations(
-        sales.withColumn("_again", F.coalesce(again == F.col("date"), F.lit(False))),
-        {"not_finite": ~is_finite("value"), "low": F.col("value") < 11, "repeated": F.col("_again")},
-        ["series"],
-    )
+    twice = sales.union(sales.where(F.dayofmonth("date") == 20))
+    broken = twice.withColumn("value", F.when(F.dayofmonth("date") == 7, F.lit(float("nan"))).otherwise(F.col("value")))
+    return X.observation_violations(broken, extra={"low": F.col("value") < 11})
+
+
+@query
+def unmatched_origins(spark, sf_dir):
+    """Feature origins that a target timeline with missing days lacks."""
+    sales = I.sales(spark, sf_dir)
+    features = X.mean_table(sales, I.FEATURES)
+    targets = X.next_observation_targets(sales.where(F.dayofmonth("date") != 11), value_col="value")
+    return X.unmatched_origins(features, targets)
 
 
 # --- forecasts ------------------------------------------------------------------------------------------
@@ -567,6 +572,14 @@ def _losses(spark, sf_dir):
     return I.study(spark, sf_dir)["losses"]
 
 
+@query
+def loss_violations(spark, sf_dir):
+    """Losses of which some are made negative, infinite or missing."""
+    day = F.dayofmonth("target_date")
+    broken = F.when(day == 7, F.lit(-1.0)).when(day == 9, F.lit(float("inf"))).when(day != 11, F.col("loss"))
+    return C.loss_violations(_losses(spark, sf_dir).withColumn("loss", broken))
+
+
 @query(digits={"actual": 2, "predicted": 2})
 def qlike_losses(spark, sf_dir):
     return _losses(spark, sf_dir)

@@ -38,6 +38,17 @@ GRID_MULTIPLES = (2, 4, 6)
 # --- losses -----------------------------------------------------------------------------------
 
 
+def _bad_loss() -> Column:
+    return ~is_finite("loss") | (F.col("loss") < 0)
+
+
+def loss_violations(losses: DataFrame) -> DataFrame:
+    """Per series and model, the losses, and those that are not a finite number of zero or more."""
+    return losses.groupBy("series", "model").agg(
+        F.count(F.lit(1)).alias("losses"), F.count_if(F.coalesce(_bad_loss(), F.lit(True))).alias("invalid")
+    )
+
+
 def forecast_losses(forecasts: DataFrame, loss: Loss, *, check: bool = False) -> DataFrame:
     """One row per forecast with its ``loss``."""
     frame = with_series(forecasts)
@@ -51,7 +62,7 @@ def forecast_losses(forecasts: DataFrame, loss: Loss, *, check: bool = False) ->
         enforce_aligned(frame)
         enforce(
             result,
-            {"loss is not a finite non-negative number": ~is_finite("loss") | (F.col("loss") < 0)},
+            {"loss is not a finite non-negative number": _bad_loss()},
             "losses",
         )
     return result
