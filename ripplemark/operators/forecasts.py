@@ -417,13 +417,13 @@ def walk_forward(data: DataFrame, model: ModelSpec, **options) -> DataFrame:
 
 
 def fit_known(
-    data: DataFrame, models: Sequence[ModelSpec], *, before: Sequence[date | datetime]
+    data: DataFrame, models: Sequence[ModelSpec], *, before: Sequence[date | datetime], check: bool = False
 ) -> DataFrame:
     """Coefficients of linear models fitted on the targets observed before each date.
 
     One row per series, model, date and term: ``series, model, before, term, coefficient,
     n_train``; the term of the intercept is ``intercept``. A series with no outcome before a
-    date has no rows for it.
+    date has no rows for it, and is an error with ``check``.
     """
     if not models or not before:
         raise ValueError("at least one model and one date are required")
@@ -463,6 +463,11 @@ def fit_known(
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
         F.col("target").cast("double").alias("y"),
     )
+    if check:
+        late = rows.groupBy(SERIES).agg(F.min("_target").alias("_first")).where(F.col("_first") >= cuts[0])
+        row = late.orderBy(SERIES).first()
+        if row is not None or rows.isEmpty():
+            raise DataError(f"no outcome before {min(before)}" + (f" in series {row[SERIES]!r}" if row else ""))
     # each row counts for the first date after it; dates add up what lies before them
     first = F.get(F.filter(F.array(*[F.lit(cut).cast("bigint") for cut in cuts]), lambda cut: cut > F.col("_target")), F.lit(0))
     moments = rows.withColumn("_cut", first).where("_cut is not null").groupBy(SERIES, "_cut").agg(

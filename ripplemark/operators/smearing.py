@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.checks import (
+    DataError,
     enforce,
     enforce_not_empty,
     enforce_unique,
@@ -74,9 +75,12 @@ def smeared_forecasts(
     known = line.withColumns(
         {"_errors": F.count(error).over(window), "smearing_factor": F.avg(error).over(window)}
     )
-    return known.where((F.col("_kind") == QUERY_AFTER) & (F.col("_errors") >= min_errors)).select(
+    result = known.where((F.col("_kind") == QUERY_AFTER) & (F.col("_errors") >= min_errors)).select(
         *[c for c in frame.columns if c not in ("actual", "predicted")],
         F.exp("actual").alias("actual"),
         (F.exp("predicted") * F.col("smearing_factor")).alias("predicted"),
         "smearing_factor",
     ).select(*frame.columns, "smearing_factor")
+    if check and result.isEmpty():
+        raise DataError(f"no forecast has {min_errors} errors known at its origin")
+    return result

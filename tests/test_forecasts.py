@@ -319,3 +319,12 @@ def test_blocks_change_no_total(spark, inclusive):
             assert r.n_known == len(known)
             assert r.s == pytest.approx(sum(v for _, _, v in known), abs=1e-9)
             assert r["last"] == (known[-1][2] if known else None)
+
+
+def test_nothing_to_fit_or_to_smear_is_refused(spark, table):
+    data = frame(spark, table)
+    with pytest.raises(DataError, match="no outcome before 1990-01-01 in series"):
+        fit_known(data, [MODELS["har"][0]], before=[date(1990, 1, 1), date(2090, 1, 1)], check=True)
+    assert fit_known(data, [MODELS["har"][0]], before=[date(2090, 1, 1)], check=True).count() == 4
+    with pytest.raises(DataError, match="no forecast has 50 errors"):
+        smeared_forecasts(forecasts(spark, [0.3] * 10), min_errors=50, check=True)
