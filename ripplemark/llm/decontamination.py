@@ -37,7 +37,7 @@ BLOCK = 1_000_000
 # Units, and numbers in words.
 UNITS = """mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons oz lb lbs pound pounds
 ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week
-weeks month months year years hz khz mhz ghz w kw mw v kv a ma j kj cal kcal n pa kpa bar k °c °f °c. degrees degree
+weeks month months year years hz khz mhz ghz w kw mw v kv a ma j kj cal kcal n pa kpa bar k °c °f degrees degree
 percent % $ € £ dollar dollars cent cents euro euros b kb mb gb tb bit bits byte bytes m² m³ km² km/h mph m/s""".split()
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen
 seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million""".split()

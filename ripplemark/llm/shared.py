@@ -51,10 +51,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_native_int(df: DataFrame, column: str) -> bool:
-    return dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint")
-
-
 def crc_mod(key: Column, by: int) -> Column:
     """crc32 of the key as text, modulo ``by``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % by
