@@ -40,8 +40,9 @@ def drop_common_lines(docs: DataFrame, *, least_docs: int = 10, least_chars: int
     slim = base.select("doc_id", "__row", F.posexplode(F.transform(F.split(text, "\n", -1), line_key)).alias("at", "key"))
     slim = cut(slim.where(F.char_length("key") >= least_chars)
                .select("doc_id", "__row", "at", _hash(F.col("key")).alias("h")))
-    common = (slim.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("n"))
-              .where(F.col("n") >= least_docs).select("h"))
+    # stored, so that both sides of the join are dealt for it and Spark may split a hot line's rows
+    common = cut(slim.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("n"))
+                 .where(F.col("n") >= least_docs).select("h"))
     gone = (slim.join(common, "h", "left_semi").groupBy(F.col("doc_id").alias("__doc"), F.col("__row").alias("__same"))
             .agg(F.array_sort(F.collect_set("at")).alias("__gone")))
     lines = F.split(text, "\n", -1)
