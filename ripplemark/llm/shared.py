@@ -199,8 +199,9 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         near = (both.join(labels.select(F.col("node").alias("b"), "component"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near")))
-        drawn = labels.join(near, "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("now"))
+        # stored, so that both sides of the next join are dealt for it and Spark may split a large component's nodes
+        drawn = cut(labels.join(near, "node").select(
+            "node", F.col("component").alias("was"), F.least("component", "near").alias("now")))
         jumped = drawn.join(
             drawn.select(F.col("node").alias("now"), F.col("now").alias("next")), "now", "left"
         ).select("node", "was", F.least("now", F.coalesce("next", "now")).alias("component"))
