@@ -1,14 +1,13 @@
 """Near-duplicate documents by a forest of sorted MinHash orders.
 
 A document is its set of distinct word shingles. Equal sets are one node. Every node has one label per tree, a
-row of MinHash values; a tree is the nodes in the order of their labels. Nodes whose labels share a prefix form a
-region and are candidates for one another. The depth of the prefix adapts to the region: the base depth where a
-region fits in a task, the whole label where it doesn't, and overlapping runs of the sorted order beyond that.
+row of MinHash values; a tree is the nodes in the order of their labels. Nodes whose labels share the base prefix
+form a region and are candidates for one another, however many they are.
 
 Inside a region, signatures are compared and only a spanning forest of likely links leaves the task, never its
 pairs. Trees together give loose clusters. The full sets of each cluster's nodes then meet once, every pair is
-measured exactly, and again only a spanning forest leaves the task. A cluster too large for one task is cut into
-blocks, and every pair of blocks gets a task, so no pair is lost.
+measured exactly, and again only a spanning forest leaves the task. A region or cluster too large for one task is
+cut into blocks, and every pair of blocks gets a task, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from ripplemark.llm.shared import Forest, components, cut, map_batches, sorted_g
 from ripplemark.llm.token_ids import slices
 
 TREES, DEPTH, BASE = 12, 8, 4
-#: Nodes of a region compared in one task, and rows that neighbouring blocks of a larger one share.
+#: Nodes of one block of a region. Blocks don't overlap, as pairs of them meet; OVERLAP is kept for those who set it.
 REGION, OVERLAP = 4096, 256
 #: Shingles and nodes of one block of a cluster.
 BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 4096
@@ -99,25 +98,28 @@ def _rotated(x: np.ndarray) -> np.ndarray:
 
 
 def _loose(batches: Iterator[pa.RecordBatch], least_equal: int) -> Iterator[pa.RecordBatch]:
-    """Likely links inside each region, as a spanning forest (a: root, b: node)."""
+    """Likely links inside each block of a region, or across two, as a spanning forest (a: root, b: node)."""
     out: list[tuple[int, int]] = []
-    for region in sorted_groups(batches, ["tree", "region"], REGION, OVERLAP):
+    for region in sorted_groups(batches, ["tree", "prefix", "i", "j"]):
         n = region.num_rows
         if n < 2:
             continue
         ids = region.column("set_id").to_numpy()
         low = np.frombuffer(b"".join(region.column("low").to_pylist()), dtype=np.uint8).reshape(n, -1)
-        forest = Forest(n)
-        for i in range(n - 1):
-            # once everything is one tree there is nothing left to find
-            near = np.flatnonzero((low[i + 1 :] == low[i]).sum(axis=1) >= least_equal) if n > 2 else (
-                [0] if int((low[1] == low[0]).sum()) >= least_equal else [])
-            for j in near:
-                forest.join(i, i + 1 + int(j))
-        for i in range(n):
-            r = forest.root(i)
-            if r != i:
-                out.append((int(ids[r]), int(ids[i])))
+        across = int((region.column("own").to_numpy() == region.column("i")[0].as_py()).sum())
+        inner = across == n  # one block; otherwise its nodes have met in a task of their own
+        root = np.arange(n)
+        for i in range(n - 1 if inner else across):
+            # nodes of one tree needn't be compared again, and once everything is one tree nothing is left to find
+            first = i + 1 if inner else across
+            rest = first + np.flatnonzero(root[first:] != root[i])
+            if not len(rest):
+                continue
+            near = rest[(low[rest] == low[i]).sum(axis=1) >= least_equal]
+            if len(near):
+                joined = np.unique(np.append(root[near], root[i]))
+                root[np.isin(root, joined)] = joined[0]
+        out += [(int(ids[r]), int(ids[i])) for i, r in enumerate(root.tolist()) if r != i]
         if len(out) > 20_000:
             yield _edges(out)
             out = []
@@ -216,20 +218,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     share = percent / 100
     least_equal = int(TREES * DEPTH * (share - 4 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5))
-    label = F.expr(f"substring(orders, tree * {2 * DEPTH} + 1, {2 * DEPTH})")
+    prefix = F.expr(f"substring(orders, tree * {2 * DEPTH} + 1, {2 * BASE})")
     rows = (nodes.withColumn("low", F.unhex(F.regexp_replace(F.hex("orders"), "..(..)", "$1")))
             .select("set_id", "orders", "low", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-            .select("set_id", "low", "tree", label.alias("label"))
-            .withColumn("prefix", F.expr(f"substring(label, 1, {2 * BASE})")))
+            .select("set_id", "low", "tree", prefix.alias("prefix")))
     slim = nodes.select("orders", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "tree", F.expr(f"substring(orders, tree * {2 * DEPTH} + 1, {2 * BASE})").alias("prefix"))
+        "tree", prefix.alias("prefix"))
     crowded = (slim.groupBy("tree", "prefix").count().where(F.col("count") > REGION)
-               .select("tree", "prefix", F.lit(True).alias("crowded")))
-    regions = (rows.join(crowded, ["tree", "prefix"], "left")
-               .withColumn("region", F.when(F.col("crowded"), F.col("label")).otherwise(F.col("prefix")))
-               .select("tree", "region", "label", "set_id", "low"))
+               .select("tree", "prefix", F.ceil(F.col("count") / REGION).cast("int").alias("blocks")))
+    regions = (rows.join(crowded, ["tree", "prefix"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+               .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+               .select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                       "own", "set_id", "low"))
     count = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    loose = (regions.repartition(int(count), "tree", "region").sortWithinPartitions("tree", "region", "label", "set_id")
+    loose = (regions.repartition(int(count), "tree", "prefix", "i", "j")
+             .sortWithinPartitions("tree", "prefix", "i", "j", "own", "set_id")
              .mapInArrow(partial(_loose, least_equal=least_equal), "a long, b long"))
     clusters = components(loose).withColumnsRenamed({"node": "set_id", "component": "cluster"})
 

@@ -86,6 +86,23 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_links_near_the_threshold_in_a_crowded_region(spark, monkeypatch):
+    rng = random.Random(12)
+    hub = prose(rng, 200, 10**9)
+    rows = [(0, " ".join(hub))]
+    for k in range(1, 301):  # each is 0.80 to 0.83 like the hub, and less like the others
+        copy = list(hub)
+        for at in rng.sample(range(3, 197, 6), 6):
+            copy[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(near_dedup, "REGION", 4096)
+    whole = Counter((r.doc_id, r.component_id) for r in near_duplicates(docs, width=3, percent=80).collect())
+    monkeypatch.setattr(near_dedup, "REGION", 16)
+    crowded = Counter((r.doc_id, r.component_id) for r in near_duplicates(docs, width=3, percent=80).collect())
+    assert crowded == whole == Counter((d, c) for d, _, c in slow_components(rows, 3, 80))
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
