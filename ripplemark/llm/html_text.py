@@ -2,8 +2,9 @@
 
 Markup is stripped to lines, one per block element. Menus, forms, scripts and other furniture leave blank lines where
 they stood, links count little, and lengths are summed over windows of lines that slide down the page. A region begins
-where these sums surge from nothing and ends where they dive to it. Regions inside an article element are the text;
-on a page without one, the regions whose sums rise high enough, and what stands in one container with them.
+where these sums surge from nothing and ends where they dive to it. The text is the regions whose sums rise high
+enough, and what stands in one container with them. Inside article and main elements sums count twice, and they are kept
+whole, unless a region outside rises above all regions inside: then only the elements with a high region.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from ripplemark.llm.shared import map_batches
 
-#: Lines of a window, and the sum that a region has to reach on a page without an article element.
-WINDOW, SURGE = 3, 86
+#: Lines of a window, the sum that a region has to reach, and how much more sums count inside article and main.
+WINDOW, SURGE, BONUS = 3, 86, 2
 #: Most links a line may have, as a share of its characters, to count as text.
 MOST_LINKS = 0.5
 
@@ -68,15 +69,15 @@ def _is_furniture(name: str, attributes: str) -> bool:
 
 
 class _Page:
-    """Lines of a page: text, characters of it inside links, whether it is inside an article, and its container."""
+    """Lines of a page: text, characters of it inside links, its outermost article (0: none), and its container."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.pieces: list[str] = []
         self.linked = 0
         self.open: list[tuple[str, bool]] = []  # name, furniture
         self.containers, self.made = [0], 0
-        self.skipped = self.articles = self.links = 0
+        self.skipped = self.articles = self.links = self.outermost = 0
 
     def text(self, raw: str) -> None:
         if raw and not self.skipped:
@@ -88,12 +89,12 @@ class _Page:
     def line(self) -> None:
         if self.pieces:
             if text := " ".join("".join(self.pieces).split()):
-                self.lines.append((text, self.linked, self.articles > 0, self.containers[-1]))
+                self.lines.append((text, self.linked, self.outermost if self.articles else 0, self.containers[-1]))
             self.pieces, self.linked = [], 0
 
     def gap(self) -> None:
         self.line()
-        self.lines += [("", 0, False, 0)] * WINDOW
+        self.lines += [("", 0, 0, 0)] * WINDOW
 
     def push(self, name: str, furniture: bool) -> None:
         if furniture:
@@ -106,7 +107,9 @@ class _Page:
             self.containers.append(self.made)
         self.skipped += furniture
         self.links += name == "a"
-        self.articles += name in ("article", "main")
+        if name in ("article", "main"):
+            self.outermost += not self.articles
+            self.articles += 1
 
     def pop(self) -> None:
         name, furniture = self.open.pop()
@@ -130,7 +133,7 @@ class _Page:
                 return
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     """The page stripped to lines; blank ones where furniture stood and at the edges of articles."""
     state = _Page()
     at, n = 0, len(page)
@@ -206,17 +209,20 @@ def main_text(page: str | None) -> tuple[str, int]:
             last += 1
         regions.append((first, last))
         k = max(end, last)
-    inside = [r for r in regions if any(lines[j][2] for j in range(*r))]
-    if inside:
-        chosen = inside
-    else:
-        high = [r for r in regions if max(sum(weight[j : min(j + WINDOW, r[1])]) for j in range(*r)) >= SURGE]
-        if not high and regions:
-            high = [max(regions, key=lambda r: sum(weight[r[0] : r[1]]))]
-        # what furniture cuts off from such a region, in the same container, is short but belongs to it
-        near = {lines[j][3] for r in high for j in range(*r) if lines[j][0]}
-        chosen = [r for r in regions if r in high or any(lines[j][3] in near for j in range(*r) if lines[j][0])]
-    kept = [lines[j][0] for r in chosen for j in range(*r) if lines[j][0] and (lines[j][2] or not inside)]
+    # gaps at the edges of articles keep a region on one side of them
+    inside = [any(lines[j][2] for j in range(*r)) for r in regions]
+    peaks = [max(sum(weight[j : min(j + WINDOW, r[1])]) for j in range(*r)) * (BONUS if i else 1) for r, i in zip(regions, inside, strict=True)]
+    outdone = max((p for p, i in zip(peaks, inside, strict=True) if not i), default=0) > max(SURGE, *(
+        p for p, i in zip(peaks, inside, strict=True) if i), 0)
+    high = [r for r, i, p in zip(regions, inside, peaks, strict=True) if p >= SURGE or i and not outdone]
+    if not high and regions:
+        high = [max(regions, key=lambda r: sum(weight[r[0] : r[1]]))]
+    # what furniture cuts off from such a region, in the same container or article, is short but belongs to it
+    near = {lines[j][3] for r in high for j in range(*r) if lines[j][0]}
+    whole = {lines[j][2] for r in high for j in range(*r) if lines[j][2]}
+    tops = set(high)
+    chosen = [r for r in regions if r in tops or any(lines[j][3] in near or lines[j][2] in whole for j in range(*r) if lines[j][0])]
+    kept = [lines[j][0] for r in chosen for j in range(*r) if lines[j][0]]
     return "\n\n".join(kept), len(chosen)
 
 

@@ -154,6 +154,17 @@ def test_main_text_is_the_article_without_furniture(spark):
     assert extract_text(pages.limit(0)).count() == 0
 
 
+def test_a_story_outside_article_elements_is_kept():
+    story = " ".join(f"story{k}" for k in range(60))
+    page = f"<body><div><p>{story}</p><p>{story}</p></div><article><p>Short teaser</p></article><main><p>More</p></main></body>"
+    assert main_text(page) == (f"{story}\n\n{story}", 1)
+    report = " ".join(f"report{k}" for k in range(60))
+    both = f"<div><p>{story}</p></div><article><p>{report}</p><nav>a</nav><p>b</p></article>"
+    assert main_text(both) == (f"{story}\n\n{report}\n\nb", 3)
+    assert main_text("<div><p>twenty odd characters here</p></div><article><p>a teaser of fair length</p></article>")[0] == (
+        "a teaser of fair length")
+
+
 def toxic_rows(n=900):
     rng = random.Random(9)
     out, labels = [], []
