@@ -1,9 +1,10 @@
 """Benchmark items found in documents, also with their numbers, names and units exchanged.
 
-Words become canonical: numbers, units and names are typed placeholders. Windows of canonical words of the items are a
-hash table that documents probe as they stream by. Hits of one item at one alignment are put together; where a
-document has other values than the item, they have to be consistent: each value of the item is one value of the
-document throughout, and two values aren't one. Windows of the plain words are probed too, so that a passage whose
+Words become canonical: numbers, units and names are typed placeholders. A capital at the start of a text, sentence or
+line may be a name or not, so a window with such words is there once for each of its readings. Windows of canonical words
+of the items are a hash table that documents probe as they stream by. Where one hits, the item is laid on the document
+and all its windows are compared; where the document has other values than the item, they have to be consistent: each
+value of the item is one value of the document throughout, and two values aren't one. Windows of the plain words are probed too, so that a passage whose
 capitals were changed is found as well.
 
 Items go out in blocks of a bounded number of windows, one pass over the documents per block, whatever their number.
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,12 @@ from ripplemark.llm.token_ids import slices
 
 #: Words of a window; shorter items are one window, and items of fewer words than LEAST are not searched.
 WINDOW, LEAST = 8, 4
-#: Words that are no placeholder which a window of templates needs.
+#: Words that are no placeholder which a match of templates needs, and a window to be probed. Items with too few such
+#: windows to be sure of a hit are probed by all their windows that have one such word.
 LEAST_LITERAL = 4
 #: An exact run of so many words is a leak, or this share of an item's windows.
 LEAST_RUN, LEAST_SHARE, LEAST_TEMPLATE = 13, 0.5, 0.6
-#: Windows of items broadcast at a time (some 40 bytes each).
+#: Windows of items, in all their readings, broadcast at a time (some 40 bytes each).
 BLOCK = 1_000_000
 
 # Units, and numbers in words.
@@ -56,7 +59,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Words of some texts, plain and canonical: kind 0 is a word, 1 a number, 2 a unit, 3 a name."""
+    """Words of some texts: kind 0 is a word, 1 a number, 2 a unit, 3 a name, 4 a word or a name."""
 
     def __init__(self, text: pa.Array):
         codes, offsets, raw = words(pc.replace_substring(text, "\n", f" {_MARK} "))
@@ -75,31 +78,56 @@ class Templates:
         fresh[1:] = as_numpy(ends)[codes[:-1]]
         fresh[offsets[:-1][offsets[:-1] < len(codes)]] = True
         kind = np.where(as_numpy(number), 1, np.where(as_numpy(unit), 2, 0)).astype(np.int8)
-        kinds = np.where((kind[codes] == 0) & as_numpy(capital)[codes] & ~fresh, np.int8(3), kind[codes])
+        kinds = np.where((kind[codes] == 0) & as_numpy(capital)[codes], np.where(fresh, np.int8(4), np.int8(3)), kind[codes])
         keep = full[codes]
         before = np.concatenate(([0], np.cumsum(keep)))
         self.offsets = before[offsets]
-        self.codes, self.kinds, self.lower = codes[keep], kinds[keep], lower
-        self.plain = hashed[self.codes]
-        self.canonical = np.where(self.kinds == 0, self.plain, _PLACES[self.kinds])
+        self.kinds = kinds[keep]
+        self.plain = hashed[codes[keep]]
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows, their plain hashes, and their canonical ones (0: too few words)."""
-        n = len(self.codes)
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows and their plain hashes."""
+        n = len(self.plain)
         ends = np.repeat(self.offsets[1:], np.diff(self.offsets))
         starts = np.flatnonzero(np.arange(n) + width <= ends)
-        out = []
-        for keys in (self.plain, self.canonical):
-            h = np.full(len(starts), width, dtype=np.uint64)
-            for k in range(width):
-                h = _mixed(h * _A + keys[starts + k])
-            out.append(h)
-        literal = np.concatenate(([0], np.cumsum(self.kinds == 0)))
-        poor = literal[starts + width] - literal[starts] < min(LEAST_LITERAL, width)
-        return starts, out[0], np.where(poor, np.uint64(0), out[1] ^ _PLACES[0])
+        h = np.full(len(starts), width, dtype=np.uint64)
+        for k in range(width):
+            h = _mixed(h * _A + self.plain[starts + k])
+        return starts, h
+
+    def readings(self, starts: np.ndarray, width: int, vocabulary: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions in ``starts``, canonical hashes and numbers of literal words of all readings of these windows.
 
-    def word(self, at: int) -> str:
-        return self.lower[int(self.codes[at])].as_py()
+        With a sorted ``vocabulary``, only readings whose literal words are in it.
+        """
+        word, name = self.kinds % 4 == 0, self.kinds >= 3
+        if vocabulary is not None:
+            at = np.minimum(np.searchsorted(vocabulary, self.plain), max(len(vocabulary) - 1, 0))
+            word &= vocabulary[at] == self.plain if len(vocabulary) else False
+            none = np.concatenate(([0], np.cumsum((self.kinds % 4 == 0) & ~word & ~name)))
+            which = np.flatnonzero(none[starts + width] == none[starts])
+        else:
+            which = np.arange(len(starts))
+        both = word & name
+        keys = np.where(word, self.plain, _PLACES[np.where(name, 3, self.kinds)])
+        often = np.concatenate(([0], np.cumsum(both)))
+        cost = np.cumsum(np.int64(1) << (often[starts[which] + width] - often[starts[which]]))
+        first = 0
+        while first < len(which):
+            until = max(first + 1, int(np.searchsorted(cost, (cost[first - 1] if first else 0) + 500_000, side="right")))
+            some = which[first:until]
+            first = until
+            h, literal = np.full(len(some), width, dtype=np.uint64), np.zeros(len(some), dtype=np.int8)
+            for k in range(width):
+                at = starts[some] + k
+                two = np.flatnonzero(both[at])
+                named = _mixed(h[two] * _A + _PLACES[3])
+                h, more = _mixed(h * _A + keys[at]), literal[two]
+                literal = literal + word[at]
+                if len(two):
+                    some = np.concatenate((some, some[two]))
+                    h, literal = np.concatenate((h, named)), np.concatenate((literal, more))
+            yield some, h ^ _PLACES[0], literal
 
 
 class Block:
@@ -107,75 +135,140 @@ class Block:
 
     def __init__(self, ids: list[int], items: list[str]):
         found = Templates(pa.array(items, pa.large_string()))
-        self.ids = ids
+        self.ids, self.offsets, self.plain, self.kinds = ids, found.offsets, found.plain, found.kinds
         self.lengths = np.diff(found.offsets)
         self.n_windows = np.maximum(self.lengths - WINDOW + 1, np.minimum(self.lengths, 1))
-        self.slots = [[(int(k), found.word(a + i)) if k else None for i, k in enumerate(found.kinds[a:b])]
-                      for a, b in zip(found.offsets[:-1], found.offsets[1:], strict=True)]
+        self.vocabulary = np.unique(found.plain[found.kinds % 4 == 0])
         owner = np.repeat(np.arange(len(ids)), self.lengths)
+        placed = np.concatenate(([0], np.cumsum(found.kinds != 0)))
         self.tables: dict[int, tuple] = {}
         widths = {int(min(n, WINDOW)) for n in self.lengths if n >= LEAST}
         for width in widths:
-            starts, plain, canonical = found.windows(width)
+            starts, plain = found.windows(width)
             own = self.lengths[owner[starts]]
             right = own == width if width < WINDOW else own >= WINDOW
-            starts, plain, canonical = starts[right], plain[right], canonical[right]
+            starts, plain = starts[right], plain[right]
             item = owner[starts]
             place = starts - found.offsets[:-1][item]
-            keys = np.concatenate((plain, canonical[canonical != 0]))
-            item = np.concatenate((item, item[canonical != 0]))
-            place = np.concatenate((place, place[canonical != 0]))
+            # rich in every reading; if more than four tenths are, a match has one of them
+            rich = width - (placed[starts + width] - placed[starts]) >= LEAST_LITERAL
+            dense = np.bincount(item[rich], minlength=len(ids)) <= (1 - LEAST_TEMPLATE) * self.n_windows + 1e-6
+            probed = np.flatnonzero(rich | dense[item])
+            keys, at = [plain], [np.arange(len(starts))]
+            for some, h, literal in found.readings(starts[probed], width):
+                keys.append(h[literal > 0])
+                at.append(probed[some[literal > 0]])
+            keys, at = np.concatenate(keys), np.concatenate(at)
             order = np.argsort(keys, kind="stable")
-            keys = keys[order]
+            keys, at = keys[order], at[order]
             quick = np.zeros(1 << 20, dtype=bool)
             quick[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables[width] = (keys, item[order], place[order], quick)
+            self.tables[width] = (keys, item[at], place[at], quick)
+
+
+def _clashes(pairs: list[tuple[int, int, int]]) -> list[int]:
+    """Which of ``pairs`` (kind, value of the item, value of the document) contradict one before.
+
+    Each value of the item is one value of the document, and no two of one kind are the same.
+    """
+    there: dict[tuple[int, int], int] = {}
+    back: dict[tuple[int, int], int] = {}
+    out = []
+    for k, (kind, own, found) in enumerate(pairs):
+        if there.get((kind, own), found) != found or back.get((kind, found), own) != own:
+            out.append(k)
+        else:
+            there[kind, own], back[kind, found] = found, own
+    return out
+
 
+def _runs(x: np.ndarray, width: int) -> np.ndarray:
+    """Whether all of x[k : k + width] hold, for every k."""
+    return _runs_of(x, width) == width
 
-def _consistent(pairs: list[tuple[tuple[int, str], tuple[int, str]]]) -> bool:
-    """Whether each value of the item is one value of the document, and no two of one kind are the same."""
-    there: dict[tuple[int, str], str] = {}
-    back: dict[tuple[int, str], str] = {}
-    for (kind, own), (_, found) in pairs:
-        if there.setdefault((kind, own), found) != found or back.setdefault((kind, found), own) != own:
-            return False
-    return True
+
+def _runs_of(x: np.ndarray, width: int) -> np.ndarray:
+    """How many of x[k : k + width] hold, for every k."""
+    sums = np.concatenate(([0], np.cumsum(x)))
+    return sums[width:] - sums[:-width]
+
+
+def _laid(found: Templates, row: int, block: Block, item: int, shift: int) -> np.ndarray | None:
+    """First words of the item's windows that the row has as templates or word for word, if these make a leak."""
+    width, n = int(min(block.lengths[item], WINDOW)), int(block.n_windows[item])
+    low = max(int(found.offsets[row]), shift)
+    high = min(int(found.offsets[row + 1]), shift + int(block.lengths[item]))
+    if high - low < width:
+        return None
+    here, there = slice(low, high), slice(*(int(block.offsets[item]) - shift + x for x in (low, high)))
+    kind, own, value, other = block.kinds[there], block.plain[there], found.plain[here], found.kinds[here]
+    same = own == value
+    literal = same & (kind % 4 == 0) & (other % 4 == 0)
+    fixed = (kind == other) & ((kind == 1) | (kind == 2) | (kind == 3))
+    free = ~literal & ~fixed & (kind >= 3) & (other >= 3)  # names only if a capital at a start is one
+    exact = _runs(same, width)
+
+    def judged(held: np.ndarray, least: int) -> tuple[np.ndarray, list[int], list[int]]:
+        """Windows, the slots they cover, and those of them that clash."""
+        windows = _runs(held, width)
+        windows &= _runs_of(kind % 4 == 0, width) >= least
+        covered = np.zeros(len(held) + 1, dtype=np.int64)
+        np.add.at(covered, np.flatnonzero(windows), 1)
+        np.add.at(covered, np.flatnonzero(windows) + width, -1)
+        inside = np.cumsum(covered)[:-1] > 0
+        slots = [*np.flatnonzero(inside & fixed).tolist(), *np.flatnonzero(inside & free & held).tolist()]
+        bad = _clashes([(min(int(kind[p]), 3), int(own[p]), int(value[p])) for p in slots])
+        if (windows | exact).sum() / n < LEAST_TEMPLATE or (inside & literal).sum() < LEAST_LITERAL:
+            return np.zeros(0, dtype=np.int64), slots, bad
+        return np.flatnonzero(windows | exact) + low, slots, bad
+
+    every = literal | fixed | free
+    if (_runs(every, width) | exact).sum() / n < LEAST_TEMPLATE:
+        return None
+    windows, slots, bad = judged(every, 0)
+    if len(bad) and free.any():  # capitals that can't be names of one value each are words
+        less = every.copy()
+        less[[slots[k] for k in bad if free[slots[k]]]] = False
+        windows, slots, bad = judged(less, 0)
+    for least in (0, min(LEAST_LITERAL, width)):
+        if len(bad) or not len(windows):
+            windows, slots, bad = judged(literal | fixed, least)
+    return windows if len(windows) and not bad else None
 
 
 def _matches(text: pa.Array, block: Block) -> Iterator[tuple[int, int, float, int, int, bool]]:
     """(row, item, share of its windows, longest exact run in words, first word, exact) of the leaks in some texts."""
     found = Templates(text)
-    hits: dict[tuple[int, int, int], list[set[int]]] = defaultdict(lambda: [set(), set()])
+    hits: dict[tuple[int, int, int], set[int]] = defaultdict(set)
     for width, (keys, items, places, quick) in block.tables.items():
-        starts, plain, canonical = found.windows(width)
-        for channel, h in enumerate((plain, canonical)):
+        starts, plain = found.windows(width)
+        probes = [(True, np.arange(len(starts)), plain)]
+        for exact, which, h in chain(probes, ((False, some, h) for some, h, _ in found.readings(starts, width, block.vocabulary))):
             likely = np.flatnonzero(quick[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
             first = np.searchsorted(keys, h[likely], side="left")
             last = np.searchsorted(keys, h[likely], side="right")
-            for k in np.flatnonzero((last > first) & (h[likely] != 0)).tolist():
-                at = int(starts[likely[k]])
+            for k in np.flatnonzero(last > first).tolist():
+                at = int(starts[which[likely[k]]])
                 row = int(np.searchsorted(found.offsets, at, side="right")) - 1
                 for j in range(int(first[k]), int(last[k])):
-                    hits[row, int(items[j]), at - int(places[j])][channel].add(at)
+                    held = hits[row, int(items[j]), at - int(places[j])]
+                    if exact:
+                        held.add(at)
     best: dict[tuple[int, int], tuple] = {}
-    for (row, item, shift), (exact, template) in hits.items():
+    for (row, item, shift), exact in hits.items():
         width = int(min(block.lengths[item], WINDOW))
         n = int(block.n_windows[item])
         run = longest = 0
         for at in sorted(exact):
             run = run + 1 if at - 1 in exact else 1
             longest = max(longest, run + width - 1)
-        share = len(exact) / n
-        leak = share >= LEAST_SHARE or longest >= LEAST_RUN
-        if not leak and len(exact | template) / n >= LEAST_TEMPLATE:
-            covered = {p for at in template for p in range(at, at + width)}
-            pairs = [(slot, (int(found.kinds[p]), found.word(p))) for p in sorted(covered)
-                     if (slot := block.slots[item][p - shift]) and found.kinds[p] == slot[0]]
-            leak = _consistent(pairs)
-            share = len(exact | template) / n
-        if leak:
-            row_ = (share, longest, int(min(exact | template) - found.offsets[row]), len(exact) / n >= LEAST_SHARE or longest >= LEAST_RUN)
-            best[row, item] = max(best.get((row, item), row_), row_)
+        literal = len(exact) / n >= LEAST_SHARE or longest >= LEAST_RUN
+        if literal:
+            windows = np.array(sorted(exact))
+        elif (windows := _laid(found, row, block, item, shift)) is None:
+            continue
+        row_ = (len(windows) / n, longest, int(windows[0] - found.offsets[row]), literal)
+        best[row, item] = max(best.get((row, item), row_), row_)
     for (row, item), (share, longest, first, exact) in sorted(best.items()):
         yield row, item, min(share, 1.0), longest, first, exact
 
@@ -192,6 +285,12 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             names=["doc_id", "item_id", "share", "longest_run", "first_word", "exact"])
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = Block(batch.column("item_id").to_pylist(), batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(t[0]) for t in held.tables.values())], pa.int64())], names=["n"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, share, longest_run, first_word, exact) for the rows of ``docs`` that hold an item.
 
@@ -203,8 +302,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block: int = BLOCK) ->
     doc_id gives rows without one.
     """
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-2 * total // block))
+    total = map_batches(items, _entries, "n long").agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block))
     found = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()

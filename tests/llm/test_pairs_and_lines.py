@@ -189,3 +189,16 @@ def test_leaks_word_for_word_and_with_other_values(spark):
     assert find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_names_at_starts_and_items_dense_in_numbers_are_leaks(spark):
+    names = "Tom has 5 apples. Anna has 3 pears. Tom gives 2 apples to Anna."
+    dense = "Mix 3 kg sand, 5 kg lime, 7 l water, 2 kg clay and 9 kg ash slowly."
+    inner = "We saw that Rosa kept seven old boats near the harbour wall while Rosa painted every one of them."
+    items = spark.createDataFrame([(1, names), (2, dense), (3, inner)], "item_id long, text string")
+    other = names.replace("Tom", "Maria").replace("Anna", "Pedro").replace("5", "8").replace("2", "6")
+    rows = [(1, "So.\n" + other), (2, other.replace("to Pedro", "to Maria")), (3, other.replace(". ", ".\n")),
+            (4, "x y z. Mix 4 kg sand, 6 kg lime, 8 l water, 1 kg clay and 2 kg ash slowly."),
+            (5, inner.replace("Rosa", "\nClara")), (6, inner.replace("Rosa", "\nClara", 1).replace("Rosa", "\nEmma")),
+            (7, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18"), (8, "\n".join(["The", "List", "Of", "Words"] * 40))]
+    found = find_leaks(spark.createDataFrame(rows, DOCS), items).collect()
+    assert {(r.doc_id, r.item_id, r.exact) for r in found} == {
+        (1, 1, False), (3, 1, False), (4, 2, False), (5, 3, False)}
