@@ -5,8 +5,7 @@ once for each level up to q; a reader probes level after level until one is miss
 in segments of 128 KB. Segments are built each by one task, and broadcast in groups of bounded size: with more than
 one group, texts pass by the groups one after another and carry the levels found so far.
 
-All words are in the filter, and all pairs that occur twice or more; pairs that occur once are left to smoothing.
-Exact counts, for the base score, are joined by word; the most frequent ones are looked up before the shuffle.
+All words and all pairs are in the filter. Exact counts, for the base score, are joined by word; the most frequent ones are looked up before the shuffle.
 """
 
 from __future__ import annotations
@@ -138,7 +137,7 @@ class Model:
 
     def __init__(self, docs: DataFrame):
         counts = map_batches(docs.select("text"), _grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        self.counts = cut(counts.where((F.col("key").bitwiseAND(F.lit(1)) == 0) | (F.col("n") >= 2)))
+        self.counts = cut(counts)
         word = F.col("key").bitwiseAND(F.lit(1)) == 0
         level = F.floor(F.log2(F.col("n")) + 1e-12) + 1
         total = self.counts.agg(F.sum(F.when(word, F.col("n"))), F.sum(word.cast("long")), F.sum(level),
@@ -176,7 +175,7 @@ class Model:
 def _log_probability(tokens: Tokens, word: np.ndarray, pair: np.ndarray, n: int, v: int, weight: float) -> np.ndarray:
     """log10 of each token's chance after the one before: the pair's frequency mixed with the word's own.
 
-    Chances after a token sum to one at most; what is short of it is the share of pairs seen once.
+    Up to the width of the levels, chances after a token sum to one.
     """
     c_word, c_pair = counts_of(word), counts_of(pair)
     c_before = np.empty_like(c_word)

@@ -236,3 +236,10 @@ def test_language_model_without_training_rows(spark):
     row = language_model.train_and_score(docs, F.lit(True)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
     assert language_model.train_and_score(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_pairs_seen_once_raise_the_score(spark):
+    rows = [(0, "red fox", False), (1, "blue owl", False), (2, "red fox", True), (3, "red owl", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in language_model.train_and_score(docs, docs["held"]).collect()}
+    assert got[2] > got[3] + 0.01  # the same word counts, and only the pairs of the first were seen
