@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ripplemark.llm import language_model, toxicity
 from ripplemark.llm.decontamination import find_leaks
 from ripplemark.llm.html_text import extract_text
+from ripplemark.llm.lexicon_bpe import round_trip
 from ripplemark.llm.line_dedup import drop_common_lines
 from ripplemark.llm.near_dedup import near_duplicates
 from ripplemark.llm.packing import pack
@@ -76,6 +77,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.train_and_score(_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: made for name, made in list(globals().items()) if name.startswith("op") and callable(made)
 }
