@@ -16,6 +16,7 @@ from ripplemark.llm.line_dedup import drop_common_lines
 from ripplemark.llm.near_dedup import near_duplicates
 from ripplemark.llm.packing import pack
 from ripplemark.llm.quality_rules import judge
+from ripplemark.llm.reverse_search import search
 from ripplemark.llm.shared import crc_mod, shared_dir
 from ripplemark.llm.token_counts import count_tokens
 from ripplemark.llm.token_files import read_token_files, write_token_files
@@ -77,6 +78,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.train_and_score(_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
 
 
+def op11_reverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -166,4 +171,31 @@ SELECT docs.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(other) AS
 FROM docs JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY docs.doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_line_dedup": _OP6, "op8_quality_rules": _OP8, "op9_near_duplicates": _OP9}
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+_OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, terms, len(terms) AS n FROM (SELECT doc_id, {_TERMS} AS terms FROM documents)),
+total AS (SELECT count(*) FILTER (n > 0) AS nn, coalesce(sum(n), 0)::BIGINT AS l FROM docs),
+items AS (SELECT i, item_id, term, count(*) AS times FROM (
+  SELECT i, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark)
+) GROUP BY ALL),
+occurs AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY ALL
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM occurs, total GROUP BY term
+),
+valued AS (
+  SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // l))) AS worth
+  FROM occurs JOIN docs USING (d) JOIN weights USING (term), total
+),
+scored AS (
+  SELECT i, item_id, d, doc_id, CAST(sum(times * worth) AS BIGINT) AS score
+  FROM items JOIN valued USING (term) GROUP BY ALL HAVING sum(times * worth) > 0
+)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored
+WINDOW best AS (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER best <= 10
+"""
+
+ORACLES: dict[str, str] = {"op6_line_dedup": _OP6, "op8_quality_rules": _OP8, "op9_near_duplicates": _OP9,
+                           "op11_reverse_search": _OP11}
