@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemark.llm import language_model, toxicity
+from ripplemark.llm.conversation_repair import damage, repaired_digests
 from ripplemark.llm.decontamination import find_leaks
 from ripplemark.llm.html_text import extract_text
 from ripplemark.llm.lexicon_bpe import round_trip
@@ -86,6 +87,10 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_digests(damage(_table(spark, sf_dir, "conversations"))).drop("n_rows")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: made for name, made in list(globals().items()) if name.startswith("op") and callable(made)
 }
@@ -197,5 +202,82 @@ SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score F
 WINDOW best AS (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER best <= 10
 """
 
+#: States: 0 start, 1 behind s, 2 behind u, 3 behind a. No cheapest path inserts twice before a turn, or before it drops one.
+_OP13 = r"""
+WITH RECURSIVE remainders AS (
+  SELECT list(r ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r
+    FROM range(256) x(i))
+),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+),
+kinds AS (
+  SELECT keyed.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM keyed, remainders
+),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substring(sha256(text), 1, 32), copy) AS i,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare
+  FROM damaged
+),
+faulty AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM placed
+),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+),
+steps(q, initial, made, to_q) AS (VALUES (0, 's', NULL, 1), (0, 'u', 'user', 2), (1, 'u', 'user', 2), (2, 'a', 'assistant', 3), (3, 'u', 'user', 2)),
+inserts AS (SELECT q, made, to_q FROM steps WHERE made IS NOT NULL),
+starts AS (SELECT q, '' AS edits, 0 AS cost, [] :: VARCHAR[] AS lines, q AS now FROM range(4) x(q)
+           UNION ALL SELECT q, 'I', 2, [made || ':'], to_q FROM inserts),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, [] :: VARCHAR[] AS lines
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines FROM (
+    SELECT w.conv_id, f.i, o.q, CAST(w.cost + o.cost AS BIGINT) AS cost, w.audit || o.edits AS audit, list_concat(w.lines, o.lines) AS lines
+    FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1, LATERAL (
+      SELECT w.q AS q, 'D' AS edits, 3 AS cost, [] :: VARCHAR[] AS lines
+      UNION ALL
+      SELECT s.to_q, b.edits || 'K', b.cost + (f.fault IS NOT NULL) :: INT, list_append(b.lines, f.role || ':' || f.text)
+      FROM starts b JOIN steps s ON s.q = b.now WHERE b.q = w.q AND s.initial = left(f.role, 1) AND coalesce(f.fault, 'truncated') = 'truncated'
+      UNION ALL
+      SELECT s.to_q, b.edits || 'R', b.cost + 2 + (f.fault IS NOT NULL) :: INT, list_append(b.lines, s.made || ':' || f.text)
+      FROM starts b JOIN inserts s ON s.q = b.now WHERE b.q = w.q AND coalesce(f.fault, 'truncated') = 'truncated'
+    ) o
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1
+),
+closed AS (
+  SELECT w.conv_id, w.cost + CASE q WHEN 2 THEN 2 WHEN 1 THEN 4 ELSE 0 END AS whole, audit || CASE q WHEN 2 THEN 'I' WHEN 1 THEN 'II' ELSE '' END AS edits,
+         list_concat(lines, CASE q WHEN 2 THEN ['assistant:'] WHEN 1 THEN ['user:', 'assistant:'] ELSE [] END) AS lines
+  FROM walk w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(c.n, 0)
+),
+ended AS (
+  SELECT conv_id, whole AS cost, edits AS audit, lines FROM closed
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY whole, edits) = 1
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+       sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 ORACLES: dict[str, str] = {"op6_line_dedup": _OP6, "op8_quality_rules": _OP8, "op9_near_duplicates": _OP9,
-                           "op11_reverse_search": _OP11}
+                           "op11_reverse_search": _OP11, "op13_conversation_repair": _OP13}
