@@ -257,6 +257,9 @@ points AS (
        {f('(bid_points + ask_points) / divider / 2', 'mid', 9)} FROM points""",
 )
 sql("daily_table", DAILY, DAILY_SELECT + "daily")
+sql("daily_table_appended", DAILY, DAILY_SELECT + "daily")
+sql("daily_table_of_one_asset", DAILY, DAILY_SELECT.replace("asset", "upper(asset) AS asset", 1) + "daily WHERE asset = 'purchase'")
+sql("stream_daily_table", DAILY, DAILY_SELECT + "daily")
 
 # --- variance measures --------------------------------------------------------------------------------------
 

@@ -32,8 +32,8 @@ from ripplemark.plans import diagnostics as G
 from ripplemark.plans.study import RIDGE_GRID, ridge_model, run_study
 from ripplemark.session import configure
 from ripplemark.sources import raw_hours, ticks as T
-from ripplemark.sources.daily_table import Layout, refresh_daily
-from ripplemark.streaming.daily import stream_daily
+from ripplemark.sources.daily_table import Layout, read_daily, refresh_daily
+from ripplemark.streaming.daily import stream_daily, stream_into_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,6 +223,28 @@ def daily_table(spark, sf_dir):
     return refresh_daily(spark, layout, frequency=I.BAR)
 
 
+@query
+def daily_table_appended(spark, sf_dir):
+    """The same table from three deliveries, refreshed after each: most ticks of all days but the last, then wrong
+    prices of a few, which the last delivery corrects and completes."""
+    layout = Layout(_scratch(spark, "daily-appended"))
+    whole = I.ticks(spark, sf_dir)
+    early = F.col("ts") < F.lit("2024-01-29").cast("timestamp")
+    late_ones = F.col("event_id") % 10 == 0
+    for part in (whole.where(early & ~late_ones), whole.where(early & (F.col("event_id") % 100 == 1)).withColumn("mid", F.col("mid") + 1),
+                 whole.where(~early | late_ones | (F.col("event_id") % 100 == 1))):
+        T.write_ticks(part, layout.ticks, ordinal=I.ORDINAL)
+        daily = refresh_daily(spark, layout, frequency=I.BAR)
+    return daily
+
+
+@query
+def daily_table_of_one_asset(spark, sf_dir):
+    layout = Layout(_scratch(spark, "daily-asset"))
+    T.write_ticks(I.ticks(spark, sf_dir).withColumn("asset", F.upper("asset")), layout.ticks, ordinal=I.ORDINAL)
+    return refresh_daily(spark, layout, frequency=I.BAR, assets=["purchase"])
+
+
 # --- variance measures ------------------------------------------------------------------------------
 
 
@@ -759,3 +781,19 @@ def stream_daily_rv(spark, sf_dir):
     )
     job.awaitTermination()
     return spark.read.schema(I.daily(spark, sf_dir).schema).parquet(f"{base}/out")
+
+
+@query
+def stream_daily_table(spark, sf_dir):
+    """The events in four files, each with ticks of all days, streamed into the daily table file by file."""
+    base = _scratch(spark, "stream-table")
+    events = I.all_ticks(spark, sf_dir)
+    events.withColumn("part", F.col("event_id") % 4).repartition(4, "part").write.partitionBy("part").parquet(f"{base}/in")
+    layout = Layout(f"{base}/tables")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/part=*")
+    job = (
+        stream_into_table(arriving, layout, name="events", ordinal=I.ORDINAL, frequency=I.BAR)
+        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    return read_daily(spark, layout.daily(I.BAR))

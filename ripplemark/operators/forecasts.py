@@ -2,23 +2,24 @@
 
 Refitting at each origin would cost a pass over the past per forecast. A regression only
 needs sums of products of its columns, so running sums over one timeline give the fits of
-all origins, all regressions and all penalties in one pass; what is left for Python is one
-small linear solve per forecast, done in batches. Models that need no solve (the mean of
-past targets, the last target) never leave the JVM.
-
-Work is spread over series. One series holds one row per date, so the calendar bounds what
-a single task sees (100 years of days are 36,525 rows), however many series there are.
+all origins, all regressions and all penalties at once. The timeline of a series is cut into
+blocks of time: blocks are summed up on their own, their sums are chained in order, and each
+block continues from the chain, so work is spread over series and blocks, and no task or
+Python worker holds more than a block. What is left per forecast is one small linear solve,
+done in batches. Models that need no solve (the mean of past targets, the last target) never
+leave the JVM when run alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import date, datetime
 from itertools import combinations_with_replacement
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,8 @@ from ripplemark.checks import (
     violations,
 )
 from ripplemark.functions.numeric import is_finite
+from ripplemark.functions.sessions import DAY_MICROS
+from ripplemark.operators.blocks import Moments, Running, damped_fit, runs, smoothed
 from ripplemark.operators.features import ORIGIN, SERIES
 from ripplemark.operators.models import ModelSpec
 from ripplemark.operators.timeline import EVENT, QUERY_AFTER, running, self_timeline
@@ -40,12 +43,18 @@ FORECAST_COLUMNS = (
     "model", "series", "origin_date", "target_date", "actual", "predicted", "n_train",
 )
 
-#: Fits whose regressors are this close to collinear (smallest eigenvalue of their
-#: correlations), or whose spread is this small against their distance from the first value,
-#: are repeated on the rows themselves: sums of products have lost too many digits there.
+#: Fits whose regressors are this close to collinear (smallest eigenvalue of their correlations), or whose spread
+#: is this small against their distance from the mean before the block, are repeated on the block's rows and what the
+#: blocks before it come to: sums of products have lost too many digits there.
 COLLINEAR = 1e-7
 CANCELLED = 1e-4
 
+#: Length of a block: days where dates are days, microseconds where they are times.
+BLOCK_DAYS, BLOCK_MICROS = 1024, DAY_MICROS
+
+#: Kind of the row that brings a block's state, before all others.
+_BEGIN = -2
+
 #: Rows solved together.
 SOLVE_BATCH = 8192
 
@@ -66,22 +75,6 @@ def _from_number(name: str, kind: T.DataType) -> Column:
 # --- the small solves -----------------------------------------------------------------------
 
 
-def _damped_fit(x: np.ndarray, y: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
-    """Intercept and slopes from the singular directions of the centred rows, each damped by the penalty.
-
-    Directions without spread get no slope, which is the smallest solution among equals; a penalty of
-    zero damps nothing, so every penalty takes the same way.
-    """
-    if len(x) <= x.shape[1]:
-        raise DataError(f"{x.shape[1]} slopes and an intercept need more observations than {len(x)}")
-    middle, level = x.mean(axis=0), y.mean()
-    left, spread, right = np.linalg.svd(x - middle, full_matrices=False)
-    told = spread > np.finfo(float).eps * max(x.shape) * max(spread.max(initial=0.0), np.abs(middle).max(initial=0.0))
-    gain = np.divide(spread, spread**2 + penalty, out=np.zeros_like(spread), where=told)
-    slopes = right.T @ (gain * (left.T @ (y - level)))
-    return float(level - middle @ slopes), slopes
-
-
 def _pooled_fit(
     n: np.ndarray, mean: np.ndarray, spread: np.ndarray, penalty: float
 ) -> tuple[float, np.ndarray]:
@@ -104,21 +97,26 @@ def _pooled_fit(
 
 
 def _solve(
-    n: np.ndarray, mean_x: np.ndarray, cov_xx: np.ndarray, cov_xy: np.ndarray, ridge: float
+    n: np.ndarray, cov_xx: np.ndarray, cov_xy: np.ndarray, plain: np.ndarray, ridge: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Slopes of many fits from their centered sums, and which of them must be repeated."""
+    """Slopes of many fits from their centered sums, and which of them must be repeated.
+
+    ``plain`` are the squares before centering.
+    """
     width = cov_xx.shape[1]
     if (n <= width).any():
         raise DataError(f"{width} slopes and an intercept need more observations than {int(n.min())}")
-    scale = np.sqrt(np.clip(np.einsum("nii->ni", cov_xx), 0.0, None))
-    weak = ((scale**2 <= CANCELLED * n[:, None] * mean_x**2) | (scale == 0)).any(axis=1)
-    if ridge > 0:
-        return np.linalg.solve(cov_xx + ridge * np.identity(width), cov_xy[..., None])[..., 0], weak
-    safe = np.where(scale > 0, scale, 1.0)
+    squares = np.clip(np.einsum("nii->ni", cov_xx), 0.0, None)
+    weak = ((squares <= CANCELLED * plain) | (squares == 0)).any(axis=1)
+    safe = np.where(squares > 0, np.sqrt(squares), 1.0)
     correlation = cov_xx / safe[:, :, None] / safe[:, None, :]
+    if ridge > 0:
+        # damping is on the columns as they are, so it differs by column once these are scaled
+        correlation[:, range(width), range(width)] += ridge / safe**2
     correlation[weak] = np.identity(width)
-    weak |= np.linalg.eigvalsh(correlation)[:, 0] < COLLINEAR
-    correlation[weak] = np.identity(width)
+    if ridge == 0:
+        weak |= np.linalg.eigvalsh(correlation)[:, 0] < COLLINEAR
+        correlation[weak] = np.identity(width)
     return np.linalg.solve(correlation, (cov_xy / safe)[..., None])[..., 0] / safe, weak
 
 
@@ -126,77 +124,107 @@ def _pair_names(width: int) -> list[tuple[int, int]]:
     return list(combinations_with_replacement(range(width), 2))
 
 
-_GROUP_COLUMNS = ["model", "series", "_origin", "_target", "actual", "predicted", "n_train"]
+_STATE = "series string, _block bigint, _state array<double>"
+_FORECASTS = pa.schema([
+    ("model", pa.string()), ("series", pa.string()), ("_origin", pa.int64()), ("_target", pa.int64()),
+    ("actual", pa.float64()), ("predicted", pa.float64()), ("n_train", pa.int64())])
+
+
+def _observed(rows: pd.DataFrame, width: int) -> np.ndarray:
+    """Regressors and target of the outcomes among a block's rows, in order."""
+    events = rows[rows["_kind"] == EVENT]
+    return events[[*(f"x{i}" for i in range(width)), "y"]].to_numpy("float64")
+
 
+def _summaries(width: int, decays: Sequence[float]):
+    """Per block: its moments, its first outcome, and what smoothing makes of its outcomes alone."""
 
-def _forecast_group(
-    models: Sequence[ModelSpec], columns: Sequence[str], min_train: int
-) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Forecasts of one series from its timeline of events and queries."""
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["series", "_block"]):
+            seen = _observed(rows, width)
+            y = seen[:, width]
+            ends = [float(smoothed(y, d, None)[-1]) if len(y) else 0.0 for d in decays]
+            state = [*Moments.of(seen).packed(), float(y[0]) if len(y) else 0.0, *ends]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rows["series"].iloc[0]], pa.string()), pa.array([rows["_block"].iloc[0]], pa.int64()),
+                 pa.array([state], pa.list_(pa.float64()))], names=["series", "_block", "_state"])
+
+    return summarize
+
+
+def _chain(width: int, decays: Sequence[float]):
+    """Per block: the moments of all blocks of its series before it, and the smoothed values at their end."""
+    size = 1 + (width + 1) + (width + 1) ** 2
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, held, values = None, Moments.none(width + 1), [0.0] * len(decays)
+        for batch in batches:
+            states = []
+            for name, state in zip(batch.column("series").to_pylist(), batch.column("_state").to_pylist(), strict=True):
+                if name != series:
+                    series, held, values = name, Moments.none(width + 1), [0.0] * len(decays)
+                states.append([*held.packed(), *values])
+                own = Moments.unpacked(state[:size], width + 1)
+                if own.n:
+                    first, ends = state[size], state[size + 1 :]
+                    values = [end + (d ** own.n) * (value - first) if held.n else end
+                              for d, end, value in zip(decays, ends, values, strict=True)]
+                held = held.merged(own)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("series"), batch.column("_block"), pa.array(states, pa.list_(pa.float64()))],
+                names=["series", "_block", "_state"])
+
+    return chain
+
+
+def _block_forecasts(models: Sequence[ModelSpec], columns: Sequence[str], decays: Sequence[float], min_train: int):
+    """Forecasts of each block from its rows and the state before it, which comes as its first row."""
+    width = len(columns)
     position = {name: i for i, name in enumerate(columns)}
-    pairs = _pair_names(len(columns))
-
-    def forecast(timeline: pd.DataFrame) -> pd.DataFrame:
-        timeline = timeline.sort_values(["_at", "_kind", "_origin"], kind="stable")
-        is_event = timeline["_kind"].to_numpy() == EVENT
-        x_all = timeline[[f"x{i}" for i in range(len(columns))]].to_numpy("float64")
-        y_all = timeline["y"].to_numpy("float64")
-        past_x, past_y = x_all[is_event], y_all[is_event]
-        asked = ~is_event & (timeline["_n"].to_numpy() >= min_train) & timeline["_selected"].to_numpy(bool)
-        if not asked.any():
-            return pd.DataFrame(columns=_GROUP_COLUMNS)
-        queries = timeline[asked]
-        x_now, n = x_all[asked], queries["_n"].to_numpy("int64")
-        outputs = []
-        for model in models:
-            if model.kind == "smoothing":
-                states = pd.Series(past_y).ewm(alpha=1.0 - model.weight, adjust=False).mean().to_numpy()
-                predicted = states[n - 1]
-            elif not model.regressors:
-                predicted = (np.cumsum(past_y) / np.arange(1, len(past_y) + 1))[n - 1]
-            else:
-                predicted = np.empty(len(n))
-                chosen = [position[name] for name in model.regressors]
-                for begin in range(0, len(n), SOLVE_BATCH):
-                    part = slice(begin, begin + SOLVE_BATCH)
-                    predicted[part] = regress(queries.iloc[part], x_now[part], n[part], chosen, model.weight, past_x, past_y)
-            if not np.isfinite(predicted).all():
-                raise DataError(f"{model.name} returned a non-finite prediction")
-            outputs.append(
-                pd.DataFrame(
-                    {
-                        "model": model.name,
-                        "series": queries["series"].to_numpy(),
-                        "_origin": queries["_origin"].to_numpy("int64"),
-                        "_target": queries["_target"].to_numpy("int64"),
-                        "actual": queries["y"].to_numpy("float64"),
-                        "predicted": predicted,
-                        "n_train": n,
-                    }
-                )
-            )
-        return pd.concat(outputs, ignore_index=True)
-
-    def regress(queries, x_now, n, chosen, ridge, past_x, past_y):
-        count = n.astype("float64")
-        sum_x = queries[[f"sx{i}" for i in chosen]].to_numpy("float64")
-        sum_xy = queries[[f"sxy{i}" for i in chosen]].to_numpy("float64")
-        sum_y = queries["sy"].to_numpy("float64")
-        mean_x, mean_y = sum_x / count[:, None], sum_y / count
-        products = np.empty((len(n), len(chosen), len(chosen)))
-        for a, i in enumerate(chosen):
-            for b, j in enumerate(chosen):
-                low, high = min(i, j), max(i, j)
-                products[:, a, b] = queries[f"sxx{pairs.index((low, high))}"].to_numpy("float64")
-        cov_xx = products - count[:, None, None] * mean_x[:, :, None] * mean_x[:, None, :]
-        cov_xy = sum_xy - count[:, None] * mean_x * mean_y[:, None]
-        slopes, weak = _solve(n, mean_x, cov_xx, cov_xy, ridge)
-        shift_x = queries[[f"cx{i}" for i in chosen]].to_numpy("float64")
-        centered_now = x_now[:, chosen] - shift_x - mean_x
-        predicted = queries["cy"].to_numpy("float64") + mean_y + (centered_now * slopes).sum(axis=1)
+    size = 1 + (width + 1) + (width + 1) ** 2
+
+    def forecast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["series", "_block"]):
+            state = np.asarray(rows["_state"].iloc[0], dtype="float64")
+            rows = rows.iloc[1:]
+            kind = rows["_kind"].to_numpy()
+            place = np.cumsum(kind == EVENT)
+            before = Moments.unpacked(state[:size], width + 1)
+            asked = (kind != EVENT) & (before.n + place >= min_train) & rows["_selected"].to_numpy(bool)
+            if not asked.any():
+                continue
+            queries, place = rows[asked], place[asked]
+            running = Running(before, _observed(rows, width))
+            x_now = queries[[f"x{i}" for i in range(width)]].to_numpy("float64")
+            for model in models:
+                if model.kind == "smoothing":
+                    value = float(state[size + decays.index(model.weight)]) if before.n else None
+                    predicted = smoothed(running.rows[:, width], model.weight, value)[place]
+                elif not model.regressors:
+                    predicted = running.shift[width] + running.at(place)[1][:, width]
+                else:
+                    chosen = [position[name] for name in model.regressors]
+                    predicted = np.concatenate([
+                        regress(running, place[k : k + SOLVE_BATCH], x_now[k : k + SOLVE_BATCH], chosen, model.weight)
+                        for k in range(0, len(place), SOLVE_BATCH)])
+                if not np.isfinite(predicted).all():
+                    raise DataError(f"{model.name} returned a non-finite prediction")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([model.name] * len(place), pa.string()), pa.array(queries["series"], pa.string()),
+                     *(pa.array(queries[c].to_numpy("int64")) for c in ("_origin", "_target")),
+                     pa.array(queries["y"].to_numpy("float64")), pa.array(predicted, pa.float64()),
+                     pa.array(running.n[place], pa.int64())], schema=_FORECASTS)
+
+    def regress(running: Running, place, x_now, chosen, ridge):
+        n, mean, products, plain = running.at(place)
+        inner = products[:, chosen][:, :, chosen]
+        squares = np.einsum("nii->ni", plain)[:, chosen]
+        slopes, weak = _solve(n, inner, products[:, chosen, width], squares, ridge)
+        predicted = running.shift[width] + mean[:, width] + ((x_now[:, chosen] - running.shift[chosen] - mean[:, chosen]) * slopes).sum(axis=1)
+        used = [*chosen, width]
+        past = Moments(running.before.n, running.before.mean[used], running.before.factor[:, used])
         for row in np.flatnonzero(weak):
-            known = int(n[row])
-            intercept, b = _damped_fit(past_x[:known, chosen], past_y[:known], ridge)
+            intercept, b = damped_fit(*past.stacked(running.rows[: place[row], used]), ridge)
             predicted[row] = intercept + float(x_now[row, chosen] @ b)
         return predicted
 
@@ -280,6 +308,11 @@ def _in_range(start: date | None, end: date | None) -> Column:
     return rule
 
 
+def _default_block(kind: T.DataType) -> Callable[[Column], Column]:
+    length = BLOCK_DAYS if isinstance(kind, T.DateType) else BLOCK_MICROS
+    return lambda at: F.floor(at / length)
+
+
 def _is_closed(model: ModelSpec) -> bool:
     """Whether the model is a running aggregate, with nothing to solve."""
     return model.kind == "regression" and not model.regressors or model.kind == "smoothing" and model.weight == 0
@@ -293,6 +326,7 @@ def walk_forward_models(
     start: date | None = None,
     end: date | None = None,
     check: bool = False,
+    block: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Forecast each target of each series by every model, fitted on what was known then.
 
@@ -300,6 +334,10 @@ def walk_forward_models(
     the rows whose target date is on or before the origin; origins with fewer than
     ``min_train_size`` of them are skipped. ``start`` and ``end`` choose target dates, both
     included, and change no forecast: rows outside them still train.
+
+    A series is worked on in blocks of time: 1,024 days, or one day where dates are times. ``block``, a function of the
+    time (days, or microseconds, since 1970) that never decreases, cuts it otherwise; the results are the same to the
+    last digits. A task holds one block.
     """
     if not models:
         raise ValueError("at least one model is required")
@@ -330,14 +368,14 @@ def walk_forward_models(
         line = self_timeline(rows, event_at="_target", query_at="_origin")
         # Queries add nothing to the sums, so the ones not asked for can go before the window.
         line = line.where(F.col("_selected") | (F.col("_kind") == EVENT))
-        window = running([SERIES], "_origin")
-        event = F.col("_kind") == EVENT
-        known = line.withColumn("_n", F.sum(F.when(event, 1).otherwise(0)).over(window))
         # Where some models are solved, the others ride along: the timeline is walked once.
         if solved:
             together = [m for m in models if m in closed or m in solved]
-            parts.append(_solved_forecasts(known, together, columns, window, min_train_size))
+            cut = block or _default_block(kind)
+            parts.append(_solved_forecasts(line.withColumn("_block", cut(F.col("_at")).cast("bigint")), together, columns, min_train_size))
         else:
+            window = running([SERIES], "_origin")
+            known = line.withColumn("_n", F.sum(F.when(F.col("_kind") == EVENT, 1).otherwise(0)).over(window))
             parts.append(_closed_forecasts(known, closed, window, min_train_size))
     if custom:
         # Refits cost time, not bytes: a fixed number of partitions keeps adaptive execution
@@ -383,32 +421,21 @@ def _closed_forecasts(known: DataFrame, models, window, min_train: int) -> DataF
     )
 
 
-def _solved_forecasts(known: DataFrame, models, columns: Sequence[str], window, min_train: int) -> DataFrame:
-    """Running sums of products over the timeline, then one batch of solves per series.
-
-    Columns are measured from the series' first value, which every later origin knows: it
-    leaves regressions with an intercept unchanged and keeps the sums small.
-    """
-    event = F.col("_kind") == EVENT
-    used = [i for i, c in enumerate(columns) if any(c in m.regressors for m in models)]
-    sums: dict[str, Column] = {}
-    if used:
-        first = {"cy": F.first("y").over(window)}
-        first.update({f"cx{i}": F.first(f"x{i}").over(window) for i in used})
-        known = known.withColumns(first)
-        dy = F.when(event, F.col("y") - F.col("cy"))
-        dx = {i: F.when(event, F.col(f"x{i}") - F.col(f"cx{i}")) for i in used}
-        sums["sy"] = dy
-        for i in used:
-            sums[f"sx{i}"], sums[f"sxy{i}"] = dx[i], dx[i] * dy
-        for index, (i, j) in enumerate(_pair_names(len(columns))):
-            if i in dx and j in dx:
-                sums[f"sxx{index}"] = dx[i] * dx[j]
-        known = known.withColumns(
-            {name: F.coalesce(F.sum(e).over(window), F.lit(0.0)) for name, e in sums.items()}
-        )
-    run = _forecast_group(models, columns, min_train)
-    return known.groupBy(SERIES).applyInPandas(run, _FORECAST_SCHEMA)
+def _solved_forecasts(line: DataFrame, models, columns: Sequence[str], min_train: int) -> DataFrame:
+    """Blocks of the timeline summed up, their sums chained by series, and forecasts made block by block."""
+    decays = sorted({m.weight for m in models if m.kind == "smoothing"})
+    tasks = int(line.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"x{i}" for i in range(len(columns))]
+    order = ["series", "_block", "_at", "_kind", "_origin"]
+    line = line.select(F.col(SERIES).cast("string").alias("series"), "_block", "_at", "_kind", "_origin", "_target", "y", *names, "_selected")
+    dealt = line.repartition(tasks, "series", "_block").sortWithinPartitions(*order)
+    summaries = dealt.mapInArrow(_summaries(len(columns), decays), _STATE)
+    chained = summaries.repartition(tasks, "series").sortWithinPartitions("series", "_block")
+    states = chained.mapInArrow(_chain(len(columns), decays), _STATE)
+    begun = states.withColumns({"_kind": F.lit(_BEGIN)})
+    rows = line.withColumn("_state", F.lit(None).cast("array<double>")).unionByName(begun, allowMissingColumns=True)
+    rows = rows.repartition(tasks, "series", "_block").sortWithinPartitions("series", "_block", F.asc_nulls_first("_at"), "_kind", "_origin")
+    return rows.mapInArrow(_block_forecasts(models, columns, decays, min_train), _FORECAST_SCHEMA)
 
 
 def walk_forward(data: DataFrame, model: ModelSpec, **options) -> DataFrame:

@@ -22,19 +22,26 @@ def floor_to_step(ts: Column, step: int) -> Column:
     return F.timestamp_micros(us - F.pmod(us, F.lit(step)))
 
 
-def last_price(ticks: DataFrame, ts: str, price: str, ordinal: Sequence[str]) -> Column:
-    """Price of the latest tick. Ticks with the same time are ordered by ``ordinal``.
+#: Digits of a whole-number ordinal that fit one key beside the time inside a bin of at most a day.
+ORDINAL_DIGITS = 26
 
-    Time and a whole-number ordinal fit one decimal, a fixed-width buffer that lets Spark hash; several
-    ordinal columns, or text, make it sort.
+
+def last_price(ticks: DataFrame, ts: str, price: str, ordinal: Sequence[str], step: int) -> Column:
+    """Price of the latest tick of a bin of ``step`` microseconds. Ticks with the same time are ordered by ``ordinal``.
+
+    The time inside the bin and a whole-number ordinal (an integer or a decimal of up to 26 digits) fit one decimal, a
+    fixed-width buffer that lets Spark hash. Several ordinal columns, or text, make it sort. A null ordinal comes first.
     """
     if not ordinal:
         return F.max_by(price, ts)
-    if len(ordinal) == 1 and dict(ticks.dtypes)[ordinal[0]] in ("tinyint", "smallint", "int", "bigint"):
-        wide = T.DecimalType(38, 0)
-        place = F.coalesce(F.col(ordinal[0]), F.lit(-(2**63))).cast(T.DecimalType(19, 0))
-        key = F.unix_micros(F.col(ts).cast("timestamp")).cast(T.DecimalType(18, 0)) * F.lit(Decimal(10**19))
-        return F.max_by(price, (key + place).cast(wide))
+    kind = ticks.schema[ordinal[0]].dataType
+    if isinstance(kind, T.IntegralType):
+        kind = T.DecimalType(19, 0)
+    if len(ordinal) == 1 and isinstance(kind, T.DecimalType) and kind.scale == 0 and kind.precision <= ORDINAL_DIGITS:
+        digits = kind.precision
+        place = F.coalesce(F.col(ordinal[0]).cast(T.DecimalType(digits, 0)) + F.lit(Decimal(10**digits)), F.lit(Decimal(0)))
+        since = F.pmod(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(step)).cast(T.DecimalType(11, 0))
+        return F.max_by(price, (since * F.lit(Decimal(2 * 10**digits)) + place).cast(T.DecimalType(38, 0)))
     return F.max(F.struct(ts, *ordinal, price)).getField(price)
 
 
@@ -65,7 +72,7 @@ def last_tick_sample(
         ticks.withColumn("bin", floor_to_step(F.col(ts), grid))
         .groupBy("bin", *keys)  # the time first: where Spark sorts, it sorts by a number
         .agg(
-            last_price(ticks, ts, price, ordinal).alias(price),
+            last_price(ticks, ts, price, ordinal, grid).alias(price),
             F.min(ts).alias("first_ts"),
             F.max(ts).alias("last_ts"),
         )

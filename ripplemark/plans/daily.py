@@ -103,6 +103,12 @@ def keep_complete(
     return kept
 
 
+def daily_rows(sessions: DataFrame) -> DataFrame:
+    """Kept sessions as rows of the daily table: ``DAILY_COLUMNS``."""
+    logs = {f"log_{name}": F.ln(name) for name in VARIANCE_COLUMNS}
+    return sessions.withColumnRenamed("session_date", "date").withColumns(logs).select(*DAILY_COLUMNS)
+
+
 def build_daily(
     ticks: DataFrame,
     *,
@@ -124,8 +130,7 @@ def build_daily(
     kept = keep_complete(
         sessions, min_session_hours=min_session_hours, edge_tolerance_hours=edge_tolerance_hours
     )
-    logs = {f"log_{name}": F.ln(name) for name in VARIANCE_COLUMNS}
-    return kept.withColumnRenamed("session_date", "date").withColumns(logs).select(*DAILY_COLUMNS)
+    return daily_rows(kept)
 
 
 def merge_sessions(tables: DataFrame) -> DataFrame:

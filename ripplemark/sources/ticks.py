@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,28 +11,36 @@ from pyspark.sql import functions as F
 from ripplemark.checks import DataError, require_columns
 from ripplemark.functions.numeric import is_positive, spread_bps
 from ripplemark.operators.percentiles import exact_percentiles
+from ripplemark.sources.numbers import claim_number
 
 #: Columns that order ticks of the same time: later delivery, then later file, then later row. The sink below
 #: numbers its deliveries and their rows; of other files, the one that was written later is the later one.
 FILE_ORDINAL = ("delivery", "file_name", "row_index")
 
+#: The same order in one whole number, for ticks of the sink: 9 digits of the delivery, 17 of the place in it.
+ARRIVAL = "arrival"
+
 SPREAD_LEVELS = (0.5, 0.99)
 
 
 def read_ticks(
-    spark: SparkSession, paths: str | Sequence[str], *, asset: str | None = None, with_ordinal: bool = True
+    spark: SparkSession, paths: str | Sequence[str], *, asset: str | None = None, with_ordinal: bool = True,
+    only: Column | None = None,
 ) -> DataFrame:
     """Ticks of Parquet files: ``asset, ts, mid`` and, for repeated times, ``FILE_ORDINAL``.
 
-    Only these columns are read. Ticks delivered by several files stay in the scan; the
+    Ticks of the sink also have ``ARRIVAL``; ``tick_ordinal`` names what orders them best. Only these columns are read. Ticks delivered by several files stay in the scan; the
     sampling keeps the last one of each time, so they need no shuffle of their own.
-    ``asset`` names the files' asset, or picks one where the table has the column.
+    ``asset`` names the files' asset, or picks one where the table has the column; ``only`` is a condition on the files'
+    own columns, those in their paths included.
     """
     sources = [paths] if isinstance(paths, str) else sorted(set(paths))
     if not sources:
         raise ValueError("at least one tick file is required")
     scan = spark.read.option("mergeSchema", "false").parquet(*sources)
     require_columns(scan, ["ts", "mid"], "tick files")
+    if only is not None:
+        scan = scan.where(only)
     if "asset" in scan.columns:
         name = F.col("asset")
         if asset is not None:
@@ -43,7 +51,9 @@ def read_ticks(
         raise ValueError("tick files have no asset column: name the asset")
     ordinal = []
     if with_ordinal and {"delivery", "position"} <= set(scan.columns):
-        ordinal = [F.col("delivery"), F.lit("").alias("file_name"), F.col("position").alias("row_index")]
+        number = F.col("delivery").cast("decimal(9,0)") * F.lit(Decimal(10**17)) + F.col("position").cast("decimal(17,0)")
+        ordinal = [F.col("delivery"), F.lit("").alias("file_name"), F.col("position").alias("row_index"),
+                   number.cast("decimal(26,0)").alias(ARRIVAL)]
     elif with_ordinal:
         ordinal = [
             F.unix_micros("_metadata.file_modification_time").alias("delivery"),
@@ -56,6 +66,11 @@ def read_ticks(
     )
 
 
+def tick_ordinal(ticks: DataFrame) -> tuple[str, ...]:
+    """The columns that order ticks of one time: one number where there is one, which Spark hashes by instead of sorting."""
+    return (ARRIVAL,) if ARRIVAL in ticks.columns else FILE_ORDINAL
+
+
 def tick_violations(ticks: DataFrame, keys: Sequence[str] = ("asset",)) -> DataFrame:
     """Rows, and rows without a time or a finite positive mid price, per asset."""
     return ticks.groupBy(*keys).agg(
@@ -90,7 +105,7 @@ def enforce_file_order(ticks: DataFrame) -> None:
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet files below a path, from their directory entries: one row per file, none opened.
 
-    ``asset`` comes from the directory name and is null where files are not partitioned by it.
+    ``asset`` and ``date`` come from the directory names and are null where files are not partitioned by them.
     """
     files = (
         spark.read.format("binaryFile")
@@ -99,8 +114,9 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
     )
     name = F.regexp_extract("path", "/asset=([^/]+)/", 1)
+    day = F.regexp_extract("path", r"/date=(\d{4}-\d\d-\d\d)/", 1)
     return files.select(
-        F.when(name != "", F.url_decode(name)).alias("asset"),
+        F.when(name != "", F.url_decode(name)).alias("asset"), F.when(day != "", day).cast("date").alias("date"),
         "path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"),
     )
 
@@ -175,11 +191,13 @@ def unsorted_ticks(
 
 
 def write_ticks(
-    ticks: DataFrame, path: str, *, ordinal: Sequence[str] = (), mode: str = "append", files_per_day: int = 1
+    ticks: DataFrame, path: str, *, ordinal: Sequence[str] = (), mode: str = "append", files_per_day: int = 1,
+    owner: str | None = None,
 ) -> None:
     """Write ticks partitioned by asset and UTC date, sorted by time within each file.
 
-    Each call is a delivery with a number (the time of the call), and each row has its place in it: by
+    Each call is a delivery with the next number of the table (a call for the same ``owner`` keeps its number, so
+    that it may be repeated), and each row has its place in it: by
     ``ordinal`` among rows of one time, else as the rows come. Readers let the later delivery win, then the
     later place. A day of one asset goes to ``files_per_day`` tasks, split by time of day, so that a liquid
     asset does not end in one writer. Overwriting replaces only the partitions that are written.
@@ -190,7 +208,7 @@ def write_ticks(
     else:
         place = F.monotonically_increasing_id()
     dated = ticks.withColumn("position", place).withColumns(
-        {"delivery": F.lit(time.time_ns() // 1000).cast("bigint"), "date": F.to_date("ts")}
+        {"delivery": F.lit(claim_number(ticks.sparkSession, f"{path}/_deliveries", owner)), "date": F.to_date("ts")}
     )
     (
         dated.repartition("asset", "date", slot)

@@ -1,4 +1,4 @@
-"""Daily variances from tick files as they arrive.
+"""Daily variances from tick files as they arrive: as a stream of closed sessions, or merged into the daily table.
 
 Event time is the session wall clock (New York time moved so that a session is a calendar
 day), so a session is one day window. Wall time repeats an hour when summer time ends, so
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql import functions as F
 
 from ripplemark.functions.numeric import is_positive
@@ -24,7 +25,9 @@ from ripplemark.functions.sessions import (
     step_micros,
 )
 from ripplemark.operators.sampling import floor_to_step, last_price
-from ripplemark.plans.daily import DAILY_COLUMNS, SAMPLING_FREQUENCY, VARIANCE_COLUMNS
+from ripplemark.plans.daily import DAILY_COLUMNS, SAMPLING_FREQUENCY, VARIANCE_COLUMNS, valid_ticks
+from ripplemark.sources.daily_table import Layout, refresh_daily
+from ripplemark.sources.ticks import write_ticks
 
 DELAY = "2 hours"
 
@@ -56,7 +59,7 @@ def stream_daily(
         .withWatermark("wall", delay)
         .withColumn("bin", floor_to_step(F.col("ts"), step))
         .groupBy("asset", F.window("wall", "1 day").alias("session"), "bin")
-        .agg(last_price(ticks, "ts", "mid", ordinal).alias("mid"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .agg(last_price(ticks, "ts", "mid", ordinal, step).alias("mid"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     )
     sessions = bins.groupBy("asset", F.window(F.window_time("session"), "1 day").alias("day")).agg(
         F.array_sort(F.collect_list(F.struct("bin", F.ln("mid").alias("lp")))).alias("path"),
@@ -85,3 +88,21 @@ def stream_daily(
     for name in VARIANCE_COLUMNS:
         kept = kept.where(F.col(name) > 0)
     return kept.withColumns({f"log_{name}": F.ln(name) for name in VARIANCE_COLUMNS}).select(*DAILY_COLUMNS)
+
+
+def stream_into_table(
+    ticks: DataFrame, layout: Layout, *, name: str, ordinal: Sequence[str] = (), frequency: str = SAMPLING_FREQUENCY, **options
+) -> DataStreamWriter:
+    """A stream of ticks into the tick table and the daily table on disk; start it with a checkpoint location.
+
+    Each batch is a delivery, and the sessions its files touch are recomputed whole: a late tick corrects its day, however
+    late it is, sessions that the data's edges cut are left out until they are whole, and there is no state that grows.
+    A batch that is repeated after a failure keeps its number, so it changes nothing. ``name`` tells streams into one
+    table apart and stays the same when a stream is started again. Ticks without a time or a positive price are dropped.
+    """
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        write_ticks(valid_ticks(batch), layout.ticks, ordinal=ordinal, owner=f"{name}-{number}")
+        refresh_daily(batch.sparkSession, layout, frequency=frequency, **options)
+
+    return ticks.writeStream.foreachBatch(deliver)
