@@ -1,11 +1,14 @@
-"""A bigram language model held in a log-frequency Bloom filter, and the scores of texts by it.
+"""A bigram language model held in log-frequency Bloom filters, and the scores of texts by it.
 
 Counts are quantised to levels, level q for counts from 2^(q-1) to 2^q - 1, and an n-gram of level q is in the filter
-once for each level up to q; a reader probes level after level until one is missing. The filter has 12 bits an entry,
-in segments of 128 KB. Segments are built each by one task, and broadcast in groups of bounded size: with more than
-one group, texts pass by the groups one after another and carry the levels found so far.
+once for each level up to q; a reader probes level after level until one is missing. A filter has 12 bits an entry,
+in segments of 128 KB, each built by one task.
 
-All words and all pairs are in the filter. Exact counts, for the base score, are joined by word; the most frequent ones are looked up before the shuffle.
+Words have a filter of their own, which is broadcast whole; pairs have theirs broadcast in groups of segments of bounded
+size, a pass over the texts for each. A token's chance needs its pair, its word and the word before, so it is found wholly in the
+pass that has its pair; a pass hands on one sum per text, and the sums of all passes add up.
+
+All words and all pairs are in the filters. Exact counts, for the base score, are joined by word; the most frequent ones are looked up before the shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from ripplemark.llm.token_ids import slices
 
 #: Bits of a segment, bits per entry, probes per entry.
 SEGMENT_BITS, ENTRY_BITS, PROBES = 1 << 20, 12, 6
-#: Segments broadcast at a time (128 MB).
+#: Segments of pairs broadcast at a time (128 MB).
 GROUP = 1024
 #: Words whose exact counts are looked up without a shuffle (2 MB).
 HEAD = 131_072
@@ -88,7 +91,7 @@ def counts_of(level: np.ndarray) -> np.ndarray:
 
 def _start(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """First place and stride of the probes for a key at a level."""
-    start = _mixed(key + np.uint64(level) * _A)
+    start = _mixed(key + np.uint64(level * int(_A) & (1 << 64) - 1))
     return start, (start >> np.uint64(20)) | np.uint64(1)
 
 
@@ -107,17 +110,22 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filter:
-    """Some consecutive segments of the filter."""
+    """Some consecutive segments of a filter."""
 
     def __init__(self, bits: np.ndarray, first: int, n_segments: int):
         self.bits, self.first, self.n_segments = bits, first, n_segments
+        self.held = len(bits) * 8 // SEGMENT_BITS
 
-    def levels(self, key: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
-        """Level of each key; keys of segments that aren't here keep what is ``known``."""
-        found = np.zeros(len(key), dtype=np.uint8) if known is None else known.copy()
+    def has(self, key: np.ndarray) -> np.ndarray:
+        """Whether the segment of each key is here."""
         segment = (key.view(np.int64) >> 1) % self.n_segments - self.first
-        here = np.flatnonzero((segment >= 0) & (segment < len(self.bits) * 8 // SEGMENT_BITS))
-        base = segment[here] * (SEGMENT_BITS // 8)
+        return (segment >= 0) & (segment < self.held)
+
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """Level of each key, whose segments are all here."""
+        found = np.zeros(len(key), dtype=np.uint8)
+        here = np.arange(len(key))
+        base = ((key.view(np.int64) >> 1) % self.n_segments - self.first) * (SEGMENT_BITS // 8)
         q = 1
         while len(here):
             there = np.arange(len(here))
@@ -133,37 +141,54 @@ class Filter:
 
 
 class Model:
-    """Counts of the training texts: the filter's segments and exact counts of words."""
+    """Counts of the training texts: the filters' segments and exact counts of words."""
 
     def __init__(self, docs: DataFrame):
         counts = map_batches(docs.select("text"), _grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         self.counts = cut(counts)
-        word = F.col("key").bitwiseAND(F.lit(1)) == 0
+        self.is_word = F.col("key").bitwiseAND(F.lit(1)) == 0
         level = F.floor(F.log2(F.col("n")) + 1e-12) + 1
-        total = self.counts.agg(F.sum(F.when(word, F.col("n"))), F.sum(word.cast("long")), F.sum(level),
-                                F.sum(F.when(~word, F.col("n") - 1))).first()
-        self.tokens, self.distinct, entries, again = (int(x or 0) for x in total)
+        total = self.counts.agg(
+            F.sum(F.when(self.is_word, F.col("n"))), F.sum(self.is_word.cast("long")), F.sum(F.when(self.is_word, level)),
+            F.sum(F.when(~self.is_word, level)), F.sum(F.when(~self.is_word, F.col("n") - 1))).first()
+        self.tokens, self.distinct, word_entries, pair_entries, again = (int(x or 0) for x in total)
         #: how often a training token follows its forerunner not for the first time
         self.weight = min(max(again / max(self.tokens, 1), WEIGHT[0]), WEIGHT[1])
-        self.n_segments = max(1, -(-entries * ENTRY_BITS // SEGMENT_BITS))
-        self.word_counts = self.counts.where(word)
+        self.word_segments, self.pair_segments = (max(1, -(-n * ENTRY_BITS // SEGMENT_BITS)) for n in (word_entries, pair_entries))
+        self.word_counts = self.counts.where(self.is_word)
 
-    def segments(self) -> DataFrame:
+    def _segments(self, counts: DataFrame, n_segments: int) -> DataFrame:
+        """The segments in order, range after range."""
         shuffles = int(self.counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = self.counts.withColumn("segment", F.pmod(F.shiftright("key", 1), F.lit(self.n_segments)).cast("int"))
-        return cut(dealt.repartition(min(self.n_segments, max(shuffles, 1)), "segment").sortWithinPartitions("segment")
+        parts = min(n_segments, max(shuffles, 1))
+        dealt = counts.withColumn("segment", F.pmod(F.shiftright("key", 1), F.lit(n_segments)).cast("int"))
+        place = F.floor(F.col("segment").cast("long") * parts / n_segments).cast("int")
+        return cut(dealt.repartitionById(parts, place).sortWithinPartitions("segment")
                    .mapInArrow(_segments, "segment int, bits binary"))
 
-    def groups(self) -> Iterator[tuple[np.ndarray, int, int]]:
-        """What makes a filter of each group of segments."""
-        made = self.segments()
-        for first in range(0, self.n_segments, GROUP):
-            some = made.where(F.col("segment").between(first, first + GROUP - 1)).collect()
-            bits = np.zeros(min(GROUP, self.n_segments - first) * SEGMENT_BITS // 8, dtype=np.uint8)
-            for segment, raw in some:
-                at = (segment - first) * SEGMENT_BITS // 8
-                bits[at : at + len(raw)] = np.frombuffer(bytes(raw), dtype=np.uint8)
-            yield bits, first, self.n_segments
+    def _groups(self, counts: DataFrame, n_segments: int, most: int) -> Iterator[tuple[np.ndarray, int, int]]:
+        """What makes a filter of each ``most`` segments, filled as they arrive: the driver holds one group at a time."""
+        size = SEGMENT_BITS // 8
+        first, bits = 0, np.zeros(min(most, n_segments) * size, dtype=np.uint8)
+        for segment, raw in self._segments(counts, n_segments).toLocalIterator():
+            while segment >= first + most:
+                yield bits, first, n_segments
+                first += most
+                bits = np.zeros(min(most, n_segments - first) * size, dtype=np.uint8)
+            at = (segment - first) * size
+            bits[at : at + size] = np.frombuffer(raw, dtype=np.uint8)
+        while True:
+            yield bits, first, n_segments
+            first += most
+            if first >= n_segments:
+                return
+            bits = np.zeros(min(most, n_segments - first) * size, dtype=np.uint8)
+
+    def words(self) -> tuple[np.ndarray, int, int]:
+        return next(self._groups(self.word_counts, self.word_segments, self.word_segments))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, int, int]]:
+        return self._groups(self.counts.where(~self.is_word), self.pair_segments, GROUP)
 
     def head(self) -> tuple[np.ndarray, np.ndarray]:
         rows = most_frequent(self.word_counts, "n", HEAD).select("key", "n").toArrow()
@@ -187,37 +212,39 @@ def _log_probability(tokens: Tokens, word: np.ndarray, pair: np.ndarray, n: int,
     return np.log10(weight * c_pair / np.maximum(c_before, 1) + (1 - weight) * own)
 
 
-def _pass(batches: Iterator[pa.RecordBatch], shared, exact, n: int, v: int, weight: float, last: bool) -> Iterator[pa.RecordBatch]:
-    held = Filter(*shared.value)  # plain values are broadcast, as workers needn't have this package
+def _sums(tokens: Tokens, words: Filter, pairs: Filter, n: int, v: int, weight: float) -> np.ndarray:
+    """Per text, the log10 chances of the tokens whose pair is in this part of the filter."""
+    word = words.levels(tokens.distinct)[tokens.codes]  # each distinct word once
+    here = pairs.has(tokens.pairs)
+    pair = np.zeros(len(word), dtype=np.uint8)
+    pair[here] = pairs.levels(tokens.pairs[here])
+    logs = _log_probability(tokens, word, pair, n, v, weight) if len(word) else np.zeros(0)
+    return tokens.summed(np.where(here, logs, 0.0))
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch], word_bits, pair_bits, exact, n: int, v: int, weight: float) -> Iterator[pa.RecordBatch]:
+    words, pairs = Filter(*word_bits.value), Filter(*pair_bits.value)  # plain values are broadcast, as workers needn't have this package
     known, counts = exact.value
     for batch in (some for whole in batches for some in slices(whole)):
         tokens = Tokens(texts(batch))
-        known_levels = [np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.uint8)
-                        for name in ("word_levels", "pair_levels")]
-        if len(known_levels[0]):
-            word = held.levels(tokens.words, known_levels[0])
-        else:  # each distinct word once
-            word = held.levels(tokens.distinct)[tokens.codes]
-        found = [word, held.levels(tokens.pairs, known_levels[1] if len(known_levels[1]) else None)]
-        if not last:
-            cuts = tokens.offsets
-            raw = [[x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), batch.column("text"),
-                 pa.array(raw[0], pa.binary()), pa.array(raw[1], pa.binary())],
-                names=["doc_id", "held_out", "text", "word_levels", "pair_levels"])
-            continue
         at = np.minimum(np.searchsorted(known, tokens.words), max(len(known) - 1, 0))
         in_head = known[at] == tokens.words if len(known) else np.zeros(len(tokens.words), dtype=bool)
         logs = np.where(in_head, np.log10(counts[at] + 1.0), 0.0) if len(known) else np.zeros(len(tokens.words))
-        score = tokens.summed(_log_probability(tokens, *found, n, v, weight)) if len(tokens.words) else np.zeros(0)
         tail = np.flatnonzero(~in_head)
         ends = np.searchsorted(tail, tokens.offsets).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(np.diff(tokens.offsets)),
-             pa.array(tokens.summed(in_head.astype(np.int64))), pa.array(tokens.summed(logs)), pa.array(score),
+            [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), batch.column("digest"), pa.array(np.diff(tokens.offsets)),
+             pa.array(tokens.summed(in_head.astype(np.int64))), pa.array(tokens.summed(logs)),
+             pa.array(_sums(tokens, words, pairs, n, v, weight)),
              pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.words[tail].view(np.int64)))],
-            names=["doc_id", "held_out", "n_tokens", "head_known", "head_logs", "score", "tail"])
+            names=["doc_id", "held_out", "digest", "n_tokens", "head_known", "head_logs", "score", "tail"])
+
+
+def _next_pass(batches: Iterator[pa.RecordBatch], word_bits, pair_bits, n: int, v: int, weight: float) -> Iterator[pa.RecordBatch]:
+    words, pairs = Filter(*word_bits.value), Filter(*pair_bits.value)
+    for batch in (some for whole in batches for some in slices(whole)):
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("digest"), pa.array(_sums(Tokens(texts(batch)), words, pairs, n, v, weight))], names=["digest", "part"])
 
 
 def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -227,22 +254,40 @@ def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     empty text is its end). base_score adds log10((c + 1) / (N + V + 1)) over tokens, with exact counts of the training
     tokens; score is the bigram model's log10 probability of the text. Without any training row N = V = 0, and both
     are over nothing known. Repeated rows count and are scored as often as they are there.
+
+    The first pass gives all rows; each further one, if pairs need more than one group, gives its sum for each different
+    text, found again by a digest of the text.
     """
     context = docs.sparkSession.sparkContext
-    own = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    digest = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+    own = docs.select("doc_id", held_out.alias("held_out"), text.alias("text"), digest.alias("digest"))
     model = Model(own.where(~F.col("held_out")))
     n, v = model.tokens, model.distinct
-    exact = context.broadcast(model.head())
-    passing = own.select("*", F.lit(b"").alias("word_levels"), F.lit(b"").alias("pair_levels"))
-    groups = -(-model.n_segments // GROUP)
-    for k, held in enumerate(model.groups()):
-        last = k == groups - 1
-        step = partial(_pass, shared=context.broadcast(held), exact=exact, n=n, v=v, weight=model.weight, last=last)
-        passing = cut(passing.mapInArrow(step, (
-            "doc_id long, held_out boolean, n_tokens long, head_known long, head_logs double, score double, "
-            "tail array<long>") if last else
-            "doc_id long, held_out boolean, text string, word_levels binary, pair_levels binary"))
-    rows = passing.withColumn("row", F.monotonically_increasing_id())
+    word_bits, exact = context.broadcast(model.words()), context.broadcast(model.head())
+    rows = None
+    parts: list[DataFrame] = []
+    for group in model.pairs():
+        pair_bits = context.broadcast(group)
+        del group
+        step = {"word_bits": word_bits, "pair_bits": pair_bits, "n": n, "v": v, "weight": model.weight}
+        if rows is None:
+            rows = cut(own.mapInArrow(partial(_first_pass, exact=exact, **step), (
+                "doc_id long, held_out boolean, digest binary, n_tokens long, head_known long, head_logs double, score double, "
+                "tail array<long>")))
+        else:
+            parts.append(cut(own.select("digest", "text").mapInArrow(partial(_next_pass, **step), "digest binary, part double")
+                             .dropDuplicates(["digest"])))
+        pair_bits.destroy()
+    word_bits.destroy()
+    exact.destroy()
+    if parts:
+        every = parts[0]
+        for more in parts[1:]:
+            every = every.unionByName(more)
+        rows = rows.join(every.groupBy("digest").agg(F.sum("part").alias("part")), "digest").withColumn("score", F.col("score") + F.col("part"))
+        rows = cut(rows)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     tail = rows.select("row", F.explode("tail").alias("key"))
     found = (tail.join(model.word_counts, "key").groupBy("row")
              .agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("tail_logs")))
