@@ -4,8 +4,8 @@ Pieces are dealt into parts of a bounded number of pieces. Each part is packed b
 dual-feasible functions bound from below how many sequences its pieces need. While
 all parts together use more than the bound of all pieces, they exchange pieces: a part above its own bound gives up all
 sequences that have room left, any other part its loose ends, the sequences with a sixteenth of their room. What is
-given up is dealt anew, into parts twice as large, and packed again, until the bound is met, one part is left, or a
-round saves nothing. Sequences without room never change.
+given up is dealt anew, into parts twice as large for four rounds, and packed again, until the bound is met, one part is
+left, or a round saves nothing. Sequences without room never change.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from ripplemark.llm.shared import cut, map_batches, sorted_groups, texts
 from ripplemark.llm.token_ids import WordIds, slices
 
-#: Pieces of one part in the first round, about; sixteen times as many in the last one.
-PART = 16_384
+#: Pieces of one part in the first round, about, and how often that number is doubled; a task holds one part.
+PART, DOUBLED = 16_384, 4
 
 
 def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
@@ -110,8 +111,7 @@ def _packed(pieces: DataFrame, round_no: int, parts: int, capacity: int) -> Data
     return cut(packed.withColumn("round", F.lit(round_no)))
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 1, part: int = PART,
-         rounds: int = 4) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 1, part: int = PART) -> DataFrame:
     """One row per piece of ``docs(doc_id, text)``: where it lies.
 
     A document is its ids by the tokenizer file and ``end_id``; a null or empty text is the end id alone. Only a
@@ -133,14 +133,14 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int =
     least = lower_bound(lengths["length"].to_numpy(), capacity, lengths["count"].to_numpy())
     used = state.select("part", "bin").distinct().count()
     loose = (F.col("room") > 0) & ((F.col("gap") > 0) | (F.col("room") >= capacity // 16))
-    for round_no in range(1, rounds + 1):
+    for round_no in count(1):
         if used <= least:
             break
         use = (state.where(loose).groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("bin").alias("bins"))
                .agg(F.sum("n"), F.sum("bins"), F.count("*")).first())
         if not use[0] or use[2] < 2:
             break
-        again = _packed(state.where(loose).select(*pieces.columns), round_no, max(1, -(-use[0] // (part << round_no))), capacity)
+        again = _packed(state.where(loose).select(*pieces.columns), round_no, max(1, -(-use[0] // (part << min(round_no, DOUBLED)))), capacity)
         now = again.select("part", "bin").distinct().count()
         if now >= use[1]:
             break
@@ -149,5 +149,5 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int =
         state = again
     for done in settled:
         state = state.unionByName(done)
-    name = F.col("round") * F.lit(1 << 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")
+    name = F.col("round") * F.lit(1 << 50) + F.col("part") * F.lit(1 << 20) + F.col("bin")
     return state.select("doc_id", "piece", "start", "length", "ids_crc32", name.alias("sequence_id"), "offset", "gap")
