@@ -12,6 +12,7 @@ Items go out in blocks of a bounded number of windows, one pass over the documen
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -24,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.shared import map_batches, texts, words
+from ripplemark.llm.shared import cut, map_batches, texts, words, worker_state
 from ripplemark.llm.token_ids import slices
 
-#: Words of a window; shorter items are one window, and items of fewer words than LEAST are not searched.
+#: Words of a window; shorter items are one window, and items of fewer words than LEAST are found word for word only.
 WINDOW, LEAST = 8, 4
 #: Words that are no placeholder which a match of templates needs, and a window to be probed. Items with too few such
 #: windows to be sure of a hit are probed by all their windows that have one such word.
@@ -133,7 +134,7 @@ class Templates:
 class Block:
     """Some items as tables of window hashes."""
 
-    def __init__(self, ids: list[int], items: list[str]):
+    def __init__(self, ids: list[int | None], items: list[str], least: int = LEAST):
         found = Templates(pa.array(items, pa.large_string()))
         self.ids, self.offsets, self.plain, self.kinds = ids, found.offsets, found.plain, found.kinds
         self.lengths = np.diff(found.offsets)
@@ -142,7 +143,7 @@ class Block:
         owner = np.repeat(np.arange(len(ids)), self.lengths)
         placed = np.concatenate(([0], np.cumsum(found.kinds != 0)))
         self.tables: dict[int, tuple] = {}
-        widths = {int(min(n, WINDOW)) for n in self.lengths if n >= LEAST}
+        widths = {int(min(n, WINDOW)) for n in self.lengths if n >= max(least, 1)}
         for width in widths:
             starts, plain = found.windows(width)
             own = self.lengths[owner[starts]]
@@ -155,7 +156,7 @@ class Block:
             dense = np.bincount(item[rich], minlength=len(ids)) <= (1 - LEAST_TEMPLATE) * self.n_windows + 1e-6
             probed = np.flatnonzero(rich | dense[item])
             keys, at = [plain], [np.arange(len(starts))]
-            for some, h, literal in found.readings(starts[probed], width):
+            for some, h, literal in found.readings(starts[probed], width) if width >= LEAST else ():
                 keys.append(h[literal > 0])
                 at.append(probed[some[literal > 0]])
             keys, at = np.concatenate(keys), np.concatenate(at)
@@ -243,7 +244,8 @@ def _matches(text: pa.Array, block: Block) -> Iterator[tuple[int, int, float, in
     for width, (keys, items, places, quick) in block.tables.items():
         starts, plain = found.windows(width)
         probes = [(True, np.arange(len(starts)), plain)]
-        for exact, which, h in chain(probes, ((False, some, h) for some, h, _ in found.readings(starts, width, block.vocabulary))):
+        readings = found.readings(starts, width, block.vocabulary) if width >= LEAST else ()
+        for exact, which, h in chain(probes, ((False, some, h) for some, h, _ in readings)):
             likely = np.flatnonzero(quick[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
             first = np.searchsorted(keys, h[likely], side="left")
             last = np.searchsorted(keys, h[likely], side="right")
@@ -273,43 +275,71 @@ def _matches(text: pa.Array, block: Block) -> Iterator[tuple[int, int, float, in
         yield row, item, min(share, 1.0), longest, first, exact
 
 
-def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    block = Block(*shared.value)  # plain values are broadcast, as workers needn't have this package
+def _search(batches: Iterator[pa.RecordBatch], shared, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    number, *parts = shared.value  # plain values are broadcast, as workers needn't have this package
+    kept = worker_state(("benchmark block",), dict)  # a worker keeps the tables of the last block
+    if number not in kept:
+        kept.clear()
+        kept[number] = Block(*parts)
+    block = kept[number]
     for batch in (some for whole in batches for some in slices(whole)):
         keys = batch.column("doc_id").to_pylist()
-        rows = [(keys[row], block.ids[item], *rest) for row, item, *rest in _matches(texts(batch), block)]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())
+        found = list(_matches(texts(batch), block))
+        rows = [(keys[row], block.ids[item], *rest, int(block.lengths[item])) for row, item, *rest in found]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+        at = pa.array([row for row, *_ in found], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["doc_id", "item_id", "share", "longest_run", "first_word", "exact"])
+            [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *(batch.column(c).take(at) for c in keep)],
+            names=["doc_id", "item_id", "share", "longest_run", "first_word", "exact", "item_words", *keep])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        held = Block(batch.column("item_id").to_pylist(), batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([sum(len(t[0]) for t in held.tables.values())], pa.int64())], names=["n"])
+_LEAKS = ("doc_id long, item_id long, share double, longest_run long, first_word long, exact boolean, item_words long")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, share, longest_run, first_word, exact) for the rows of ``docs`` that hold an item.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block: int = BLOCK, least_words: int = LEAST,
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, item_id, share, longest_run, first_word, exact, item_words, and the columns ``keep``) for the rows of ``docs`` that hold an item.
 
     An item of ``benchmark(item_id, text)`` is in a document if half of its 8-word windows are there word for word, or
     a run of 13 of its words, or six tenths of its windows as templates with consistent values. share is that of its
     windows, longest_run the longest exact run in words, first_word where the match begins, and exact is false for
-    re-parameterised items. Case, punctuation and line ends don't count. Items of 4 to 7 words are one window; null
-    texts, and items of fewer words, match nothing. Rows that repeat a doc_id each give their own rows; a row without
-    doc_id gives rows without one.
+    re-parameterised items. Case, punctuation and line ends don't count. Items of 4 to 7 words are one window. Items of
+    fewer words, searched if ``least_words`` says so, are one that is only found word for word; item_words, the number of
+    an item's words, tells them apart.
+    Items without a word, and null texts, match nothing. Items that repeat an item_id, or have none, are searched each, and
+    two items with one text both match. Where an item lies in a document more than once, the place with the largest share
+    counts, then that with the longest run, then the later one. Rows that repeat a doc_id each give their own rows; a row
+    without doc_id gives rows without one.
+
+    Items are read a partition at a time; each block's matches are stored before the next block goes out.
     """
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
-    total = map_batches(items, _entries, "n long").agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // block))
-    found = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        held = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        part = map_batches(
-            docs.select("doc_id", "text"), partial(_search, shared=held),
-            "doc_id long, item_id long, share double, longest_run long, first_word long, exact boolean")
-        found = part if found is None else found.unionByName(part)
+    own = docs.select("doc_id", "text", *keep)
+    kind = _LEAKS + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    context = docs.sparkSession.sparkContext
+    results: list[DataFrame] = []
+    ids: list[int | None] = []
+    held: list[str] = []
+    n_words = 0
+
+    def searched() -> DataFrame:
+        sent = context.broadcast((uuid.uuid4().hex, ids, held, least_words))
+        found = cut(map_batches(own, partial(_search, shared=sent, keep=keep), kind))
+        sent.destroy()
+        return found
+
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
+    for item_id, text in items.toLocalIterator():
+        size = 2 * len(text.split())  # windows, in the readings that most words have
+        if held and n_words + size > block:
+            results.append(searched())
+            ids, held, n_words = [], [], 0
+        ids.append(item_id)
+        held.append(text)
+        n_words += size
+    if held or not results:
+        results.append(searched())
+    found = results[0]
+    for more in results[1:]:
+        found = found.unionByName(more)
     return found
