@@ -71,7 +71,7 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], width: int, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     factors = _multipliers()
     for batch in (some for whole in batches for some in slices(whole, most=4 << 20)):
         sets = shingle_sets(texts(batch), width)
@@ -89,8 +89,8 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
              pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-             pa.array([None if i is None else orders[i].tobytes() for i in at], pa.binary())],
-            names=["doc_id", "n_shingles", "set_id", "orders"])
+             pa.array([None if i is None else orders[i].tobytes() for i in at], pa.binary()), *(batch.column(c) for c in keep)],
+            names=["doc_id", "n_shingles", "set_id", "orders", *keep])
 
 
 def _rotated(x: np.ndarray) -> np.ndarray:
@@ -197,8 +197,8 @@ def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     yield _edges(out)
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, and the columns ``keep``) for every row of ``docs(doc_id, text)``.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; shingles have ``width`` words, and a shorter
     text is one shingle. Documents with ``100 * intersection >= percent * union`` are linked. component_id is the
@@ -210,8 +210,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     links over third documents; candidates are confirmed on full sets.
     """
     own = docs.select("doc_id", "text")
-    signed = cut(map_batches(own, partial(_sign, width=width),
-                             "doc_id long, n_shingles long, set_id long, orders binary"))
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    signed = cut(map_batches(docs.select("doc_id", "text", *keep), partial(_sign, width=width, keep=keep),
+                             "doc_id long, n_shingles long, set_id long, orders binary" + kinds))
     nodes = (signed.where("set_id is not null").groupBy("set_id")
              .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("orders").alias("orders")))
     nodes = cut(nodes)
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         "set_id", "least", F.coalesce("component", "set_id").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "component").select("set_id", "component_id")
-    return (signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-            .select("doc_id", "n_shingles",
+    return (signed.select("doc_id", "n_shingles", "set_id", *keep).join(named, "set_id", "left")
+            .select("doc_id", "n_shingles", *keep,
                     F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
