@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from ripplemark.plans.study import (
 from ripplemark.session import configure
 
 DIGITS = 6
+#: Columns that span many orders of magnitude: six digits from the first one that isn't zero.
+SIGNIFICANT = ("p_value",)
 BAR = "1h"
 ORDINAL = ("event_id",)
 
@@ -96,10 +99,11 @@ def shar_study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return run_study(wide_forecast_data(spark, sf_dir), [HAR, SHAR], DESIGN)
 
 
-def present(result: DataFrame, digits: dict[str, int] | int = DIGITS) -> DataFrame:
+def present(result: DataFrame, digits: dict[str, int] | int = DIGITS, significant: Sequence[str] = ()) -> DataFrame:
     """Dates and times as text, whole numbers as bigint, other numbers rounded.
 
-    ``digits`` may name columns of another scale; the others get ``DIGITS``.
+    ``digits`` may name columns of another scale; the others get ``DIGITS``. ``significant`` columns and those of
+    ``SIGNIFICANT`` are rounded to six significant digits.
     """
     columns = []
     for field in result.schema.fields:
@@ -110,6 +114,9 @@ def present(result: DataFrame, digits: dict[str, int] | int = DIGITS) -> DataFra
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(kind, (T.IntegerType, T.LongType, T.BooleanType)):
             c = c.cast("bigint")
+        elif field.name in (*SIGNIFICANT, *significant):
+            c = F.format_string("%.5e", c.cast("double")).cast("double")
+            c = F.when(F.col(f"`{field.name}`").isNotNull(), c)
         elif isinstance(kind, (T.DoubleType, T.DecimalType)):
             places = digits if isinstance(digits, int) else digits.get(field.name, DIGITS)
             near = F.round(c.cast("double"), places)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from itertools import combinations_with_replacement
 
 DIGITS = 6
+#: Columns compared by six significant digits.
+SIGNIFICANT = ("p_value",)
 ORACLES: dict[str, str] = {}
 
 
@@ -17,10 +19,16 @@ ORACLES: dict[str, str] = {}
 
 
 def f(expression: str, name: str | None = None, digits: int = DIGITS) -> str:
+    if (name or expression) in SIGNIFICANT:
+        return p(expression, name)
     near = f"round(CAST({expression} AS DOUBLE), {digits})"
     return f"CASE WHEN {near} = 0 THEN 0e0 ELSE {near} END AS {name or expression}"
 
 
+def p(expression: str, name: str | None = None) -> str:
+    return f"CASE WHEN {expression} IS NOT NULL THEN CAST(printf('%.5e', CAST({expression} AS DOUBLE)) AS DOUBLE) END AS {name or expression}"
+
+
 def d(expression: str, name: str | None = None) -> str:
     return f"strftime({expression}, '%Y-%m-%d') AS {name or expression}"
 
@@ -273,6 +281,17 @@ lagged AS (
   FROM rets WINDOW w AS (PARTITION BY asset, session_date ORDER BY bin)
 )"""
 sql("realized_variance", PATHS, f"{PATH_HEAD}, {f('sum(r * r)', 'rv')} FROM rets {BY_PATH}")
+_RAW = ",".join([ALL_TICKS, bins(5, "all_ticks", "raw_bins")])
+sql(
+    "variance_of_raw_paths",
+    _RAW + """,
+raw_priced AS (
+  SELECT *, coalesce(mid > 0 AND isfinite(mid), false) AS good, CASE WHEN mid > 0 AND isfinite(mid) THEN ln(mid) END AS lp FROM raw_bins
+),
+raw_returns AS (SELECT *, lp - lag(lp) OVER (PARTITION BY asset, session_date ORDER BY bin) AS r FROM raw_priced)""",
+    f"""SELECT asset, {d('session_date')}, {i('count(*)', 'n_prices')}, {i('count(*) FILTER (NOT good)', 'n_invalid')},
+       {f('CASE WHEN bool_and(good) THEN sum(r * r) END', 'rv')} FROM raw_returns {BY_PATH}""",
+)
 sql(
     "semivariances", ",".join([PATHS, SUMMARY]),
     f"SELECT asset, {d('session_date')}, {i('observation_count', 'n_prices')}, {i('n_invalid')}, {floats('rs_pos', 'rs_neg')} FROM summary",
@@ -315,8 +334,8 @@ def bandwidth(ratio: str, n: str) -> str:
 
 def upper_tail(z: str) -> str:
     """1 - Phi by Simpson's rule on exp(-|z| t - t^2 / 2), which keeps its digits far out."""
-    at = f"exp(-abs({z}) * (k / 40e0) - power(k / 40e0, 2) / 2)"
-    rule = f"list_sum([{at} * (CASE WHEN k IN (0, 480) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) for k in range(0, 481)]) / 120e0"
+    at = f"exp(-abs({z}) * (k / 400e0) - power(k / 400e0, 2) / 2)"
+    rule = f"list_sum([{at} * (CASE WHEN k IN (0, 4800) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) for k in range(0, 4801)]) / 1200e0"
     far = f"(exp(-power({z}, 2) / 2) / sqrt(2 * pi()) * {rule})"
     return f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} >= 0 THEN {far} ELSE 1e0 - {far} END)"
 
@@ -433,6 +452,39 @@ sql(
     f"""SELECT series, {i('count(*)', 'unmatched')}, {d('min(date)', 'first_origin')}
 FROM timeline WHERE pos >= 22 AND day(date) = 11 GROUP BY series""",
 )
+_DAY = "day(origin_date)"
+sql(
+    "preparation_violations",
+    TIMELINE + f""",
+given AS (SELECT series, date AS origin_date, target_date, target, pos >= 22 AS has_features FROM timeline),
+features AS (
+  SELECT series, CASE WHEN {_DAY} <> 5 THEN origin_date END AS o, {_DAY} = 3 AS bad FROM given WHERE has_features
+  UNION ALL SELECT series, origin_date, false FROM given WHERE has_features AND {_DAY} = 8
+),
+targets AS (
+  SELECT series, origin_date AS o, CASE {_DAY} WHEN 16 THEN origin_date WHEN 18 THEN target_date + 1 ELSE target_date END AS t,
+         CASE {_DAY} WHEN 13 THEN NULL WHEN 14 THEN CASE WHEN target IS NULL THEN 'infinity' :: DOUBLE ELSE 'infinity' :: DOUBLE END
+         ELSE target END AS v FROM given WHERE {_DAY} <> 11
+  UNION ALL SELECT series, origin_date, target_date, target FROM given WHERE {_DAY} = 20
+),
+in_features AS (
+  SELECT series, count(*) FILTER (o IS NULL) AS feature_keyless, count(*) FILTER (bad) AS feature_not_finite,
+         count(o) - count(DISTINCT o) AS feature_repeated,
+         count(*) FILTER (o IS NOT NULL AND NOT EXISTS (SELECT 1 FROM targets t WHERE t.series = f.series AND t.o = f.o)) AS unmatched,
+         min(o) FILTER (NOT EXISTS (SELECT 1 FROM targets t WHERE t.series = f.series AND t.o = f.o)) AS first_unmatched
+  FROM features f GROUP BY series
+),
+followed AS (SELECT x.*, (SELECT min(y.o) FROM targets y WHERE y.series = x.series AND y.o > x.o) AS following FROM targets x),
+in_targets AS (
+  SELECT series, 0 AS target_keyless, count(*) FILTER ((t IS NULL) <> (v IS NULL)) AS target_half,
+         count(*) FILTER (NOT isfinite(v)) AS target_not_finite, count(*) FILTER (o >= t) AS target_not_after,
+         count(*) FILTER (t IS DISTINCT FROM following) AS target_not_next, count(o) - count(DISTINCT o) AS target_repeated
+  FROM followed GROUP BY series
+)""",
+    f"""SELECT series, {ints('feature_keyless', 'feature_not_finite', 'feature_repeated', 'target_keyless', 'target_half',
+       'target_not_finite', 'target_not_after', 'target_not_next', 'target_repeated', 'unmatched')}, {d('first_unmatched')}
+FROM in_features JOIN in_targets USING (series)""",
+)
 
 # --- forecasts: known outcomes by an inequality join, regressions by elimination --------------------------
 
@@ -717,7 +769,16 @@ sql(
     "ridge_choice", CHOICE,
     f"SELECT series, {floats('penalty', 'calibration_loss')}, {i('penalty IN (0.1, 100)', 'at_grid_edge')} FROM choice",
 )
-sql("ridge_uses_no_evaluation_data", "one AS (SELECT 1)", f"SELECT {i('0', 'changed_scores')}")
+_KNOWN_CALIBRATION = CALIBRATION.replace("data AS (", "whole_data AS (", 1).replace(
+    "FROM timeline WHERE pos >= 22 AND target IS NOT NULL\n)", "FROM timeline WHERE pos >= 22 AND target IS NOT NULL\n),\n"
+    f"data AS (SELECT * FROM whole_data WHERE target_date < {EVALUATE})", 1)
+sql(
+    "ridge_uses_no_evaluation_data",
+    f"""every AS (WITH {CALIBRATION.strip()} SELECT series, penalty, calibration_loss FROM scores),
+known AS (WITH {_KNOWN_CALIBRATION.strip()} SELECT series, penalty, calibration_loss FROM scores)""",
+    f"""SELECT {i('count(*)', 'changed_scores')} FROM every FULL JOIN known USING (series, penalty)
+WHERE NOT coalesce(abs(every.calibration_loss - known.calibration_loss) <= 1e-12 * abs(known.calibration_loss), false)""",
+)
 sql(
     "ridge_hindsight",
     ",".join([DATA, penalties(BETWEEN), smear(), scores("evaluation_loss", f"target_date >= {EVALUATE}")]),
@@ -850,6 +911,27 @@ sql(
     "dm_lag_grid", ",".join([PAIRED, tests(GRID)]),
     f"SELECT series, baseline_model, {i('hac_lags')}, {f('p_value')} FROM tests",
 )
+_AT_LAG = ", ".join(p(f"any_value(p_value) FILTER (hac_lags = {lag})", f'"{lag}"') for lag in (0, 3, 12))
+sql("dm_wide_table", ",".join([PAIRED, tests("[0, 3, 12]")]), f"SELECT series, baseline_model, {_AT_LAG} FROM tests GROUP BY 1, 2")
+sql(
+    "untestable_pairs",
+    EVALUATION + f""",
+broken AS (
+  SELECT series, model, target_date AS t, CASE WHEN model = 'historical_mean' AND day(target_date) = 7 THEN 'nan' :: DOUBLE ELSE loss END AS loss
+  FROM losses
+  WHERE NOT (model = 'naive' AND target_date > {EVALUATE} + INTERVAL 20 DAYS) AND NOT (model = 'historical_mean' AND day(target_date) = 5)
+    AND NOT (model = 'HAR' AND day(target_date) = 9)
+),
+own AS (SELECT series, t, loss AS theirs FROM broken WHERE model = 'HAR'),
+matched AS (
+  SELECT b.series, b.model, count(o.t) AS n_obs, count(*) - count(o.t) AS only_baseline,
+         count(*) FILTER (o.t IS NOT NULL AND NOT (isfinite(b.loss) AND isfinite(o.theirs))) AS not_finite
+  FROM broken b LEFT JOIN own o USING (series, t) WHERE model <> 'HAR' GROUP BY 1, 2
+)""",
+    f"""SELECT m.series, model AS baseline_model, {ints('n_obs', 'only_baseline')},
+       {i('(SELECT count(*) FROM own o WHERE o.series = m.series) - n_obs', 'only_candidate')}, {i('not_finite')}, {i('n_obs < 3', 'too_few')},
+       {i('len([x for x in [0, 3, 12, 40] if x > n_obs - 2])', 'lags_too_long')} FROM matched m""",
+)
 DEFAULT_TESTS = ",".join([PAIRED, tests("[usual]")])
 WINS = """
 wins AS (

@@ -5,7 +5,8 @@ from __future__ import annotations
 import lzma
 import os
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -42,14 +43,14 @@ QUERIES: dict[str, Query] = {}
 CUT = I.DESIGN.scored_from
 
 
-def query(run: Query | None = None, *, digits: dict[str, int] | int = I.DIGITS):
+def query(run: Query | None = None, *, digits: dict[str, int] | int = I.DIGITS, significant: Sequence[str] = ()):
     """Register a query under its function's name, with its result in comparable form."""
     if run is None:
-        return lambda function: query(function, digits=digits)
+        return lambda function: query(function, digits=digits, significant=significant)
 
     def presented(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        return I.present(run(spark, sf_dir), digits)
+        return I.present(run(spark, sf_dir), digits, significant)
 
     QUERIES[run.__name__] = presented
     return run
@@ -261,6 +262,13 @@ def realized_variance(spark, sf_dir):
     return _measured(spark, sf_dir, V.realized_variance())
 
 
+@query
+def variance_of_raw_paths(spark, sf_dir):
+    """Every tick counts: a price that is no price voids its path, and is counted there."""
+    ticks = D.label_sessions(I.all_ticks(spark, sf_dir).where("ts is not null"))
+    return V.summarize_paths(last_tick_sample(ticks, "5min", ordinal=I.ORDINAL), [V.realized_variance()])
+
+
 @query
 def semivariances(spark, sf_dir):
     return _measured(spark, sf_dir, *V.realized_semivariances())
@@ -402,6 +410,24 @@ def unmatched_origins(spark, sf_dir):
     return X.unmatched_origins(features, targets)
 
 
+@query
+def preparation_violations(spark, sf_dir):
+    """Features and targets with rows of every fault: what is wrong, and how often, per series."""
+    sales = I.sales(spark, sf_dir)
+    day, gone = F.dayofmonth("origin_date"), F.lit(None)
+    features = X.mean_table(sales, I.FEATURES)
+    features = features.withColumns({
+        "value_mean_5": F.when(day == 3, float("nan")).otherwise(F.col("value_mean_5")),
+        "origin_date": F.when(day == 5, gone).otherwise(F.col("origin_date")),
+    }).unionByName(features.where(day == 8))
+    targets = X.next_observation_targets(sales, value_col="value")
+    targets = targets.where(day != 11).withColumns({
+        "target": F.when(day == 13, gone).when(day == 14, float("inf")).otherwise(F.col("target")),
+        "target_date": F.when(day == 16, F.col("origin_date")).when(day == 18, F.date_add("target_date", 1)).otherwise(F.col("target_date")),
+    }).unionByName(targets.where(day == 20))
+    return X.preparation_violations(features, targets)
+
+
 # --- forecasts ------------------------------------------------------------------------------------------
 
 
@@ -647,6 +673,23 @@ def dm_lag_grid(spark, sf_dir):
     return G.hac_table(_losses(spark, sf_dir), "HAR")
 
 
+@query(significant=("0", "3", "12"))
+def dm_wide_table(spark, sf_dir):
+    """p-values with one column per lag."""
+    return G.hac_table(_losses(spark, sf_dir), "HAR", [0, 3, 12])
+
+
+@query
+def untestable_pairs(spark, sf_dir):
+    """Losses with dates missing here and there, and two dates of one model: which pairs can't be tested, and why."""
+    losses = _losses(spark, sf_dir)
+    day, date = F.dayofmonth("target_date"), F.col("target_date")
+    naive, mean, own = (F.col("model") == name for name in ("naive", "historical_mean", "HAR"))
+    kept = (~naive | (date <= F.lit(I.DESIGN.scored_from + timedelta(days=20)))) & ~(mean & (day == 5)) & ~(own & (day == 9))
+    broken = losses.where(kept).withColumn("loss", F.when(mean & (day == 7), float("nan")).otherwise(F.col("loss")))
+    return C.untestable_pairs(broken, "HAR", lags=[0, 3, 12, 40])
+
+
 @query
 def win_rates(spark, sf_dir):
     return C.win_rates(_losses(spark, sf_dir), "HAR")

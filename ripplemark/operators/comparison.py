@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplemark.checks import (
     DataError,
@@ -153,6 +156,13 @@ def _zero() -> Column:
     return F.lit(0.0)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _autocovariances(centred: pd.Series, longest: pd.Series) -> pd.Series:
+    """Sums of products at lags 0 to the longest, over the number of values."""
+    return pd.Series([
+        np.array([c[h:] @ c[: len(c) - h] for h in range(most + 1)]) / len(c) for c, most in zip(centred, longest, strict=True)])
+
+
 def diebold_mariano(
     pairs: DataFrame,
     *,
@@ -189,14 +199,8 @@ def diebold_mariano(
     ).withColumn("_c", F.transform("_gains", lambda g: g - F.col("mean_gain")))
     longest = F.least(F.coalesce(F.array_max("_lags"), F.lit(0)), F.greatest(n - 2, F.lit(0))).cast("int")
 
-    def covariance(h: Column) -> Column:
-        size = n.cast("int") - h
-        ahead, behind = F.slice("_c", h + 1, size), F.slice("_c", F.lit(1), size)
-        products = F.zip_with(ahead, behind, lambda a, b: a * b)
-        return F.aggregate(products, _zero(), lambda total, x: total + x) / n
-
     tests = (
-        with_lags.withColumn("_gamma", F.transform(F.sequence(F.lit(0), longest), covariance))
+        with_lags.withColumn("_gamma", _autocovariances("_c", longest))
         .drop("_gains", "_c")
         .withColumn("hac_lags", F.explode("_lags"))
         .drop("_lags")
@@ -227,6 +231,32 @@ def diebold_mariano(
     return with_normal_sf(tests.drop("_gamma", "_variance", "_tolerance", "_square"), "statistic", "p_value")
 
 
+def untestable_pairs(losses: DataFrame, candidate: str, *, lags: int | Sequence[int] | None = None) -> DataFrame:
+    """Per series and baseline, what keeps :func:`diebold_mariano` from testing it against the candidate.
+
+    Columns ``series, baseline_model, n_obs`` (dates of both models), ``only_baseline, only_candidate`` (dates the other one
+    lacks), ``not_finite`` (losses of either on common dates), ``too_few`` (under three dates) and ``lags_too_long`` (how
+    many of the given lags are above n - 2). One row for each model but the candidate, faults or not.
+    """
+    require_columns(losses, ["series", "model", "target_date", "loss"], "losses")
+    chosen = [] if lags is None else [lags] if isinstance(lags, int) else list(lags)
+    for lag in chosen:
+        non_negative_int(lag, "lag")
+    date, series = Window.partitionBy("series", "target_date"), Window.partitionBy("series")
+    own = F.col("model") == candidate
+    proposed = losses.select("series", "target_date", "model", "loss").withColumns({
+        "_there": F.count_if(own).over(date) > 0, "_theirs": F.max(F.when(own, F.col("loss"))).over(date)})
+    proposed = proposed.withColumn("_all", F.count_if(own).over(series))
+    bad = ~is_finite("loss") | ~is_finite("_theirs")
+    counts = proposed.where(~own).groupBy("series", F.col("model").alias("baseline_model")).agg(
+        F.count_if("_there").alias("n_obs"),
+        F.count_if(~F.col("_there")).alias("only_baseline"),
+        (F.first("_all") - F.count_if("_there")).alias("only_candidate"),
+        F.count_if(F.col("_there") & bad).alias("not_finite"))
+    too_long = [F.when(F.lit(lag) > F.col("n_obs") - 2, 1).otherwise(0) for lag in chosen]
+    return counts.withColumns({"too_few": F.col("n_obs") < 3, "lags_too_long": sum(too_long, F.lit(0)).cast("bigint")})
+
+
 def hac_sensitivity(
     losses: DataFrame, candidate: str, lags: str | Sequence[int] = "to_default"
 ) -> DataFrame:

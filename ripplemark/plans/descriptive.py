@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.checks import positive_int
 from ripplemark.functions.numeric import annualized_volatility_pct, as_column
 from ripplemark.functions.sessions import prices_per_session
+from ripplemark.operators.blocks import runs
 
 # Fixed values of the published tables and charts.
 VOLATILITY_LEVELS = (0.01, 0.5, 0.99)
 RISING_LEVELS = (0.05, 0.5, 0.95)
 HISTOGRAM_BINS = 60
 MAX_LAG = 60
+#: Rows of a block of a series whose lagged products are summed in one task.
+LAG_BLOCK = 16_384
 VOLATILITY_MEAN_WINDOW = 22
 
 
@@ -87,6 +92,31 @@ def skewness(daily: DataFrame, columns: Sequence[str] = ("rv", "log_rv")) -> Dat
     return daily.groupBy("asset").agg(*[corrected(c).alias(f"skew_{c}") for c in columns])
 
 
+def _lag_sums(max_lag: int, block: int):
+    """Sums of the pairs of each lag whose later row is one of the block's own, from its rows and those before it."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lags = np.arange(1, max_lag + 1)
+        for rows in runs(batches, ["key", "block"]):
+            own = int((rows["at"].to_numpy() < rows["block"].iloc[0] * block).sum())
+            if own == len(rows):
+                continue
+            x = rows["x"].to_numpy("float64") - float(rows["base"].iloc[0])
+            there = ~np.isnan(x)
+            filled = np.where(there, x, 0.0)
+            sums = np.zeros((max_lag, 7))
+            for k in lags[: len(x) - 1]:
+                later, earlier = slice(max(own, k), None), slice(max(own, k) - k, len(x) - k)
+                both = there[later] & there[earlier]
+                y, z = filled[later] * both, filled[earlier] * both
+                sums[k - 1] = there[earlier].sum(), both.sum(), y.sum(), z.sum(), y @ y, z @ z, y @ z
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rows["key"].iloc[0]] * max_lag), pa.array(lags), *(pa.array(c) for c in sums.T)],
+                names=["key", "lag", "pairs", "n", "sy", "sz", "syy", "szz", "syz"])
+
+    return summed
+
+
 def autocorrelation(
     frame: DataFrame,
     value: str,
@@ -94,27 +124,32 @@ def autocorrelation(
     max_lag: int = MAX_LAG,
     key: str = "asset",
     date_col: str = "date",
+    block: int = LAG_BLOCK,
 ) -> DataFrame:
     """Correlation of a value with itself ``lag`` rows earlier, for lags 1 to ``max_lag``.
 
-    The lagged values are columns of one window; they are stacked and merged into
-    correlations before the second shuffle, so only sums leave a partition.
+    A series is cut into blocks of ``block`` rows (``max_lag`` at least), each with the last ``max_lag`` rows before it, so
+    a pair of rows lies in one block. All lags' sums of a block are made at once, about the series' first value, and
+    merged. ``pairs`` counts the rows with an earlier value.
     """
-    positive_int(max_lag, "max_lag")
-    ordered = Window.partitionBy(key).orderBy(date_col)
-    x = F.col(value)
-    lagged = frame.select(key, date_col, x.alias("x")).withColumns(
-        {f"_l{k}": F.lag("x", k).over(ordered) for k in range(1, max_lag + 1)}
-    )
-    stacked = F.array(
-        *[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"_l{k}").alias("earlier")) for k in range(1, max_lag + 1)]
-    )
-    return (
-        lagged.select(key, "x", F.inline(stacked))
-        .where(F.col("earlier").isNotNull())
-        .groupBy(key, "lag")
-        .agg(F.corr("x", "earlier").alias("autocorrelation"), F.count(F.lit(1)).alias("pairs"))
-    )
+    size = max(positive_int(block, "block"), positive_int(max_lag, "max_lag"))
+    ordered = Window.partitionBy("key").orderBy("date")
+    numbered = frame.select(F.col(key).alias("key"), F.col(date_col).alias("date"), F.col(value).cast("double").alias("x")).select(
+        "key", "x", (F.row_number().over(ordered) - 1).cast("bigint").alias("at"),
+        F.coalesce(F.first("x", ignorenulls=True).over(ordered), F.lit(0.0)).alias("base"))
+    numbered = numbered.withColumn("block", F.floor(F.col("at") / size))
+    before = numbered.where(F.col("at") % size >= size - max_lag).withColumn("block", F.col("block") + 1)
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = numbered.unionByName(before).repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "at")
+    kind = frame.schema[key].dataType.simpleString()
+    sums = dealt.mapInArrow(_lag_sums(max_lag, size), (
+        f"key {kind}, lag bigint, pairs double, n double, sy double, sz double, syy double, szz double, syz double"))
+    merged = sums.groupBy("key", "lag").agg(*[F.sum(c).alias(c) for c in ("pairs", "n", "sy", "sz", "syy", "szz", "syz")])
+    n, sy, sz = F.col("n"), F.col("sy"), F.col("sz")
+    spread = F.sqrt(n * F.col("syy") - sy * sy) * F.sqrt(n * F.col("szz") - sz * sz)
+    return merged.where("pairs > 0").select(
+        F.col("key").alias(key), "lag", ((n * F.col("syz") - sy * sz) / F.nullif(spread, F.lit(0.0))).alias("autocorrelation"),
+        F.col("pairs").cast("bigint").alias("pairs"))
 
 
 def histogram(frame: DataFrame, value: Column | str, *, bins: int = HISTOGRAM_BINS, key: str = "asset") -> DataFrame:
@@ -123,13 +158,12 @@ def histogram(frame: DataFrame, value: Column | str, *, bins: int = HISTOGRAM_BI
     Empty bins are left out. ``bin`` counts from 1.
     """
     positive_int(bins, "bins")
-    group = Window.partitionBy(key)
-    v = F.col("_v")
-    ranged = frame.select(key, as_column(value).alias("_v")).withColumns(
-        {"_low": F.min("_v").over(group), "_high": F.max("_v").over(group)}
-    )
+    values = frame.select(key, as_column(value).alias("_v"))
+    # smallest and largest values are merged ahead of the shuffle and come back as one row per key
+    ranges = values.groupBy(F.col(key).alias("_key")).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    ranged = values.join(ranges, F.col(key).eqNullSafe(F.col("_key")))
     width = F.col("_high") - F.col("_low")
-    place = F.when(width > 0, F.floor((v - F.col("_low")) / width * bins) + 1).otherwise(F.lit(1))
+    place = F.when(width > 0, F.floor((F.col("_v") - F.col("_low")) / width * bins) + 1).otherwise(F.lit(1))
     return (
         ranged.withColumn("bin", F.least(place, F.lit(bins)).cast("bigint"))
         .groupBy(key, "bin", "_low", "_high")
