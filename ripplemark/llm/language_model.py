@@ -155,7 +155,7 @@ class Model:
         #: how often a training token follows its forerunner not for the first time
         self.weight = min(max(again / max(self.tokens, 1), WEIGHT[0]), WEIGHT[1])
         self.word_segments, self.pair_segments = (max(1, -(-n * ENTRY_BITS // SEGMENT_BITS)) for n in (word_entries, pair_entries))
-        self.word_counts = self.counts.where(self.is_word)
+        self.word_counts = cut(self.counts.where(self.is_word))  # read often, and far fewer than all
 
     def _segments(self, counts: DataFrame, n_segments: int) -> DataFrame:
         """The segments in order, range after range."""
