@@ -243,3 +243,51 @@ def test_pairs_seen_once_raise_the_score(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
     got = {r.doc_id: r.score for r in language_model.train_and_score(docs, docs["held"]).collect()}
     assert got[2] > got[3] + 0.01  # the same word counts, and only the pairs of the first were seen
+
+
+@pytest.mark.parametrize("group", [1, 1024])
+def test_scores_equal_a_dictionary_of_levels(spark, monkeypatch, group):
+    """Level by level from exact counts; keys that the filters take for more than they are count with what they give."""
+    monkeypatch.setattr(language_model, "GROUP", group)
+    monkeypatch.setattr(language_model, "SEGMENT_BITS", 1 << 14)
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(120)]
+    rows_ = [(k, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(120)], k=rng.randrange(60)))) for k in range(150)]
+    rows_ += [(500, None), (3, rows_[3][1]), (3, "another text w1 w2"), (None, "w1 w1 w1")]
+    docs = spark.createDataFrame(rows_, DOCS)
+    held_out = crc_mod(docs["doc_id"], 7) == 2
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in rows_]
+    trained = pa.array([t for (_, t), h in zip(rows_, held, strict=True) if not h], pa.large_string())
+    tokens = language_model.Tokens(texts(pa.RecordBatch.from_arrays([trained], names=["text"])))
+    counts = Counter(tokens.words.tolist()) + Counter(tokens.pairs.tolist())
+    model = language_model.Model(docs.where(~held_out))
+    filters = {True: [language_model.Filter(*model.words())], False: [language_model.Filter(*g) for g in model.pairs()]}
+    wrong = set()
+
+    def level(key):
+        true = int(math.log2(counts[key])) + 1 if counts[key] else 0
+        one = np.array([key], dtype=np.uint64)
+        told = next(int(f.levels(one)[0]) for f in filters[key % 2 == 0] if f.has(one)[0])
+        assert told >= true
+        if told > true:
+            wrong.add(key)
+        return told
+
+    def middle(q):
+        return 1.5 * 2 ** (q - 1) - 0.5 if q else 0.0
+
+    n, v = sum(c for k, c in counts.items() if k % 2 == 0), sum(1 for k in counts if k % 2 == 0)
+    again = sum(c - 1 for k, c in counts.items() if k % 2)
+    weight = min(max(again / n, language_model.WEIGHT[0]), language_model.WEIGHT[1])
+    expected = []
+    for d, t in rows_:
+        own = language_model.Tokens(pa.array([t or ""], pa.large_string()))
+        total = 0.0
+        for word, before, pair in zip(own.words.tolist(), own.before.tolist(), own.pairs.tolist(), strict=True):
+            c_before, c_word = middle(level(before)), middle(level(word))
+            c_pair = min(middle(level(pair)), c_before)
+            total += math.log10(weight * c_pair / max(c_before, 1) + (1 - weight) * (c_word + 1) / (n + v + 1))
+        expected.append((d, round(total, 6)))
+    got = Counter((r.doc_id, round(r.score, 6)) for r in language_model.train_and_score(docs, held_out).collect())
+    assert got == Counter(expected)
+    assert len(wrong) < 0.02 * len(counts)
