@@ -1,10 +1,14 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one per block element. Menus, forms, scripts and other furniture leave blank lines where
-they stood, links count little, and lengths are summed over windows of lines that slide down the page. A region begins
-where these sums surge from nothing and ends where they dive to it. The text is the regions whose sums rise high
-enough, and what stands in one container with them. Inside article and main elements sums count twice, and they are kept
-whole, unless a region outside rises above all regions inside: then only the elements with a high region.
+Markup is stripped to lines, one per block element. Menus, forms, scripts and other furniture by their tags leave blank lines
+where they stood; links count little, and lengths are summed over windows of lines that slide down the page. A region begins
+where these sums surge and ends where they dive again; at its edges lines of links and rights go, and it begins with the
+page's title if that is among its first lines. The text is the regions whose sums rise high enough.
+
+Elements say how to read the sums. Inside article and main elements sums count twice, and they are kept whole with what
+stands in one container with them, unless a region outside rises above all regions inside: then only the elements with a
+high region. A class or id that names furniture takes an element's text out of the sums, unless it wraps an article or main
+element or as much text as to be the story itself; only comments are no story at any length.
 """
 
 from __future__ import annotations
@@ -12,14 +16,18 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ripplemark.llm.shared import map_batches
 
-#: Lines of a window, the sum that a region has to reach, and how much more sums count inside article and main.
-WINDOW, SURGE, BONUS = 3, 86, 2
+#: Lines of a window, the sum that a region has to reach, the one under which it ends, and how much more sums count inside
+#: article and main.
+WINDOW, SURGE, DIVE, BONUS = 3, 86, 30, 2
+#: Characters from which a named element can be the story, if they are half of what isn't named at least.
+STORY = 4 * SURGE
 #: Most links a line may have, as a share of its characters, to count as text.
 MOST_LINKS = 0.5
 
@@ -39,12 +47,22 @@ ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
              "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"table", "ul", "ol", "dl", "html", "body", "article", "section"}
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "td", "th", "table"}
-#: Words of class, id and role that name furniture.
+#: Words of class and id that name furniture, and those of comments; a name that says whether something else is there
+#: or how it is shown (has-sidebar, no-share, header-fixed) is none.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|banner|breadcrumbs?|comments?|respond|replies|disqus"
+    r"(?:^|[_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|banner|breadcrumbs?"
     r"|cookies?|consent|gdpr|notices?|alert|footer|footnav|header|masthead|menus?|nav|navbar|navigation|newsletter|subscribe"
     r"|pagination|pager|popup|modal|overlay|promo|related|recommended|search|share|sharing|sidebar|sidenav|skip|social"
-    r"|toolbar|widget|contentinfo|complementary|login|signup)(?=$|[\s_-])", re.IGNORECASE)
+    r"|toolbar|widget|contentinfo|complementary|login|signup)(?=$|[_-])", re.IGNORECASE)
+COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|respond|replies|disqus)(?=$|[_-])", re.IGNORECASE)
+TELLS = re.compile(
+    r"^(?:has|no|not|with|without|is|show|hide)[_-]|[_-](?:none|open|opened|closed|fixed|sticky|on|off|hidden|visible|enabled"
+    r"|disabled|active|inactive|left|right)$", re.IGNORECASE)
+#: Roles of furniture.
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "toolbar", "dialog", "alert", "form"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What a line about rights has.
+RIGHTS = re.compile(r"[©®]|\(c\) ?\d{4}|\bcopyright\b|\brights reserved\b|\balle rechte\b|\btous droits\b|\bderechos reservados\b", re.IGNORECASE)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -52,32 +70,55 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
+def _reading(name: str, attributes: str) -> str:
+    """``gone`` for an element without main text, ``comments`` or ``named`` for one by its names, else empty."""
     if name in FURNITURE:
-        return True
+        return "gone"
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return ""
+    found = ""
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
+            return "gone"
         if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role") and NAMED.search(value):
-            return True
-    return False
+            return "gone"
+        for word in value.split() if key in ("class", "id") else ():
+            if not TELLS.search(word):
+                found = "comments" if found == "comments" or COMMENTS.search(word) else "named" if found or NAMED.search(word) else ""
+    return found
+
+
+class Line(NamedTuple):
+    """Text of a block, its characters inside links, its outermost article or main (0: none), its container, the elements
+    around it that are named as furniture, and whether it is a heading."""
+
+    text: str = ""
+    linked: int = 0
+    article: int = 0
+    container: int = 0
+    named: tuple[int, ...] = ()
+    heading: bool = False
+
+    @property
+    def weight(self) -> int:
+        """Characters that count as text: none for a line of links or rights."""
+        return len(self.text) if self.linked <= MOST_LINKS * len(self.text) and not RIGHTS.search(self.text) else 0
 
 
 class _Page:
-    """Lines of a page: text, characters of it inside links, its outermost article (0: none), and its container."""
+    """The lines of a page as its tags open and close."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[Line] = []
         self.pieces: list[str] = []
         self.linked = 0
-        self.open: list[tuple[str, bool]] = []  # name, furniture
+        self.title = ""
+        self.open: list[tuple[str, str]] = []  # name, reading
         self.containers, self.made = [0], 0
-        self.skipped = self.articles = self.links = self.outermost = 0
+        self.named: list[int] = []
+        self.names: list[tuple[bool, bool]] = []  # comments, around an article
+        self.skipped = self.articles = self.links = self.outermost = self.headings = 0
 
     def text(self, raw: str) -> None:
         if raw and not self.skipped:
@@ -89,37 +130,47 @@ class _Page:
     def line(self) -> None:
         if self.pieces:
             if text := " ".join("".join(self.pieces).split()):
-                self.lines.append((text, self.linked, self.outermost if self.articles else 0, self.containers[-1]))
+                self.lines.append(Line(text, self.linked, self.outermost if self.articles else 0, self.containers[-1],
+                                       tuple(self.named), self.headings > 0))
             self.pieces, self.linked = [], 0
 
     def gap(self) -> None:
         self.line()
-        self.lines += [("", 0, 0, 0)] * WINDOW
+        self.lines += [Line()] * WINDOW
 
-    def push(self, name: str, furniture: bool) -> None:
-        if furniture:
-            self.gap()
-        elif name in ("article", "main") and not self.skipped:
+    def push(self, name: str, reading: str) -> None:
+        if reading or name in ("article", "main") and not self.skipped:
             self.gap()
-        self.open.append((name, furniture))
+        self.open.append((name, reading))
         if name in CONTAINERS:
             self.made += 1
             self.containers.append(self.made)
-        self.skipped += furniture
+        self.skipped += reading == "gone"
+        if reading in ("named", "comments"):
+            self.named.append(len(self.names))
+            self.names.append((reading == "comments", False))
         self.links += name == "a"
+        self.headings += name in HEADINGS
         if name in ("article", "main"):
             self.outermost += not self.articles
             self.articles += 1
+            for k in self.named if not self.skipped else ():
+                self.names[k] = (self.names[k][0], True)
 
     def pop(self) -> None:
-        name, furniture = self.open.pop()
+        name, reading = self.open.pop()
         if name in CONTAINERS:
             self.line()
             self.containers.pop()
-        if furniture or name in ("article", "main"):
+        if reading or name in ("article", "main"):
             self.gap()
-        self.skipped -= furniture
+        self.skipped -= reading == "gone"
+        if reading in ("named", "comments"):
+            self.named.pop()
         self.links -= name == "a"
+        if name in HEADINGS:
+            self.line()
+            self.headings -= 1
         self.articles -= name in ("article", "main")
 
     def close(self, names: set[str], within: set[str]) -> None:
@@ -133,8 +184,8 @@ class _Page:
                 return
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
-    """The page stripped to lines; blank ones where furniture stood and at the edges of articles."""
+def read_page(page: str) -> _Page:
+    """The page stripped to lines; blank ones where furniture stood and at the edges of articles and named elements."""
     state = _Page()
     at, n = 0, len(page)
     while at < n:
@@ -168,6 +219,8 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             if name not in INLINE:
                 state.line()
+            if name == "title" and not state.title:
+                state.title = " ".join(html.unescape(page[at : end.start() if end else n]).split())
             at = end.end() if end else n
             continue
         if name == "br":
@@ -181,36 +234,79 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
         if name in ENDS_LIKE:
             state.close(ENDS_LIKE[name], SCOPE - {name})
         if name not in VOID:
-            state.push(name, _is_furniture(name, token[3]))
+            state.push(name, _reading(name, token[3]))
     state.line()
-    return state.lines
+    return state
+
+
+def _named_furniture(lines: list[Line], names: list[tuple[bool, bool]]) -> set[int]:
+    """Which named elements are furniture: all but those around an article, and those that hold a story."""
+    left = {k for k, (_, around) in enumerate(names) if not around}
+    held = dict.fromkeys(left, 0)
+    for line in lines:
+        for k in line.named:
+            if k in held:
+                held[k] += line.weight
+    for k in sorted((k for k in left if not names[k][0]), key=lambda k: -held[k]):
+        base = sum(line.weight for line in lines if left.isdisjoint(line.named)) if held[k] >= STORY else 0
+        if held[k] >= STORY and 2 * held[k] >= base:
+            left.discard(k)
+    return left
+
+
+def _is_title(line: Line, title: str) -> bool:
+    """Whether a line is the page's title, or the part of it before or behind a separator."""
+    return len(line.text) > 3 and (line.text == title or line.text in re.split(r" [|\-–—·:»] ", title))
+
+
+def _trimmed(lines: list[Line], first: int, last: int, title: str) -> tuple[int, int]:
+    """A region outside articles without the lines at its edges that are no text, from the title if it is near the top."""
+    weight = [line.weight for line in lines[first:last]]
+    there = [k for k, w in enumerate(weight) if w]
+    full = [k for k in there if weight[k] >= SURGE]
+    top, bottom = (full or there)[0], (full or there)[-1]
+    begin = next((k for k in range(0, min(len(weight), max(top, bottom if not full else 0, 2 * WINDOW) + 1)) if _is_title(lines[first + k], title)), None)
+    if begin is None:
+        begin = top
+        while begin > 0 and weight[begin - 1]:
+            begin -= 1
+    while bottom + 1 < len(weight) and weight[bottom + 1]:
+        bottom += 1
+    return first + begin, first + bottom + 1
 
 
 def main_text(page: str | None) -> tuple[str, int]:
-    """Text of the page's regions, blocks joined by an empty line, and how many regions there are."""
-    lines = lines_of(page or "")
-    weight = [len(t) if linked <= MOST_LINKS * len(t) else 0 for t, linked, *_ in lines]
+    """Text of the page's regions, blocks joined by an empty line, and how many regions there are.
+
+    If no region reaches the mark, the one with most text is taken, of equal ones the first.
+    """
+    state = read_page(page or "")
+    gone = _named_furniture(state.lines, state.names)
+    lines = [line if gone.isdisjoint(line.named) else Line() for line in state.lines]
+    if gone and not any(line.weight for line in lines):  # nothing but furniture: then that
+        lines = state.lines
+    weight = [line.weight for line in lines]
     sums = [sum(weight[k : k + WINDOW]) for k in range(len(lines))]
     regions: list[tuple[int, int]] = []
     k = 0
     while k < len(lines):
-        if not sums[k]:
+        if not weight[k]:
             k += 1
             continue
-        end = k
-        while end < len(lines) and sums[end]:
+        # lines of text follow each other; inside an article nothing but a gap ends them, elsewhere sums that dive
+        end, inside = k, lines[k].article
+        while end < len(lines) and lines[end].text and lines[end].article == inside and (inside or max(
+                sums[max(0, end - WINDOW + 1) : end + 1]) >= DIVE):
             end += 1
-        # the first window reaches down to the first line that counts, and the last one begins with the last
-        first = next(j for j in range(k, len(lines)) if weight[j])
-        while first > 0 and lines[first - 1][0]:
-            first -= 1
-        last = end
-        while last < len(lines) and lines[last][0]:
-            last += 1
-        regions.append((first, last))
-        k = max(end, last)
+        end = max(end, k + 1)
+        first = k
+        if inside:
+            while first > 0 and lines[first - 1].text and lines[first - 1].article == inside:
+                first -= 1
+        regions.append((first, end) if inside else _trimmed(lines, first, end, state.title))
+        k = end
     # gaps at the edges of articles keep a region on one side of them
-    inside = [any(lines[j][2] for j in range(*r)) for r in regions]
+    inside = [any(lines[j].article for j in range(*r)) for r in regions]
     peaks = [max(sum(weight[j : min(j + WINDOW, r[1])]) for j in range(*r)) * (BONUS if i else 1) for r, i in zip(regions, inside, strict=True)]
     outdone = max((p for p, i in zip(peaks, inside, strict=True) if not i), default=0) > max(SURGE, *(
         p for p, i in zip(peaks, inside, strict=True) if i), 0)
@@ -218,11 +314,12 @@ def main_text(page: str | None) -> tuple[str, int]:
     if not high and regions:
         high = [max(regions, key=lambda r: sum(weight[r[0] : r[1]]))]
     # what furniture cuts off from such a region, in the same container or article, is short but belongs to it
-    near = {lines[j][3] for r in high for j in range(*r) if lines[j][0]}
-    whole = {lines[j][2] for r in high for j in range(*r) if lines[j][2]}
+    near = {lines[j].container for r in high for j in range(*r) if lines[j].text}
+    whole = {lines[j].article for r in high for j in range(*r) if lines[j].article}
     tops = set(high)
-    chosen = [r for r in regions if r in tops or any(lines[j][3] in near or lines[j][2] in whole for j in range(*r) if lines[j][0])]
-    kept = [lines[j][0] for r in chosen for j in range(*r) if lines[j][0]]
+    chosen = [r for r in regions if r in tops or any(
+        lines[j].container in near or lines[j].article in whole for j in range(*r) if lines[j].text)]
+    kept = [lines[j].text for r in chosen for j in range(*r) if lines[j].text]
     return "\n\n".join(kept), len(chosen)
 
 
@@ -242,7 +339,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_regions) for every row of ``pages(page_id, url, html)``.
 
     Character references are decoded, white space inside a block becomes one space. Null or empty html, and pages
-    without text, give an empty text and no region. Every row stays, repeated ones too; other columns are not read.
+    without text, give an empty text and no region. Every row stays, repeated ones too; other columns are not read. Of
+    regions that tie for the place of the only one, the first is taken.
     """
     return map_batches(
         pages.select("page_id", "url", "html"), _extract, "page_id long, url string, text string, n_chars long, n_regions int")
