@@ -291,3 +291,84 @@ def test_scores_equal_a_dictionary_of_levels(spark, monkeypatch, group):
     got = Counter((r.doc_id, round(r.score, 6)) for r in language_model.train_and_score(docs, held_out).collect())
     assert got == Counter(expected)
     assert len(wrong) < 0.02 * len(counts)
+
+
+STORY = ("Lorem ipsum dolor sit amet, consetetur sadipscing elitr, sed diam nonumy eirmod. " * 11).strip()
+
+
+@pytest.mark.parametrize("names", ["layout with-sidebar", "content-area has-sidebar", "no-share", "page header-fixed", "post related-none",
+                                   "entry nav-open", "sidebar", "widget share"])
+def test_a_wrapper_that_names_furniture_keeps_its_story(names):
+    inner = f"<h1>Title of it</h1><p>{STORY}</p>"
+    assert main_text(f'<body><div class="{names}">{inner}</div><p>A line beside it.</p></body>')[0].startswith(f"Title of it\n\n{STORY}")
+    assert main_text(f"<body><div class='{names}'><article>{inner}</article></div></body>")[0] == f"Title of it\n\n{STORY}"
+    nested = f"<div class='{names}'>{inner}<div class='sidebar'><p>Some words about the site, its people and its past.</p></div></div>"
+    assert main_text(nested)[0] == f"Title of it\n\n{STORY}"
+
+
+def test_named_elements_beside_a_story_go_and_comments_at_any_length():
+    for name in ("ad", "sidebar", "cookie-notice", "related-posts"):
+        page = f"<p>{STORY}</p><div class='{name}'><p>{STORY[:300]}</p></div><p>{STORY}</p>"
+        assert main_text(page)[0] == f"{STORY}\n\n{STORY}"
+    assert main_text(f"<p>{STORY}</p><div id='comments'>{f'<p>{STORY}</p>' * 5}</div>")[0] == STORY
+    assert main_text("<div class='ad'><p>Only this.</p></div>")[0] == "Only this."
+
+
+def test_menus_rights_and_tags_of_a_page_of_plain_divs_go():
+    paragraphs = [f"Paragraph {k} tells of many things at some length, so that nobody takes it for a menu, and ends here." for k in range(5)]
+    menu = "".join(f"<div><a href='/{k}'>Menu {k}</a></div>" for k in range(8))
+    tags = "".join(f"<div><a href='/t{k}'>tag {k}</a></div>" for k in range(12))
+    body = "<div>A title for the story</div>" + "".join(f"<div>{p}</div>" for p in paragraphs)
+    page = f"<html><body>{menu}{body}<div>© 2024 Example Media. All rights reserved.</div>{tags}</body></html>"
+    assert main_text(page) == ("\n\n".join(["A title for the story", *paragraphs]), 1)
+    two = f"{menu}{body}<div>one</div><div>two</div><div>three</div><div>four</div>{body}"
+    assert main_text(two)[0].count("Paragraph 3") == 2
+
+
+def without_tags(page):
+    """The page with its structure told by nothing but plain divs."""
+    at = page.find("<body")
+    body = re.sub(r"<(nav|ul|li|article|header|footer|aside|main|section|h1|p)\b[^>]*>", "<div>", page[at:])
+    body = re.sub(r"</(nav|ul|li|article|header|footer|aside|main|section|h1|p)>", "</div>", body)
+    return page[:at] + re.sub(r' class="[^"]*"', "", body)
+
+
+def test_plain_divs_give_the_text_of_the_tagged_page(spark, small_dir):
+    pages = [r.html for r in spark.read.parquet(f"{small_dir}/pages.parquet").select("html").collect()]
+    alike = [main_text(page)[0] == main_text(without_tags(page))[0] for page in pages]
+    assert sum(alike) >= 0.9 * len(alike) > 0
+
+
+def slow_regions(lines):
+    """The definition for lines without tags, names and titles, line by line."""
+    weight = [len(t) if linked <= len(t) / 2 else 0 for t, linked in lines]
+    covered = [max(sum(weight[j : j + 3]) for j in range(max(0, k - 2), k + 1)) >= 30 for k in range(len(weight))]
+    kept, k = [], 0
+    while k < len(weight):
+        run = k
+        while weight[k] and run < len(weight) and (covered[run] or run == k):
+            run += 1
+        if run > k:
+            tall = [j for j in range(k, run) if weight[j] >= 86] or [j for j in range(k, run) if weight[j]]
+            first, last = tall[0], tall[-1]
+            while first > k and weight[first - 1]:
+                first -= 1
+            while last + 1 < run and weight[last + 1]:
+                last += 1
+            if max(sum(weight[j : min(j + 3, last + 1)]) for j in range(first, last + 1)) >= 86:
+                kept += [t for t, _ in lines[first : last + 1]]
+        k = max(run, k + 1)
+    return kept
+
+
+def test_lines_of_text_and_links_equal_the_slow_windows():
+    rng = random.Random(12)
+    for _ in range(200):
+        lines = []
+        for _ in range(rng.randrange(1, 25)):
+            text = " ".join("word" for _ in range(rng.choice([1, 2, 8, 9, 30])))
+            lines.append((text, len(text) if rng.random() < 0.3 else 0))
+        page = "".join(f"<div><a>{t}</a></div>" if linked else f"<div>{t}</div>" for t, linked in lines)
+        expected = slow_regions(lines)
+        if expected:
+            assert main_text(page)[0].split("\n\n") == expected
