@@ -346,7 +346,7 @@ def slow_regions(lines):
     kept, k = [], 0
     while k < len(weight):
         run = k
-        while weight[k] and run < len(weight) and (covered[run] or run == k):
+        while weight[k] and run < len(weight) and covered[run]:
             run += 1
         if run > k:
             tall = [j for j in range(k, run) if weight[j] >= 86] or [j for j in range(k, run) if weight[j]]
