@@ -264,6 +264,7 @@ points AS (
        {f('ask_points / divider', 'ask', 9)}, {f('event_id % 8 / 2', 'bid_vol', 9)}, {f('event_id % 16 / 4', 'ask_vol', 9)},
        {f('(bid_points + ask_points) / divider / 2', 'mid', 9)} FROM points""",
 )
+ORACLES["landed_ticks"] = ORACLES["decoded_hours"]
 sql("daily_table", DAILY, DAILY_SELECT + "daily")
 sql("daily_table_appended", DAILY, DAILY_SELECT + "daily")
 sql("daily_table_of_one_asset", DAILY, DAILY_SELECT.replace("asset", "upper(asset) AS asset", 1) + "daily WHERE asset = 'purchase'")
@@ -601,6 +602,16 @@ recent AS (
 )"""]),
     forecast_rows("recent_mean", "known JOIN recent USING (series, origin_date)", "predicted"),
 )
+forecasts(
+    "wf_learning_rule",
+    ",".join([DATA, moments(()), """
+ranked AS (SELECT series, target, row_number() OVER (PARTITION BY series ORDER BY target_date) AS k FROM data),
+learnt AS (
+  SELECT q.series, q.origin_date, avg(e.target) AS predicted
+  FROM known q JOIN ranked e ON e.series = q.series AND e.k BETWEEN 51 AND q.n GROUP BY 1, 2
+)"""]),
+    forecast_rows("learnt_mean", "known JOIN learnt USING (series, origin_date)", "predicted"),
+)
 sql(
     "known_totals",
     SALES + """,

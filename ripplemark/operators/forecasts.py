@@ -12,6 +12,7 @@ leave the JVM when run alone.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator, Sequence
 from datetime import date, datetime
 from itertools import combinations_with_replacement
@@ -232,7 +233,7 @@ def _block_forecasts(models: Sequence[ModelSpec], columns: Sequence[str], decays
 
 
 def _custom_group(rules: dict, columns: Sequence[str], min_train: int):
-    """Forecasts of one series by one rule of the user's own, refitted at every origin."""
+    """Forecasts of one series by one rule of the user's own, refitted at every origin, or updated if it can be."""
 
     def forecast(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         series, name = key
@@ -244,8 +245,15 @@ def _custom_group(rules: dict, columns: Sequence[str], min_train: int):
         known = np.searchsorted(targets, origins, side="right")
         asked = np.flatnonzero((known >= min_train) & rows["_selected"].to_numpy(bool))
         predicted = np.empty(len(asked))
+        learning, seen = hasattr(model.rule, "update"), 0
         for out, at in enumerate(asked):
-            fitted = model.rule.fit(x[: known[at]].copy(), y[: known[at]].copy())
+            if learning and seen:  # what is known never gets less, so only what is new has to be learnt
+                if known[at] > seen:
+                    fitted = fitted.update(x[seen : known[at]].copy(), y[seen : known[at]].copy())
+            else:
+                rule = copy.deepcopy(model.rule) if learning else model.rule
+                fitted = rule.fit(x[: known[at]].copy(), y[: known[at]].copy())
+            seen = known[at]
             predicted[out] = float(np.asarray(fitted.predict(x[at : at + 1].copy()))[0])
         if not np.isfinite(predicted).all():
             raise DataError(f"{name} returned a non-finite prediction")

@@ -55,5 +55,9 @@ def smoothing(name: str, decay: float) -> ModelSpec:
 
 
 def own_rule(name: str, rule: Any, regressors: Sequence[str] = ()) -> ModelSpec:
-    """A rule of the user's own: ``fit(X, y)`` returns the fitted rule, ``predict(X)`` an array."""
+    """A rule of the user's own: ``fit(X, y)`` returns the fitted rule, ``predict(X)`` an array.
+
+    A fitted rule that also has ``update(X, y)``, which returns the rule fitted on more observations, is fitted once per
+    series and then updated with what became known since, so its cost grows with the rows and not with their square.
+    """
     return _row(name, "own", regressors, rule=rule)

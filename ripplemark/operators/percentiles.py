@@ -24,7 +24,7 @@ def exact_percentiles(frame: DataFrame, keys: Sequence[str], value: Column, leve
 
     A built-in exact percentile holds a group's distinct values in one task. Here equal values are counted
     before the shuffle, running counts are taken inside buckets of values, and each bucket starts from the
-    merged counts of those below it. One pass over the input serves all levels.
+    merged counts of those below it. All levels come from the same counts, which both the buckets and the ranks read.
 
     ``value`` must be finite; other rows are left out, and a key without any has no rows.
     """

@@ -59,12 +59,12 @@ def test_parzen_bandwidth(spark):
 @pytest.mark.parametrize(
     "utc, label",
     [
-        (datetime(2024, 1, 14, 23, 30), date(2024, 1, 15)),
-        (datetime(2024, 1, 15, 14, 0), date(2024, 1, 15)),
-        (datetime(2024, 1, 15, 21, 59), date(2024, 1, 15)),
-        (datetime(2024, 1, 15, 22, 30), date(2024, 1, 16)),
-        (datetime(2024, 1, 10, 21, 30), date(2024, 1, 10)),
-        (datetime(2024, 3, 13, 21, 30), date(2024, 3, 14)),
+        (datetime(2023, 7, 4, 20, 59, 59), date(2023, 7, 4)),  # a summer evening, before and after 17:00
+        (datetime(2023, 7, 4, 21, 0), date(2023, 7, 5)),
+        (datetime(2023, 11, 3, 20, 30), date(2023, 11, 3)),  # the last summer session before the autumn change
+        (datetime(2023, 11, 5, 21, 15), date(2023, 11, 5)),  # the evening after it
+        (datetime(2023, 11, 6, 22, 0), date(2023, 11, 7)),
+        (datetime(2022, 12, 31, 22, 1), date(2023, 1, 1)),
     ],
 )
 def test_session_label_follows_new_york_time(spark, utc, label):
@@ -75,9 +75,9 @@ def test_session_label_follows_new_york_time(spark, utc, label):
 @pytest.mark.parametrize(
     "day, opens, closes",
     [
-        (date(2024, 3, 8), "2024-03-07 22:00:00", "2024-03-08 22:00:00"),
-        (date(2024, 3, 11), "2024-03-10 21:00:00", "2024-03-11 21:00:00"),
-        (date(2024, 3, 10), "2024-03-09 22:00:00", "2024-03-10 21:00:00"),
+        (date(2023, 11, 4), "2023-11-03 21:00:00", "2023-11-04 21:00:00"),
+        (date(2023, 11, 5), "2023-11-04 21:00:00", "2023-11-05 22:00:00"),  # 25 hours
+        (date(2025, 3, 9), "2025-03-08 22:00:00", "2025-03-09 21:00:00"),  # 23 hours
     ],
 )
 def test_session_bounds_across_the_clock_change(spark, day, opens, closes):
@@ -95,7 +95,7 @@ def test_every_instant_lies_within_its_session(spark):
     assert wrong.count() == 0
 
 
-@pytest.mark.parametrize("frequency, count", [("5min", 288), ("1h", 24), ("30s", 2880), ("1D", 1)])
+@pytest.mark.parametrize("frequency, count", [("15min", 96), ("4h", 6), ("90s", 960), ("2min", 720)])
 def test_prices_per_session(frequency, count):
     assert prices_per_session(frequency) == count
 
