@@ -1,8 +1,9 @@
 """Near-duplicate documents by a forest of sorted MinHash orders.
 
 A document is its set of distinct word shingles. Equal sets are one node. Every node has one label per tree, a
-row of MinHash values; a tree is the nodes in the order of their labels. Nodes whose labels share the base prefix
-form a region and are candidates for one another, however many they are.
+row of MinHash values; a tree is the nodes in the order of their labels. Nodes whose labels share the base prefix, a common
+prefix of four values at least, form a region and are candidates for one another, however many they are: a deeper
+prefix in crowded regions would lose links there, so the depth stays and the work is cut into blocks instead.
 
 Inside a region, signatures are compared and only a spanning forest of likely links leaves the task, never its
 pairs. Trees together give loose clusters. The full sets of each cluster's nodes then meet once, every pair is
@@ -26,8 +27,8 @@ from ripplemark.llm.shared import Forest, components, cut, map_batches, sorted_g
 from ripplemark.llm.token_ids import slices
 
 TREES, DEPTH, BASE = 12, 8, 4
-#: Nodes of one block of a region. Blocks don't overlap, as pairs of them meet; OVERLAP is kept for those who set it.
-REGION, OVERLAP = 4096, 256
+#: Nodes of one block of a region; every pair of blocks meets.
+REGION = 4096
 #: Shingles and nodes of one block of a cluster.
 BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 4096
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)

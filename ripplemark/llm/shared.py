@@ -112,23 +112,10 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None,
-                  carry: int = 0) -> Iterator[tuple[bool, pa.Table]]:
-    """Runs of rows with equal ``keys`` from batches sorted by them.
-
-    With ``most``, a longer run comes in blocks of so many rows, each beginning with the last
-    ``carry`` rows of the one before, so that memory stays bounded.
-    """
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal ``keys`` from batches sorted by them."""
     held: list[pa.Table] = []
-    n_held = 0
     last = None
-
-    def flush():
-        nonlocal held, n_held
-        if n_held:
-            yield pa.concat_tables(held).combine_chunks()
-        held, n_held = [], 0
-
     for batch in batches:
         table = pa.Table.from_batches([batch])
         n = table.num_rows
@@ -142,24 +129,16 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int
         first = tuple(table.column(key)[0].as_py() for key in keys)
         change[0] = first != last
         last = tuple(table.column(key)[n - 1].as_py() for key in keys)
-        cuts = np.flatnonzero(change).tolist()
         at = 0
-        for cut_at in [*cuts, n]:
+        for cut_at in [*np.flatnonzero(change).tolist(), n]:
             if cut_at > at:
-                part = table.slice(at, cut_at - at)
-                while part.num_rows:
-                    room = part.num_rows if most is None else min(part.num_rows, most - n_held)
-                    held.append(part.slice(0, room))
-                    n_held += room
-                    part = part.slice(room)
-                    if most is not None and n_held >= most:
-                        block = pa.concat_tables(held).combine_chunks()
-                        yield block
-                        held, n_held = ([block.slice(most - carry)], carry) if carry else ([], 0)
-            if cut_at < n:
-                yield from flush()
+                held.append(table.slice(at, cut_at - at))
+            if cut_at < n and held:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
             at = cut_at
-    yield from flush()
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
 class Forest:
@@ -186,17 +165,17 @@ class Forest:
         return True
 
 
-def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that is connected, for the nodes of ``edges(a, b)``.
 
-    Every round hands each node the smallest label among its neighbours and then the label of its label;
+    Goes on until no label moves; each round hands each node the smallest label among its neighbours and then the label of its label;
     sums are merged before the shuffle, so a node with very many links is no hot key.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                .where("a <> b").distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     labels = cut(labels)
-    for _ in range(most_rounds):
+    while True:
         near = (both.join(labels.select(F.col("node").alias("b"), "component"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near")))
         # stored, so that both sides of the next join are dealt for it and Spark may split a large component's nodes
@@ -210,4 +189,3 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         labels = jumped.select("node", "component")
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")

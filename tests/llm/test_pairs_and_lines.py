@@ -78,7 +78,6 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, small):
     if small:  # blocks of clusters and crowded regions, at the size of a test
         monkeypatch.setattr(near_dedup, "BLOCK_NODES", 8)
         monkeypatch.setattr(near_dedup, "REGION", 32)
-        monkeypatch.setattr(near_dedup, "OVERLAP", 8)
     rows = near_rows()
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], DOCS + ", set_id int, component string")
     got = near_duplicates(docs, width=3, percent=85).collect()
