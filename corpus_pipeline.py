@@ -68,9 +68,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     marked = docs.select("doc_id", "text", _digest().alias("digest"))
     groups = cut(near_duplicates(marked, width=5, percent=80, keep=("digest",)))
-    first = groups.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("first"))
-    gone = (groups.join(first, "doc_id", "left")
-            .where(~F.col("kept") | ((F.col("n_shingles") > 0) & (F.col("digest") != F.col("first")))))
+    row = F.struct("doc_id", "digest")
+    first = groups.where("group_id is not null and doc_id is not null").groupBy("group_id").agg(F.min(row).alias("first"))
+    gone = groups.join(first, "group_id").where(~row.eqNullSafe(F.col("first")))
     kept = _without(docs, gone)
     once = kept.where("doc_id is not null").withColumn("__text", _digest()).dropDuplicates(["doc_id", "__text"])
     return once.drop("__text").unionByName(kept.where("doc_id is null"))
