@@ -73,8 +73,8 @@ class Tokens:
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (some for whole in batches for some in slices(whole)):
         tokens = Tokens(texts(batch))
-        for keys in (tokens.words, tokens.pairs):
-            key, n = np.unique(keys, return_counts=True)
+        counted = (tokens.distinct, np.bincount(tokens.codes, minlength=len(tokens.distinct))), np.unique(tokens.pairs, return_counts=True)
+        for key, n in counted:
             for at in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["key", "n"])
@@ -227,9 +227,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch], word_bits, pair_bits, exact,
     known, counts = exact.value
     for batch in (some for whole in batches for some in slices(whole)):
         tokens = Tokens(texts(batch))
-        at = np.minimum(np.searchsorted(known, tokens.words), max(len(known) - 1, 0))
-        in_head = known[at] == tokens.words if len(known) else np.zeros(len(tokens.words), dtype=bool)
-        logs = np.where(in_head, np.log10(counts[at] + 1.0), 0.0) if len(known) else np.zeros(len(tokens.words))
+        at = np.minimum(np.searchsorted(known, tokens.distinct), max(len(known) - 1, 0))
+        found = known[at] == tokens.distinct if len(known) else np.zeros(len(tokens.distinct), dtype=bool)
+        logs = np.where(found, np.log10(counts[at] + 1.0), 0.0) if len(known) else np.zeros(len(tokens.distinct))
+        in_head, logs = found[tokens.codes], logs[tokens.codes]
         tail = np.flatnonzero(~in_head)
         ends = np.searchsorted(tail, tokens.offsets).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
