@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from ripplemark.llm.shared import crc_mod, map_batches, texts, words
 from ripplemark.llm.token_ids import slices
 
-#: Labelled documents the model is fitted to, at most about: a sample by hash where there are more.
-SAMPLE = 6_000
+#: Labelled documents the model is fitted to, at most about, and bytes of their texts: a sample by hash where there are more.
+SAMPLE, SAMPLE_BYTES = 6_000, 64 << 20
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (3, 4, 5)
 #: A feature has to be this much likelier in toxic documents: twice the log likelihood ratio to one common rate.
@@ -144,8 +144,21 @@ def _telling(with_toxic: np.ndarray, with_clean: np.ndarray, n_toxic: int, n_cle
     return (with_toxic > share * both) & (ratio >= LEAST_TOLD)
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
+def _within(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The first rows whose texts have ``most`` bytes together."""
+    held = 0
+    for batch in batches:
+        sizes = held + np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        n = int(np.searchsorted(sizes, most, side="right"))
+        if n:
+            yield batch.slice(0, n)
+        if n < batch.num_rows:
+            return
+        held = int(sizes[-1]) if n else held
+
+
+def _fit(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    held = [b for b in _within(batches, most_bytes) if b.num_rows]
     text = pa.concat_arrays([texts(b) for b in held]) if held else pa.array([], pa.large_string())
     toxic = np.concatenate([b.column("toxic").to_numpy(zero_copy_only=False) for b in held]) == 1 if held else np.zeros(0, bool)
     bias, weights = fit(text, toxic)
@@ -154,18 +167,20 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip(*weights, strict=True), (pa.int32(), pa.string(), pa.float64()), strict=True)], names=["kind", "feature", "weight"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> list[tuple[int, str, float]]:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str, float]]:
     """The model as (kind, feature, weight) rows, the bias first, from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    With more than ``sample`` labels, a sample by hash of doc_id of about that size; its number bounds what is
-    broadcast and what the fitting task holds. A doc_id with several labels is toxic if any says so.
+    With more than ``sample`` labels, a sample by hash of doc_id of about that size; of these, in the order of another
+    hash, the first whose texts have ``most_bytes`` together. So rows and bytes of what the fitting task holds are bounded. A doc_id with several labels is toxic if any says so.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     if total > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) < int(1_000_003 * sample / total))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
-    fitted = map_batches(chosen.repartition(1), _fit, "kind int, feature string, weight double")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(
+        "text", "toxic", F.xxhash64("doc_id", "text", F.lit("order")).alias("place"))
+    ordered = chosen.repartition(1).sortWithinPartitions("place")
+    fitted = map_batches(ordered, partial(_fit, most_bytes=most_bytes), "kind int, feature string, weight double")
     return [tuple(r) for r in fitted.collect()] or [(-1, "", BIAS)]  # no task where nothing is labelled
 
 
