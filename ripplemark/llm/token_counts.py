@@ -7,6 +7,7 @@ shuffled; what tasks hand over for the table is a bounded number of their most f
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -22,6 +23,8 @@ from ripplemark.llm.token_ids import slices
 
 #: Entries of the broadcast table (about 1 MB), and what one task contributes to it at most.
 TABLE, PER_TASK = 32_768, 8_192
+#: Texts that a model which normalises would change: case, width, ligatures, marks, white space.
+PROBES = ("Ab ß", "Ａﬁ²", "e\u0301 é", "a  b", "c\td\n")
 #: Pre-tokens a worker remembers beyond the table.
 REMEMBERED = 300_000
 
@@ -55,7 +58,11 @@ class _Lengths:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if any(re.search("[^▁]▁", model.id_to_piece(k)) for k in range(model.get_piece_size())):
+            raise ValueError("the model has pieces that reach over a space")
+        if any(model.normalize(probe) != "▁" + probe.replace(" ", "▁") for probe in PROBES):
+            raise ValueError("the model normalises texts")
         self.known: dict[str, int] = {}
 
     def encode(self, some: list[str]) -> list[int]:
@@ -105,7 +112,7 @@ def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096) -> DataFrame
 
     ``model`` is a sentencepiece file whose pieces have the space sign at their start only and whose texts aren't
     normalised, so that a text is the pre-tokens between single spaces, each with the sign before it. Counts equal
-    the library's for the whole text, without begin or end. Null text: empty, 0 tokens. Every row stays.
+    the library's for the whole text, without begin or end. Other models are refused. Null text: empty, 0 tokens. Every row stays.
     """
     own = docs.select(F.col("doc_id").cast("long"), "text")
     seen = cut(map_batches(own, _frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
